@@ -30,4 +30,4 @@ def opened(uri: str):
 
 def created(uri: str):
     system, path = place(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
