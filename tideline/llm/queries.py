@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, merkle, packing, simhash, warc, wavelet
+from tideline.llm import decontaminate, linededup, merkle, packing, simhash, warc, wavelet
 from tideline.llm.common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -35,12 +35,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.removed(read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fingerprints, op5_wavelet_tokens, op6_warc_dictionary, op7_simhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fingerprints, op5_wavelet_tokens, op6_warc_dictionary, op7_simhash, op8_line_dedup, op10_best_fit_packing)}
 
 
 _WARC_SQL = """
@@ -48,14 +52,32 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hexa
   FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hexa) AS first FROM p),
-b AS (SELECT *, array_to_string(list_transform(range(1, 41), i -> right('000' || CAST(bin(strpos('0123456789abcdef', substr(hexa, CAST(i AS INT), 1)) - 1) AS VARCHAR), 4)), '') AS bits FROM f)
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || CAST(bin(strpos('0123456789abcdef', substr(hexa, CAST(i AS INT), 1)) - 1) AS VARCHAR), 4)), '') AS bits FROM f)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), j -> CAST(substr(bits, CAST(5 * i + j AS INT), 1) AS INT) * (1 << CAST(5 - j AS INT)))) AS INT), 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, CAST(5 * i + j AS INT), 1) AS INT) * (1 << CAST(5 - j AS INT)))) AS INT), 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM b
 """
 
 
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT d.doc_id, CAST(i AS INT) AS line_no,
+    list_sort(list_distinct(list_filter(string_split(lower(translate(s.lines[i + 1], chr(9) || chr(13) || chr(11) || chr(12), '    ')), ' '), lambda w: w <> ''))) AS words
+  FROM documents d, LATERAL (SELECT string_split(d.text, chr(10)) AS lines) s, LATERAL (SELECT unnest(range(0, len(s.lines))) AS i) r
+  WHERE d.doc_id IS NOT NULL AND d.text IS NOT NULL),
+s AS (SELECT words, min({'d': doc_id, 'l': line_no}) AS f, len(words) AS n FROM l WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT f, n, unnest(words) AS w FROM s WHERE n >= 5),
+p AS (
+  SELECT a.f AS f, b.f AS g, a.n AS n, b.n AS m, count(*) AS c
+  FROM t a JOIN t b ON a.w = b.w AND a.f > b.f AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY ALL)
+SELECT DISTINCT f.d AS doc_id, f.l AS line_no, false AS exact FROM p WHERE 9 * c >= 4 * (n + m)
+UNION ALL
+SELECT DISTINCT l.doc_id, l.line_no, true FROM l JOIN s USING (words) WHERE {'d': l.doc_id, 'l': l.line_no} > s.f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_dictionary": _WARC_SQL}
+    return {"op8_line_dedup": _LINES_SQL, "op6_warc_dictionary": _WARC_SQL}
