@@ -26,7 +26,7 @@ from tideline.llm.common import saved, sliced, text_of
 
 LETTERS, GRAM = 27, 4  # a to z, and 0 for all between words
 CELLS = LETTERS**GRAM
-TOP = 3
+TOP, EVIDENCE = 3, 1.5
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou", "#": "aeiou", "%": "", ".": "", "-": "", "_": "", "~": "", "^": "", "'": "", "`": "", ",": "", "/": "", "\\": "", ":": "", ";": "", "&": "", "=": "", "°": "o", "§": "s", "µ": "u", "ø": "o", "æ": "a"}
 # fixed values: letters of other scripts that look like Latin ones
@@ -221,9 +221,11 @@ class Reader:
         return {w for t in set(prepared(text).split()) for w in known[t]}
 
     def top(self, text: str) -> list[float]:
-        """A text's highest toxicities of different tokens."""
-        found = nlargest(TOP, map(self.known.__getitem__, set(prepared(text).split())))
-        return found + [0.0] * (TOP - len(found))
+        """A text's highest toxicities of different tokens, and the sum of the higher ones, as it is and against the text's length."""
+        found = list(map(self.known.__getitem__, set(prepared(text).split())))
+        high = sum(x for x in found if x > EVIDENCE)
+        best = nlargest(TOP, found)
+        return [*best, *[0.0] * (TOP - len(best)), math.log1p(high), high / math.sqrt(len(found) + 10)]
 
 
 def restored(text: str, model: list[np.ndarray]) -> str:
@@ -278,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 30000) -> Scorer:
     n1, n0 = (sum(n for (c, t), n in sizes.items() if not c and (t > 0) == kind) for kind in (True, False))
     if not n1 or not n0:
         share = min(max(n1 / (n1 + n0), 1e-6), 1 - 1e-6) if n1 + n0 else 1e-6
-        return Scorer(model, {}, [math.log(share / (1 - share)), *[0.0] * TOP])
+        return Scorer(model, {}, [math.log(share / (1 - share)), *[0.0] * (TOP + 2)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -313,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 30000) -> Scorer:
     table = rows.where("fold = 4").select("toxic", "text").mapInArrow(tops, "toxic int, top array<double>").toArrow()
     y = (table.column("toxic").to_numpy() > 0).astype(np.float64)
     if not 0 < y.sum() < len(y):
-        return Scorer(model, weights, [math.log(n1 / n0) - 4.0, *[1.0] * TOP])
+        return Scorer(model, weights, [math.log(n1 / n0) - 4.0, *[1.0] * TOP, 0.0, 0.0])
     return Scorer(model, weights, _logistic(np.array(table.column("top").to_pylist()), y))
 
 
