@@ -138,8 +138,14 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without the lines to remove; documents without lines left stay, empty."""
+    """The documents, with all their columns, without the lines to remove.
+
+    Documents without lines left stay, empty; n_chars, if there, follows the text.
+    """
     gone = removed(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone_lines"))
     joined = docs.join(gone, "doc_id", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone_lines", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    out = joined.withColumn("text", F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(docs.columns)

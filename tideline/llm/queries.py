@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, linededup, merkle, packing, simhash, warc, wavelet
+from tideline.llm import decontaminate, linededup, merkle, packing, quality, repeats, simhash, toxicity, warc, wavelet
 from tideline.llm.common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +21,15 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared_with_next(read(spark, sf_dir, "documents"))
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(wavelet.written(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
 
@@ -39,12 +48,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removed(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fingerprints, op5_wavelet_tokens, op6_warc_dictionary, op7_simhash, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fingerprints, op3_repeated_strings, op4_toxicity, op5_wavelet_tokens, op6_warc_dictionary, op7_simhash, op8_line_dedup, op9_quality, op10_best_fit_packing)}
 
 
 _WARC_SQL = """
