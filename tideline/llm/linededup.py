@@ -12,8 +12,8 @@ shares a word in the longer set's probing prefix and the shorter set's index
 prefix. Length, positional and bitmap filters (words that only one of two sets
 has show in the exclusive or of the sets' bitmaps) leave few pairs, which are
 verified on the words. To stay linear in large groups of near copies, a line is
-first held only against the earliest and the previous line that share a prefix
-word; only lines without a match there are held against all.
+first held only against the previous line that shares a prefix word; only lines
+without a match there are held against all.
 """
 
 from __future__ import annotations
@@ -21,15 +21,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.common import removed as removed_files
 from tideline.llm.common import saved
 
-BUCKETS, MARKS = 1 << 16, 1 << 20
+BUCKETS, MARKS = 1 << 18, 1 << 20
 #: Sets of fewer words reach 4/5 only when they are equal.
 LEAST_WORDS = 5
 
 
+def _spaced(line: Column) -> Column:
+    """A line in lower case with all white space as spaces."""
+    other = "\t\r\x0b\x0c"
+    rare = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.lower(F.when(rare, F.translate(line, other, " " * len(other))).otherwise(line))
+
+
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " "), ""))
+    return F.array_distinct(F.array_remove(F.split(_spaced(line), " "), ""))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -40,7 +48,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _rarity(lines: DataFrame) -> Column:
     """Magnitudes of the buckets of all words, as a constant array."""
-    words = lines.select(F.explode(F.split(F.lower(F.translate("line", "\t\r\x0b\x0c", "    ")), " ")).alias("w")).where("w <> ''")
+    words = lines.select(F.explode(F.split(_spaced(F.col("line")), " ")).alias("w")).where("w <> ''")
     found = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # at most BUCKETS rows
     size = [0] * BUCKETS
     for r in found:
@@ -60,27 +68,27 @@ def _keys(words: Column, rarity: Column) -> Column:
 
 
 def _sets(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, n words, bitmap, probing prefix, and a 128-bit identity (a, b) of each line with words."""
-    keyed = lines.select("doc_id", "line_no", _keys(words_of(F.col("line")), _rarity(lines)).alias("k")).where(F.size("k") > 0)
+    """doc_id, line_no, n words, bitmap, probing prefix (32 bits of each word), and a 128-bit identity (a, b) of each line with words."""
+    keyed = lines.where(F.trim(_spaced(F.col("line"))) != "").select("doc_id", "line_no", _keys(words_of(F.col("line")), _rarity(lines)).alias("k"))
     n = F.size("k")
     bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     return keyed.select(
         "doc_id", "line_no", F.xxhash64("k").alias("a"), F.xxhash64(F.lit(1), "k").alias("b"), n.alias("n"),
         F.when(n >= LEAST_WORDS, bits).alias("bits"),
-        F.when(n >= LEAST_WORDS, F.slice("k", 1, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)).alias("prefix"),
+        F.when(n >= LEAST_WORDS, F.transform(F.slice("k", 1, n - F.floor((n * 4 + 4) / 5).cast("int") + 1), lambda x: F.hash(x))).alias("prefix"),
     )
 
 
 def _near(x: str, y: str) -> Column:
-    """Length, positional, prefix and bitmap filters for two prefix words' lines."""
-    n, m, p, q, s, t = (F.col(f"{a}.{c}") if "." not in a else F.col(a) for a, c in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos"), (x, "bits"), (y, "bits")))
+    """Length, positional, prefix and bitmap filters for the rows of a word that both sets have; `at` is n and pos in one."""
+    n, m, p, q = (f(F.col(f"{s}at")) for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 32) - 1)) for s in (x, y))
     least = F.floor((4 * (n + m) + 8) / 9)
     indexed = lambda size, at: at <= size - F.floor((8 * size + 8) / 9)
     return (
-        (5 * F.least(n, m) >= 4 * F.greatest(n, m))
+        (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= (n + m) / 9)
+        & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
         & (1 + F.least(n - p - 1, m - q - 1) >= least)
         & F.when(n <= m, indexed(n, p)).otherwise(indexed(m, q))
-        & (F.bit_count(s.bitwiseXOR(t)) <= n + m - 2 * least)
     )
 
 
@@ -97,9 +105,9 @@ def _marked(ids: DataFrame) -> Column:
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, line_no of the pairs' later lines that reach 4/5 with their earlier one."""
     ids = pairs.select("doc_id", "line_no").unionAll(pairs.select("y_doc", "y_line"))
-    held = lines.where(_marked(ids)).select("doc_id", "line_no", words_of(F.col("line")).alias("w"))
-    x, y = held.withColumnRenamed("w", "x"), held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("w").alias("y"))
-    both = pairs.join(x, ["doc_id", "line_no"]).join(y, ["y_doc", "y_line"])
+    held = lines.where(_marked(ids))
+    x, y = held.withColumnRenamed("line", "x"), held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y"))
+    both = pairs.join(x, ["doc_id", "line_no"]).join(y, ["y_doc", "y_line"]).select("doc_id", "line_no", words_of(F.col("x")).alias("x"), words_of(F.col("y")).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("doc_id", "line_no").distinct()
 
@@ -111,30 +119,35 @@ def removed(docs: DataFrame) -> DataFrame:
     with a null doc_id are left alone; rows that repeat a doc_id count as the
     same document; an empty table gives no rows; other columns are not read.
     """
-    lines = lines_of(docs)
-    sets = _sets(lines)
+    spark, lines = docs.sparkSession, lines_of(docs)
+    sets = saved(_sets(lines), "line-sets")
     ident = F.struct("doc_id", "line_no")
-    firsts = saved(sets.groupBy("a", "b").agg(F.min(ident).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("times")), "line-sets")
-    repeated = firsts.where("times > 1").select("a", "b", "first")
-    equal = sets.select("doc_id", "line_no", "a", "b").join(repeated, ["a", "b"]).where(ident > F.col("first")).select("doc_id", "line_no").distinct()
-
-    posts = firsts.where(F.col("prefix").isNotNull()).select("first", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    row = F.struct("first", "n", "pos", "bits")
-    order = Window.partitionBy("word").orderBy("first")
-    shared = posts.withColumns({"this": row, "earliest": F.first(row).over(order), "previous": F.lag(row).over(order), "next": F.lead("n").over(order)}).where("previous is not null or next is not null")
-    shared = saved(shared.select("word", "this", "earliest", "previous"), "line-posts")
-
-    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.select(F.col(f"{x}.first.doc_id").alias("doc_id"), F.col(f"{x}.first.line_no").alias("line_no"), F.col(f"{y}.first.doc_id").alias("y_doc"), F.col(f"{y}.first.line_no").alias("y_line"))
-
-    held = shared.where("previous is not null")
-    easy = saved(pairs(held.where(_near("this", "earliest")), "this", "earliest").unionAll(pairs(held.where(_near("this", "previous")), "this", "previous")).distinct(), "line-pairs")
+    repeated = sets.groupBy("a", "b").agg(F.min(ident).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
+    equal = saved(sets.select("doc_id", "line_no", "a", "b").join(repeated, ["a", "b"]).where(ident > F.col("first")).select("doc_id", "line_no").distinct(), "line-equal")
+
+    longer = sets.where("prefix is not null")
+    firsts = longer.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("s")).select("s.*")
+    n = F.col("n").cast("long")
+    posts = firsts.select("doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "word")).select("word", "doc_id", "line_no", (F.shiftleft(n, 32) + F.col("pos")).alias("at"), "bits")
+    order = Window.partitionBy("word").orderBy("doc_id", "line_no")
+    before = {f"p_{c}": F.lag(c).over(order) for c in ("doc_id", "line_no", "at", "bits")}
+    shared = posts.withColumns(before | {"follows": F.lead("line_no").over(order)}).where("p_line_no is not null or follows is not null")
+    near = _near("", "p_")
+    shared = saved(shared.select("word", "doc_id", "line_no", "at", "bits", F.col("p_line_no").isNotNull().alias("later"), F.when(near, F.col("p_doc_id")).alias("y_doc"), F.when(near, F.col("p_line_no")).alias("y_line")), "line-posts")
+    removed_files(spark, sets)
+
+    pair = ["doc_id", "line_no", "y_doc", "y_line"]
+    easy = saved(shared.where("y_line is not null").select(pair).distinct(), "line-pairs")
     settled = saved(_verified(easy, lines), "line-settled")
-    open_rows = held.select("word", F.col("this").alias("x")).withColumns({"doc_id": F.col("x.first.doc_id"), "line_no": F.col("x.first.line_no")}).join(settled, ["doc_id", "line_no"], "left_anti").select("word", "x")
-    hard = saved(pairs(open_rows.join(shared.select("word", F.col("this").alias("y")), "word").where((F.col("x.first") > F.col("y.first")) & _near("x", "y")), "x", "y").distinct(), "line-pairs")
-    near = settled.unionAll(_verified(hard, lines)).distinct()
+    rows = shared.select("word", "doc_id", "line_no", "at", "bits")
+    open_rows = shared.where("later").select(rows.columns).join(settled, ["doc_id", "line_no"], "left_anti")
+    others = rows.select("word", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "line_no", "at", "bits")))
+    earlier = (F.col("y_doc_id") < F.col("doc_id")) | ((F.col("y_doc_id") == F.col("doc_id")) & (F.col("y_line_no") < F.col("line_no")))
+    hard = open_rows.join(others, "word").where(earlier & _near("", "y_"))
+    hard = saved(hard.select("doc_id", "line_no", F.col("y_doc_id").alias("y_doc"), F.col("y_line_no").alias("y_line")).distinct(), "line-pairs")
+    near_lines = settled.unionAll(_verified(hard, lines)).distinct()
     # a set's later lines go as its equals, its first line as a near match
-    return equal.withColumn("exact", F.lit(True)).unionAll(near.withColumn("exact", F.lit(False)))
+    return equal.withColumn("exact", F.lit(True)).unionAll(near_lines.withColumn("exact", F.lit(False)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
