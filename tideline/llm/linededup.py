@@ -12,8 +12,9 @@ shares a word in the longer set's probing prefix and the shorter set's index
 prefix. Length, positional and bitmap filters (words that only one of two sets
 has show in the exclusive or of the sets' bitmaps) leave few pairs, which are
 verified on the words. To stay linear in large groups of near copies, a line is
-first held only against the previous line that shares a prefix word; only lines
-without a match there are held against all.
+first held against the previous and the earliest line that share a prefix word;
+only lines without a match there are held against all, the earliest candidate of
+each first.
 """
 
 from __future__ import annotations
@@ -130,10 +131,12 @@ def removed(docs: DataFrame) -> DataFrame:
     n = F.col("n").cast("long")
     posts = firsts.select("doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "word")).select("word", "doc_id", "line_no", (F.shiftleft(n, 32) + F.col("pos")).alias("at"), "bits")
     order = Window.partitionBy("word").orderBy("doc_id", "line_no")
-    before = {f"p_{c}": F.lag(c).over(order) for c in ("doc_id", "line_no", "at", "bits")}
+    before = {f"{p}_{c}": of(c).over(order) for p, of in (("p", F.lag), ("e", F.first)) for c in ("doc_id", "line_no", "at", "bits")}
     shared = posts.withColumns(before | {"follows": F.lead("line_no").over(order)}).where("p_line_no is not null or follows is not null")
-    near = _near("", "p_")
-    shared = saved(shared.select("word", "doc_id", "line_no", "at", "bits", F.col("p_line_no").isNotNull().alias("later"), F.when(near, F.col("p_doc_id")).alias("y_doc"), F.when(near, F.col("p_line_no")).alias("y_line")), "line-posts")
+    candidate = F.when(F.col("p_line_no").isNull(), None)
+    for p in ("p", "e"):
+        candidate = candidate.when(_near("", f"{p}_"), F.struct(F.col(f"{p}_doc_id").alias("doc"), F.col(f"{p}_line_no").alias("line")))
+    shared = saved(shared.select("word", "doc_id", "line_no", "at", "bits", F.col("p_line_no").isNotNull().alias("later"), candidate.alias("y")).select("*", F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line")).drop("y"), "line-posts")
     removed_files(spark, sets)
 
     pair = ["doc_id", "line_no", "y_doc", "y_line"]
@@ -145,7 +148,10 @@ def removed(docs: DataFrame) -> DataFrame:
     earlier = (F.col("y_doc_id") < F.col("doc_id")) | ((F.col("y_doc_id") == F.col("doc_id")) & (F.col("y_line_no") < F.col("line_no")))
     hard = open_rows.join(others, "word").where(earlier & _near("", "y_"))
     hard = saved(hard.select("doc_id", "line_no", F.col("y_doc_id").alias("y_doc"), F.col("y_line_no").alias("y_line")).distinct(), "line-pairs")
-    near_lines = settled.unionAll(_verified(hard, lines)).distinct()
+    first_pair = hard.groupBy("doc_id", "line_no").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("doc_id", "line_no", "y.*")
+    soon = saved(_verified(first_pair, lines), "line-settled")
+    rest = saved(hard.join(first_pair, pair, "left_anti").join(soon, ["doc_id", "line_no"], "left_anti"), "line-pairs")
+    near_lines = settled.unionAll(soon).unionAll(_verified(rest, lines)).distinct()
     # a set's later lines go as its equals, its first line as a near match
     return equal.withColumn("exact", F.lit(True)).unionAll(near_lines.withColumn("exact", F.lit(False)))
 
