@@ -166,7 +166,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(tasks, order[0]).sortWithinPartitions(*order)
     schema = _DIGEST + ", part int, kind string, text string"
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,7 +181,7 @@ def written(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_tokens: int
             yield close()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    return saved(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(write, FILES), "wavelet-files")
+    return saved(rows.repartitionByRange(tasks, order[0]).sortWithinPartitions(*order).mapInArrow(write, FILES), "wavelet-files")
 
 
 def documents(files: DataFrame) -> DataFrame:
