@@ -6,7 +6,7 @@ trigger at the same place, so a phrase (the trigger with all bytes that any such
 string around it can reach) settles most of a repetitive corpus: the dictionary
 of distinct phrases keeps the first occurrence of each, and in every later one
 all strings are repeated. Distinct phrases that share a trigger are the edges of
-repeated passages. Their strings stand at three ranges of distance before the
+repeated passages. Their strings stand at four ranges of distance before the
 trigger, and those of a range share the bytes in their middle; where a hash of
 these bytes is found in another phrase of the trigger too, the range's strings
 are compared by two 64-bit rolling hashes. Strings are put in order by hash
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import saved, sliced, text_of
 
-GRAM, RANGES, CHUNK, HELD = 20, 3, 1 << 19, 2_000_000
+GRAM, RANGES, BITS, CHUNK, HELD = 20, 4, 16, 1 << 19, 2_000_000
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -85,7 +85,7 @@ def ranges(length: int) -> list[tuple[int, int]]:
 
 
 def phrases(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each trigger of a text: its hash, its phrase's hash, its place, and 21 bits of each range's middle (0: no such strings)."""
+    """Of each trigger of a text: its hash, its phrase's hash, its place, and BITS bits of each range's middle (0: no such strings)."""
     n, width, found = len(data), length - GRAM + 1, []
     for at in range(0, n - length + 1, CHUNK):
         a, e = max(0, at - width + 1), min(n, at + CHUNK + 2 * length)
@@ -102,8 +102,8 @@ def phrases(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         for k, (near, far) in enumerate(ranges(length)):
             s, z = q + a - near, q + a + length - far
             fits = (s >= 0) & (z <= n)
-            h = _hashes(sums, np.where(fits, s - a, 0), np.where(fits, z - a, 1), 0) >> _U(43)
-            middles |= np.where(fits, np.maximum(h, _U(1)), _U(0)) << _U(21 * k)
+            h = _hashes(sums, np.where(fits, s - a, 0), np.where(fits, z - a, 1), 0) >> _U(64 - BITS)
+            middles |= np.where(fits, np.maximum(h, _U(1)), _U(0)) << _U(BITS * k)
         found.append((grams[q], phrase, q + a, middles))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.uint64))
 
@@ -201,7 +201,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, reach, expand: bool)
     def asked(doc: np.ndarray, pos: np.ndarray, more: np.ndarray, shared: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         parts = []
         for k, (near, far) in enumerate(cuts):
-            has = (more.view(np.uint64) >> _U(21 * k) & _U((1 << 21) - 1)) != 0
+            has = (more.view(np.uint64) >> _U(BITS * k) & _U((1 << BITS) - 1)) != 0
             if shared is not None:
                 has &= shared[k]
             parts.append((doc[has], np.maximum(0, pos[has] - far), pos[has] - near + 1))
@@ -235,7 +235,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, reach, expand: bool)
             if whole and not same_a[0] and want.any():
                 shared, m = [], more[want].view(np.uint64)
                 for k in range(RANGES):
-                    key = (group[want].astype(np.uint64) << _U(21)) | (m >> _U(21 * k) & _U((1 << 21) - 1))
+                    key = (group[want].astype(np.uint64) << _U(BITS)) | (m >> _U(BITS * k) & _U((1 << BITS) - 1))
                     _, at, times = np.unique(key, return_inverse=True, return_counts=True)
                     shared.append(times[at] > 1)
             if want.any():
@@ -254,7 +254,9 @@ def _bytes(text: str) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """doc_id, text; a doc_id that is a long already keeps its name, so that Spark knows equal exchanges."""
+    ids = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(ids, text_of().alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
