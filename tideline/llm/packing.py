@@ -68,8 +68,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
         enc, end = encoder(vocabulary, True), end_id.to_bytes(4, "little")
         for batch in sliced(batches, "text", 4 << 20):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids = raw + end
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

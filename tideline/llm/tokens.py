@@ -15,9 +15,10 @@ import re
 import numpy as np
 
 #: A piece that ends in ASCII punctuation is cut before it: word and punctuation never merge.
-_WORD_AND_MARKS = re.compile(r"([^\W_]+)([!-/:-@\[-^`{-~]+)\Z")
+_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "_")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_RUN = re.compile(r" \s|\s ")
+_OTHER_SPACE = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -33,39 +34,68 @@ class PieceEncoder:
         self.space_joins, self.remembered = space_joins, remembered
         self.known: dict[str, bytes] = {}
 
+        mark = (lambda t: t.startswith("Ġ")) if space_joins else (lambda t: t.endswith("</w>"))
+        edges = {i for t, i in self.tokenizer.get_vocab().items() if mark(t)}
+        self.edges = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.edges[list(edges)] = True
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, 500 in one call: a token that begins (or ends) a word tells where each stands."""
+        lead, out = " " if self.space_joins else "", []
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([lead + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.edges[ids])
+            if len(at) != len(part):  # letters that the tokenizer splits
+                out += self._ids([lead + w for w in part])
+                continue
+            cuts = 4 * (np.append(at, len(ids)) if self.space_joins else np.concatenate([[0], at + 1]))
+            cuts, raw = cuts.tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces, each with the space before it if that joins."""
         known, lead = self.known, " " if self.space_joins else ""
-        cut = [(p, m.groups() if (m := _WORD_AND_MARKS.match(p)) else None) for p in pieces]
-        words = {m[0] for _, m in cut if m} | {p for p, m in cut if not m}
-        marks = {m[1] for _, m in cut if m}
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._ids([lead + w for w in new]), strict=True))
-        ends = list(marks)
-        bare = dict(zip(ends, self._ids(ends), strict=True))
-        known.update((p, known[m[0]] + bare[m[1]]) for p, m in cut if m)
+        words = [p for p in pieces if p.isalpha()]
+        rest = [(p, p.rstrip(_MARKS)) for p in pieces if not p.isalpha()]
+        marked = [(p, w, p[len(w) :]) for p, w in rest if len(w) < len(p) and w.isalnum()]
+        whole = [p for p, w in rest if not (len(w) < len(p) and w.isalnum())]
+        ends = {w for _, w, _ in marked if w not in known}.difference(words)
+        words += [w for w in ends if w.isalpha()]
+        whole += [w for w in ends if not w.isalpha()]
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(whole, self._ids([lead + w for w in whole]), strict=True))
+        marks = list({m for _, _, m in marked})
+        bare = dict(zip(marks, self._ids(marks), strict=True))
+        known.update([(p, known[w] + bare[m]) for p, w, m in marked])
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def _pieces(self, text: str) -> tuple[str | None, list[str]]:
+        """The first piece where it has no space before it, and all others."""
         if not self.space_joins:
-            first, pieces = b"", text.split() if not re.search("[\x1c-\x1f]", text) else text.split(" ")
-        else:
-            pieces = _INNER_SPACE.split(text) if text[0] == " " or text[-1] == " " or _SPACE_RUN.search(text) else text.split(" ")
-            first = self._ids([pieces[0]])[0]
-            del pieces[0]
+            return None, text.split() if not _OTHER_SPACE.search(text) else text.split(" ")
+        pieces = _INNER_SPACE.split(text) if text[0] == " " or text[-1] == " " or _SPACE_RUN.search(text) else text.split(" ")
+        return pieces[0], pieces[1:]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        try:
-            return first + b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-            return first + b"".join([known[p] for p in pieces])
+        if len(known) > self.remembered:
+            known.clear()
+        cut = [self._pieces(t) if t else (None, []) for t in texts]
+        new: set[str] = set()
+        for _, pieces in cut:
+            new.update(set(pieces).difference(known))
+        if new:
+            self._learn(list(new))
+        firsts = iter(self._ids([f for f, _ in cut if f is not None]))
+        return [(next(firsts) if f is not None else b"") + b"".join([known[p] for p in pieces]) for f, pieces in cut]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str, space_joins: bool) -> PieceEncoder:

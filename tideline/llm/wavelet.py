@@ -170,8 +170,8 @@ def written(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_tokens: int
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in sliced(batches, "text", 4 << 20):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = np.frombuffer(enc.encode(text) + end, "<u4")
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
+                found = np.frombuffer(raw + end, "<u4")
                 ids.append(doc_id)
                 held.append(found.astype(np.uint16) if found.max() < 1 << 16 else found)
                 size += len(found)
