@@ -17,8 +17,10 @@ import numpy as np
 #: A piece that ends in ASCII punctuation is cut before it: word and punctuation never merge.
 _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "_")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACE_RUN = re.compile(r" \s|\s ")
-_OTHER_SPACE = re.compile("[\x1c-\x1f]")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+#: Pairs of white space of which one is a space; those of ASCII texts come first.
+_ASCII_RUNS, _ALL_RUNS = (sorted({x for c in _SPACES if ord(c) < limit for x in (f" {c}", f"{c} ")}) for limit in (128, 0x3001))
+_OTHER_SPACE = "\x1c\x1d\x1e\x1f"
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -76,8 +78,9 @@ class PieceEncoder:
     def _pieces(self, text: str) -> tuple[str | None, list[str]]:
         """The first piece where it has no space before it, and all others."""
         if not self.space_joins:
-            return None, text.split() if not _OTHER_SPACE.search(text) else text.split(" ")
-        pieces = _INNER_SPACE.split(text) if text[0] == " " or text[-1] == " " or _SPACE_RUN.search(text) else text.split(" ")
+            return None, text.split() if not any(c in text for c in _OTHER_SPACE) else text.split(" ")
+        runs = any(x in text for x in (_ASCII_RUNS if text.isascii() else _ALL_RUNS))
+        pieces = _INNER_SPACE.split(text) if text[0] == " " or text[-1] == " " or runs else text.split(" ")
         return pieces[0], pieces[1:]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:

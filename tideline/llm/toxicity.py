@@ -35,7 +35,7 @@ SUBSTITUTED, DROPPED, DOUBLED, KEPT = 1.0, 1.5, 4.0, 6.0
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s](?:[ \t]+|[.\-_*][ \t]*)){3,}[^\s](?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S([ \t]{1,3}|[.\-_*])\S(?:\1\S){2,}[.,!?;:]*(?!\S)")
 _HIDDEN = re.compile("[­​-‏⁠﻿͏]")
 _EDGE = ".,;:?\"'()[]{}<>…«»„“”‘’&%=-–—~^#*`/\\"
 
@@ -159,7 +159,7 @@ def prepared(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).translate(ALIKE) if not _latin(text) else _HIDDEN.sub("", text)
     text = text.lower()
-    return _SPACED.sub(lambda m: re.sub(r"(?<=\S)[ \t.\-_*]+(?=\S)", "", m[0]), text)
+    return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
 def _latin(text: str) -> bool:
