@@ -371,25 +371,24 @@ def test_language_model_grows_with_the_corpus(spark):
 def test_open_bins_are_best_fit():
     rng = random.Random(13)
     for most in (1, 3, 50):
-        bins, free, open_bins = packing.OpenBins(32, most), {}, []
+        bins = packing.OpenBins(32, most)
+
+        def now(bins=bins):
+            return {b: free for free, found in enumerate(bins.by_free) for b in found}
+
         for _ in range(500):
-            size = rng.randint(1, 32)
+            size, before = rng.randint(1, 32), now()
             b, offset = bins.put(size)
-            fits = sorted((free[x], x) for x in open_bins if free[x] >= size)
+            after = now()
+            assert len(after) <= most and bins.bits == sum({1 << f for f in after.values()})
+            fits = [f for f in before.values() if f >= size]
             if fits:
-                assert free[b] == fits[0][0]
+                assert before[b] == min(fits) == 32 - offset and after.get(b, 0) == min(fits) - size
+                assert {k: v for k, v in after.items() if k != b} == {k: v for k, v in before.items() if k != b}
             else:
-                assert b not in free and offset == 0
-                if len(open_bins) == most and size < 32:
-                    least = min(free[x] for x in open_bins)
-                    gone = next(x for x in reversed(open_bins) if free[x] == least)
-                    open_bins.remove(gone)
-                free[b] = 32
-                open_bins.append(b)
-            free[b] -= size
-            if not free[b]:
-                open_bins.remove(b)
-            assert len(open_bins) <= most
+                assert b not in before and offset == 0
+                closed = [before[k] for k in before if k not in after]
+                assert closed == ([min(before.values())] if len(before) == most and size < 32 else [])
 
 
 def test_packing(spark, vocabulary):
