@@ -1,0 +1,77 @@
+"""Links, feeds and text of HTML pages, parsed in Arrow batches inside tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideline.functions.urls import host
+
+# fixed values: elements whose content is not the page's own
+SKIPPED = {"script", "style", "noscript", "template"}
+FRAME = {"nav", "header", "footer", "aside", "form"}
+
+
+class _Page(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.skip = self.frame = 0
+        self.text: list[str] = []
+        self.links: list[tuple[str, str]] = []
+        self.href: str | None = None
+        self.anchor: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in SKIPPED
+        self.frame += tag in FRAME
+        found = dict(attrs)
+        if tag == "a" and not self.frame and found.get("href"):
+            self.href, self.anchor = found["href"], []
+        if tag in ("p", "br", "div", "li", "tr", "h1", "h2", "h3"):
+            self.text.append(" ")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in SKIPPED and self.skip > 0
+        self.frame -= tag in FRAME and self.frame > 0
+        if tag == "a" and self.href:
+            self.links.append((self.href, " ".join("".join(self.anchor).split())))
+            self.href = None
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+            if self.href:
+                self.anchor.append(data)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, text, links (array of url, anchor in document order, none from navigation) of each page; null html is empty."""
+    link = pa.list_(pa.struct([("url", pa.string()), ("anchor", pa.string())]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, links = [], []
+            for html in batch.column("html").to_pylist():
+                page = _Page()
+                page.feed(html or "")
+                page.close()
+                texts.append(" ".join("".join(page.text).split()))
+                links.append([{"url": u, "anchor": a} for u, a in page.links])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts), pa.array(links, link)], ["page_id", "text", "links"])
+
+    return pages.select("page_id", "html").mapInArrow(each, "page_id long, text string, links array<struct<url: string, anchor: string>>")
+
+
+def articles(pages: DataFrame, least_chars: int = 20, least_words: int = 3, most: int = 40) -> DataFrame:
+    """page_id, at, url, anchor: links of the same host whose anchor looks like a headline; the first `most` of a page (a feature of listings)."""
+    rows = parsed(pages).join(pages.select("page_id", host("url").alias("_host")), "page_id").select("page_id", "_host", F.posexplode("links").alias("at", "l"))
+    good = rows.select("page_id", "_host", "at", "l.*").where((host("url") == F.col("_host")) | F.col("url").startswith("/"))
+    good = good.where((F.length("anchor") >= least_chars) & (F.size(F.split("anchor", " ")) >= least_words))
+    first = good.groupBy("page_id", "url").agg(F.min(F.struct("at", "anchor")).alias("f"))
+    from tideline.operators.rollup import top_per_group
+
+    return top_per_group(first.select("page_id", "f.at", "url", "f.anchor"), ["page_id"], [F.col("at")], most)
