@@ -127,7 +127,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).otherwise(2)).alias("grade"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, folds_out: int | None = 0) -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 5000, folds_out: int | None = 0) -> Ordinal:
     """The model, fitted on at most `most` labelled documents, those first by a hash of doc_id.
 
     Documents whose crc32(doc_id as text) mod 5 is folds_out are held out (None:

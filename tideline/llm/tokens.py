@@ -9,6 +9,7 @@ memory is a cache: emptying it changes no result.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -27,8 +28,9 @@ _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 class PieceEncoder:
     """space_joins: the vocabulary keeps a space with the word after it (byte-level); otherwise it drops white space."""
 
-    def __init__(self, path: str, space_joins: bool, remembered: int = 700_000):
+    def __init__(self, path: str, space_joins: bool, remembered: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 20, 20)  # lists of pieces come and go without cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,18 +64,23 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces, each with the space before it if that joins."""
         known, lead = self.known, " " if self.space_joins else ""
-        words = [p for p in pieces if p.isalpha()]
-        rest = [(p, p.rstrip(_MARKS)) for p in pieces if not p.isalpha()]
-        marked = [(p, w, p[len(w) :]) for p, w in rest if len(w) < len(p) and w.isalnum()]
-        whole = [p for p, w in rest if not (len(w) < len(p) and w.isalnum())]
-        ends = {w for _, w, _ in marked if w not in known}.difference(words)
+        words, whole, marked = [], [], []
+        for p in pieces:
+            if p.isalpha():
+                words.append(p)
+            elif (w := p.rstrip(_MARKS)) != p and w.isalnum():
+                marked.append((p, w))
+            else:
+                whole.append(p)
+        ends = {w for _, w in marked}.difference(known, words)
         words += [w for w in ends if w.isalpha()]
         whole += [w for w in ends if not w.isalpha()]
         known.update(zip(words, self._words(words), strict=True))
         known.update(zip(whole, self._ids([lead + w for w in whole]), strict=True))
-        marks = list({m for _, _, m in marked})
+        marks = list({p[len(w) :] for p, w in marked})
         bare = dict(zip(marks, self._ids(marks), strict=True))
-        known.update([(p, known[w] + bare[m]) for p, w, m in marked])
+        for p, w in marked:
+            known[p] = known[w] + bare[p[len(w) :]]
 
     def _pieces(self, text: str) -> tuple[str | None, list[str]]:
         """The first piece where it has no space before it, and all others."""
