@@ -28,7 +28,7 @@ _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 class PieceEncoder:
     """space_joins: the vocabulary keeps a space with the word after it (byte-level); otherwise it drops white space."""
 
-    def __init__(self, path: str, space_joins: bool, remembered: int = 1_500_000):
+    def __init__(self, path: str, space_joins: bool, remembered: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.set_threshold(200_000, 20, 20)  # lists of pieces come and go without cycles
         from tokenizers import Tokenizer

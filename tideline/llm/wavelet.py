@@ -156,13 +156,13 @@ def written(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_tokens: int
 
         enc, end, seq = encoder(vocabulary, False), end_id.to_bytes(4, "little"), 0
         ids: list[int | None] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal ids, held, size, seq
             path = own_name(folder, "shard", f"-{seq:05d}.wm")
-            data = encoded(ids, np.array([len(x) for x in held], np.int64), np.concatenate(held))
+            data = encoded(ids, np.array([len(x) // 4 for x in held], np.int64), np.frombuffer(b"".join(held), "<u4"))
             with created(path) as f:
                 f.write(data)
             row = {"part": TaskContext.get().partitionId(), "seq": seq, "path": path, "n_docs": len(ids), "n_tokens": size, "n_bytes": len(data)}
@@ -171,10 +171,9 @@ def written(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_tokens: int
 
         for batch in sliced(batches, "text", 4 << 20):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
-                found = np.frombuffer(raw + end, "<u4")
                 ids.append(doc_id)
-                held.append(found.astype(np.uint16) if found.max() < 1 << 16 else found)
-                size += len(found)
+                held.append(raw + end)
+                size += len(raw) // 4 + 1
                 if size >= shard_tokens:
                     yield close()
         if ids:
@@ -203,7 +202,8 @@ def documents(files: DataFrame) -> DataFrame:
                     shard = WaveletMatrix(f.read())
                 tokens, ends = shard.decode(), np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
-                crcs = [zlib.crc32(tokens[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw = memoryview(tokens.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(start + starts), pa.array(shard.lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
