@@ -1,118 +1,332 @@
-"""Line dedup by an exact set-similarity join, with DataFrame operations only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-case words between white space. A line goes if
 an earlier one (smaller doc_id, or same document and smaller line number) has a
 Jaccard likeness of 4/5 or more with it; likenesses are judged on the input.
 
-Words are ordered by rarity, longer ones first among equally rare ones. Rarity
-is the magnitude of a word's bucket in a count of all words over a fixed number
-of buckets, so it needs no shuffle of words and one small broadcast array. Equal
-sets are brought together first; of the others, a pair that is similar enough
-shares a word in the longer set's probing prefix and the shorter set's index
-prefix. Length, positional and bitmap filters (words that only one of two sets
-has show in the exclusive or of the sets' bitmaps) leave few pairs, which are
-verified on the words. To stay linear in large groups of near copies, a line is
-first held against the previous and the earliest line that share a prefix word;
-only lines without a match there are held against all, the earliest candidate of
-each first.
+Words are ordered by rarity: the level of a word's bucket in a table that counts
+all words of all lines in a fixed number of buckets. Equal sets are brought
+together first; of the others, a pair that is similar enough shares a word in
+the longer set's probing prefix and the shorter set's index prefix. Tasks hold
+the rows of a word in order of set size, so the length filter is a range; bitmap
+(words that only one of two sets has show in the exclusive or of the sets'
+bitmaps), positional and prefix filters leave few pairs, which are verified on
+the words. A row first names its earliest and latest candidate for each word;
+only lines that had more and have no match among those are held against all.
+A word with more than BLOCK rows is dealt to cells of two blocks each, so that
+no task holds all its rows.
+
+Words are cut and hashed in Arrow batches: DataFrame operations alone needed
+more time for sorted sets than the whole operator needs here (see the README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import removed as removed_files
-from tideline.llm.common import saved
+from tideline.llm.common import saved, sliced
 
-BUCKETS, MARKS = 1 << 18, 1 << 20
+BUCKETS, CHUNK, MARKS = 1 << 22, 1 << 16, 1 << 23
 #: Sets of fewer words reach 4/5 only when they are equal.
 LEAST_WORDS = 5
-
-
-def _spaced(line: Column) -> Column:
-    """A line in lower case with all white space as spaces."""
-    other = "\t\r\x0b\x0c"
-    rare = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.lower(F.when(rare, F.translate(line, other, " " * len(other))).otherwise(line))
-
-
-def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(_spaced(line), " "), ""))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of every line; null texts have none, and rows with a null doc_id are left out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """Magnitudes of the buckets of all words, as a constant array."""
-    words = lines.select(F.explode(F.split(_spaced(F.col("line")), " ")).alias("w")).where("w <> ''")
-    found = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # at most BUCKETS rows
-    size = [0] * BUCKETS
-    for r in found:
-        size[r["bucket"]] = int(r["count"]).bit_length()
-    return F.split(F.lit(",".join(map(str, size))), ",").cast("array<int>")
-
-
-def _keys(words: Column, rarity: Column) -> Column:
-    """Words as longs that sort by rarity, then by length (longer first), then by hash."""
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        magnitude = F.element_at(rarity, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int")).cast("long")
-        return F.shiftleft(magnitude * 32 + (31 - F.least(F.length(w), F.lit(31))), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
-
-    return F.sort_array(F.transform(words, key))
-
-
-def _sets(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, n words, bitmap, probing prefix (32 bits of each word), and a 128-bit identity (a, b) of each line with words."""
-    keyed = lines.where(F.trim(_spaced(F.col("line"))) != "").select("doc_id", "line_no", _keys(words_of(F.col("line")), _rarity(lines)).alias("k"))
-    n = F.size("k")
-    bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    return keyed.select(
-        "doc_id", "line_no", F.xxhash64("k").alias("a"), F.xxhash64(F.lit(1), "k").alias("b"), n.alias("n"),
-        F.when(n >= LEAST_WORDS, bits).alias("bits"),
-        F.when(n >= LEAST_WORDS, F.transform(F.slice("k", 1, n - F.floor((n * 4 + 4) / 5).cast("int") + 1), lambda x: F.hash(x))).alias("prefix"),
-    )
-
-
-def _near(x: str, y: str) -> Column:
-    """Length, positional, prefix and bitmap filters for the rows of a word that both sets have; `at` is n and pos in one."""
-    n, m, p, q = (f(F.col(f"{s}at")) for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 32) - 1)) for s in (x, y))
-    least = F.floor((4 * (n + m) + 8) / 9)
-    indexed = lambda size, at: at <= size - F.floor((8 * size + 8) / 9)
-    return (
-        (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= (n + m) / 9)
-        & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-        & (1 + F.least(n - p - 1, m - q - 1) >= least)
-        & F.when(n <= m, indexed(n, p)).otherwise(indexed(m, q))
+#: Rows of a word in a block, rows held by a task, pairs compared at once, words remembered.
+BLOCK, HELD, PAIRS, REMEMBERED = 1 << 15, 1 << 18, 1 << 20, 1 << 19
+
+
+class Words(dict):
+    """Numbers of words, with their hashes; forgets all when it is large."""
+
+    def __init__(self) -> None:
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = n = len(self.hashes)
+        self.hashes.append(xxh64_intdigest(word))
+        return n
+
+    def numbered(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number, and the hashes by number."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.hashes = []
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64)
+        return found, np.array(self.hashes, dtype=np.uint64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id and lower-case text as bytes; rows without one of them are left out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).cast("binary").alias("text"))
+    return rows.where("doc_id is not null and text is not null")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This task's words by bucket, in chunks of the table."""
+    words, table = Words(), np.zeros(BUCKETS, dtype=np.uint32)
+    for batch in sliced(batches, "text", 8 << 20):
+        at, hashes = words.numbered(chain.from_iterable(t.split() for t in batch.column("text").to_pylist()))
+        times = np.bincount(at, minlength=len(hashes))
+        np.add.at(table, (hashes % np.uint64(BUCKETS)).astype(np.int64), times.astype(np.uint32))
+    for i, part in enumerate(table.reshape(-1, CHUNK)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of chunks over all tasks, as levels: four times the binary logarithm, 0 for one word or none."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+    for i, t in total.items():
+        level = np.floor(4 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level], pa.binary())], ["chunk", "levels"])
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """The level of every bucket: BUCKETS bytes at any size of input."""
+    chunks = texts.mapInArrow(_counts, "chunk int, counts binary").repartition("chunk").mapInArrow(_levels, "chunk int, levels binary").collect()
+    table = np.zeros(BUCKETS, dtype=np.uint8)
+    for r in chunks:
+        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, dtype=np.uint8)
+    return table
+
+
+def _mixed(x: np.ndarray, by: int) -> np.ndarray:
+    """Another hash of a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
+    return x ^ (x >> np.uint64(29))
+
+
+def _lines(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each line of a batch that has some, with doc_id and line number."""
+    found, docs, numbers = [], [], []
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, line in enumerate(text.split(b"\n")):
+            if words := line.split():
+                found.append(words)
+                docs.append(doc)
+                numbers.append(i)
+    return found, np.array(docs, dtype=np.int64), np.array(numbers, dtype=np.int32)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc_id, line_no, 128-bit identity of the set (a, b), n words, bitmap and probing prefix (position and 31 bits of each word that is not alone) of each line with words."""
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, levels = Words(), rarity.value
+        for batch in sliced(batches, "text", 8 << 20):
+            lines, docs, numbers = _lines(batch)
+            if not lines:
+                continue
+            at, hashes = known.numbered(chain.from_iterable(lines))
+            level = levels[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((hashes, level))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            both = np.repeat(np.arange(len(lines)), [len(x) for x in lines]) << 32 | rank[at]
+            both.sort()
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            line, word = both >> 32, order[both & 0xFFFFFFFF]
+            starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+            n = np.diff(np.append(starts, len(line)))
+            h = hashes[word]
+            a, b = (np.add.reduceat(_mixed(h, by), starts).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
+            pos = np.arange(len(line)) - np.repeat(starts, n)
+            size = np.repeat(n, n)
+            probing = (size >= LEAST_WORDS) & (pos < size - (4 * size + 4) // 5 + 1) & (level[word] > 0)
+            prefix = (pos[probing] << 32) | (h[probing] >> np.uint64(33)).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(probing.astype(np.int64), starts)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs), pa.array(numbers), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
+                ["doc_id", "line_no", "a", "b", "n", "bits", "prefix"],
+            )
+
+    return texts.mapInArrow(each, "doc_id long, line_no int, a long, b long, n int, bits long, prefix array<long>")
+
+
+def _word(p: Column) -> Column:
+    return p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _dealt(posts: DataFrame, counted: DataFrame) -> DataFrame:
+    """Posts with a cell: 0, or for a word with many posts (by the words of counted) all cells (i, j) of blocks that have the post's block i."""
+    bucket = F.col("word").bitwiseAND(F.lit(0xFFFF))
+    many = {r["b"] for r in counted.groupBy(bucket.alias("b")).count().where(F.col("count") > BLOCK).collect()}  # at most 65536 rows
+    if not many:
+        return posts.select("*", F.lit(0).alias("cell"), F.lit(0).alias("block"))
+    large = counted.where(bucket.isin(*many)).groupBy("word").count().where(F.col("count") > BLOCK)
+    blocks = large.select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    own = posts.join(blocks, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *posts.columns, (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell"), "block"
     )
 
 
-def _marked(ids: DataFrame) -> Column:
-    """A test of (doc_id, line_no) that all of ids pass and few others: a bitmap of fixed size."""
-    bucket = lambda: F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(MARKS))
-    bits = bytearray(MARKS // 8)
-    for r in ids.select(bucket().alias("i")).distinct().collect():  # at most MARKS rows
-        bits[r.i >> 3] |= 1 << (r.i & 7)
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), (F.shiftright(bucket(), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bucket().bitwiseAND(7).cast("int"))) != 0
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, line_no of the pairs' later lines that reach 4/5 with their earlier one, by 64-bit hashes of words."""
+def _pairs_of(x: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (later, earlier, whether the later has more) that pass all filters; every: all pairs with an open later row."""
+    group, n, pos, bits = x["group"], x["n"], x["pos"], x["bits"].view(np.uint64)
+    rank = np.empty(len(n), dtype=np.int64)
+    order = np.lexsort((x["line_no"], x["doc_id"]))
+    new = np.concatenate(([False], (x["doc_id"][order][1:] != x["doc_id"][order][:-1]) | (x["line_no"][order][1:] != x["line_no"][order][:-1])))
+    rank[order] = np.cumsum(new)
+    stop = np.searchsorted(group << 32 | n, group << 32 | 5 * n // 4, side="right")
+    width = stop - np.arange(len(n)) - 1
+    least, most, times = np.full(len(n), len(n)), np.full(len(n), -1), np.zeros(len(n), dtype=np.int64)
+    row = np.empty(len(n), dtype=np.int64)
+    row[rank] = np.arange(len(n))
+    done, ends, out = 0, np.cumsum(width), []
+    total = int(ends[-1]) if len(n) else 0
+    while done < total:
+        until = min(done + PAIRS, total)
+        i0, i1 = np.searchsorted(ends, done, side="right"), np.searchsorted(ends, until, side="left") + 1
+        own = np.arange(i0, i1)
+        first, last = np.maximum(ends[own] - width[own], done), np.minimum(ends[own], until)
+        i = np.repeat(own, last - first)
+        j = np.arange(done, until) - (ends - width)[i] + i + 1
+        done = until
+        ok = 9 * np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) <= n[i] + n[j]
+        ok &= ~x["cross"][i] | (x["block"][i] != x["block"][j])
+        i, j = i[ok], j[ok]
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= (4 * (n[i] + n[j]) + 8) // 9
+        # i is the shorter or equal set: one of the pair has to have the word in its index prefix
+        ok &= (pos[i] <= n[i] - (8 * n[i] + 8) // 9) | ((n[i] == n[j]) & (pos[j] <= n[j] - (8 * n[j] + 8) // 9))
+        ok &= rank[i] != rank[j]
+        i, j = i[ok], j[ok]
+        late = np.where(rank[i] > rank[j], i, j)
+        early = np.where(rank[i] > rank[j], j, i)
+        if every:
+            keep = x["open"][late]
+            out.append((late[keep], early[keep]))
+        else:
+            np.minimum.at(least, late, rank[early])
+            np.maximum.at(most, late, rank[early])
+            np.add.at(times, late, 1)
+    if every:
+        late, early = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return late, early, np.zeros(len(late), dtype=bool)
+    one, two = np.flatnonzero(times > 0), np.flatnonzero((times > 1) & (least != most))
+    late = np.concatenate((one, two))
+    return late, np.concatenate((row[least[one]], row[most[two]])), times[late] > 2
+
+
+def _paired(every: bool):
+    """Candidate pairs of each word's rows; rows come sorted by word, cell and size."""
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        x = {c: t.column(c).to_numpy() for c in t.column_names}
+        edge = np.concatenate(([False], (x["word"][1:] != x["word"][:-1]) | (x["cell"][1:] != x["cell"][:-1])))
+        x |= {"group": np.cumsum(edge), "n": x["at"] >> 32, "pos": x["at"] & 0xFFFFFFFF}
+        # a cell of two blocks has only pairs of one block each
+        starts = np.flatnonzero(np.concatenate(([True], edge[1:])))
+        mixed = np.minimum.reduceat(x["block"], starts) != np.maximum.reduceat(x["block"], starts)
+        x["cross"] = mixed[x["group"]]
+        late, early, more = _pairs_of(x, every)
+        return pa.RecordBatch.from_arrays([pa.array(x["doc_id"][late]), pa.array(x["line_no"][late]), pa.array(x["doc_id"][early]), pa.array(x["line_no"][early]), pa.array(more)], ["doc_id", "line_no", "y_doc", "y_line", "more"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD:
+                t = pa.Table.from_batches(held)
+                word, cell = t.column("word").to_numpy(), t.column("cell").to_numpy()
+                cut = np.flatnonzero((word != word[-1]) | (cell != cell[-1]))
+                cut = int(cut[-1]) + 1 if len(cut) else 0
+                if cut:
+                    yield flush(t.slice(0, cut))
+                held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+        if rows:
+            yield flush(pa.Table.from_batches(held))
+
+    return each
+
+
+def _candidates(posts: DataFrame, counted: DataFrame, every: bool) -> DataFrame:
+    rows = _dealt(posts, counted).repartition("word", "cell").sortWithinPartitions("word", "cell", "at")
+    return rows.mapInArrow(_paired(every), "doc_id long, line_no int, y_doc long, y_line int, more boolean")
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the marks of a task's lines."""
+    seen = np.zeros(MARKS, dtype=bool)
+    for batch in batches:
+        seen[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+    for i, part in enumerate(np.packbits(seen).reshape(-1, CHUNK)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[i] = total.get(i, 0) | np.frombuffer(bits, dtype=np.uint8)
+    for i, t in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _mark(docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    x = docs.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64)
+    return (_mixed(x, 0xC2B2AE3D27D4EB4F) % np.uint64(MARKS)).astype(np.int64)
+
+
+def _held(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, line_no and the words' 64-bit hashes of all lines of pairs (and of few others, by a bitmap of fixed size)."""
     ids = pairs.select("doc_id", "line_no").unionAll(pairs.select("y_doc", "y_line"))
-    held = lines.where(_marked(ids)).select("doc_id", "line_no", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
+    bits = np.zeros(MARKS // 8, dtype=np.uint8)
+    for r in ids.mapInArrow(_marks, "chunk int, bits binary").repartition("chunk").mapInArrow(_joined, "chunk int, bits binary").collect():
+        bits[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.bits, dtype=np.uint8)
+    marks = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = np.unpackbits(marks.value).view(bool), Words()
+        for batch in sliced(batches, "text", 8 << 20):
+            split = [t.split(b"\n") for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in split])
+            docs = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            numbers = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            chosen = np.flatnonzero(wanted[_mark(docs, numbers)])
+            flat = list(chain.from_iterable(split))
+            words = [flat[i].split() for i in chosen.tolist()]
+            at, hashes = known.numbered(chain.from_iterable(words))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[chosen]), pa.array(numbers[chosen]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[at].view(np.int64)))], ["doc_id", "line_no", "w"])
+
+    found = texts.mapInArrow(each, "doc_id long, line_no int, w array<long>")
+    return found.select("doc_id", "line_no", F.array_distinct("w").alias("w"))
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """doc_id, line_no of the pairs' later lines that reach 4/5 with their earlier one."""
     x, y = held.withColumnRenamed("w", "x"), held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("w").alias("y"))
     both = pairs.join(x, ["doc_id", "line_no"]).join(y, ["y_doc", "y_line"])
     common = F.size(F.array_intersect("x", "y"))
     return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("doc_id", "line_no").distinct()
 
 
+def _matched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, line_no of all later lines of pairs with a match: the earliest candidate of each first, others where it fails."""
+    held = saved(_held(pairs, texts), "line-words")
+    pair, line = ["doc_id", "line_no", "y_doc", "y_line"], ["doc_id", "line_no"]
+    first = pairs.groupBy(line).agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select(*line, "y.*")
+    soon = saved(_verified(first, held), "line-settled")
+    rest = pairs.select(pair).join(first, pair, "left_anti").join(soon, line, "left_anti")
+    return soon.unionAll(saved(_verified(rest, held), "line-settled"))
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, exact (whether an earlier line has the same words) of the lines to remove.
 
@@ -120,40 +334,27 @@ def removed(docs: DataFrame) -> DataFrame:
     with a null doc_id are left alone; rows that repeat a doc_id count as the
     same document; an empty table gives no rows; other columns are not read.
     """
-    spark, lines = docs.sparkSession, lines_of(docs)
-    sets = saved(_sets(lines), "line-sets")
-    ident = F.struct("doc_id", "line_no")
+    texts, line = _texts(docs), ["doc_id", "line_no"]
+    sets = saved(_sets(texts), "line-sets")
+    ident = F.struct(*line)
     repeated = sets.groupBy("a", "b").agg(F.min(ident).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
-    equal = saved(sets.select("doc_id", "line_no", "a", "b").join(repeated, ["a", "b"]).where(ident > F.col("first")).select("doc_id", "line_no").distinct(), "line-equal")
-
-    longer = sets.where("prefix is not null")
-    firsts = longer.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("s")).select("s.*")
-    n = F.col("n").cast("long")
-    posts = firsts.select("doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "word")).select("word", "doc_id", "line_no", (F.shiftleft(n, 32) + F.col("pos")).alias("at"), "bits")
-    order = Window.partitionBy("word").orderBy("doc_id", "line_no")
-    before = {f"{p}_{c}": of(c).over(order) for p, of in (("p", F.lag), ("e", F.first)) for c in ("doc_id", "line_no", "at", "bits")}
-    shared = posts.withColumns(before | {"follows": F.lead("line_no").over(order)}).where("p_line_no is not null or follows is not null")
-    candidate = F.when(F.col("p_line_no").isNull(), None)
-    for p in ("p", "e"):
-        candidate = candidate.when(_near("", f"{p}_"), F.struct(F.col(f"{p}_doc_id").alias("doc"), F.col(f"{p}_line_no").alias("line")))
-    shared = saved(shared.select("word", "doc_id", "line_no", "at", "bits", F.col("p_line_no").isNotNull().alias("later"), candidate.alias("y")).select("*", F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line")).drop("y"), "line-posts")
-    removed_files(spark, sets)
-
-    pair = ["doc_id", "line_no", "y_doc", "y_line"]
-    easy = saved(shared.where("y_line is not null").select(pair).distinct(), "line-pairs")
-    settled = saved(_verified(easy, lines), "line-settled")
-    rows = shared.select("word", "doc_id", "line_no", "at", "bits")
-    open_rows = shared.where("later").select(rows.columns).join(settled, ["doc_id", "line_no"], "left_anti")
-    others = rows.select("word", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "line_no", "at", "bits")))
-    earlier = (F.col("y_doc_id") < F.col("doc_id")) | ((F.col("y_doc_id") == F.col("doc_id")) & (F.col("y_line_no") < F.col("line_no")))
-    hard = open_rows.join(others, "word").where(earlier & _near("", "y_"))
-    hard = saved(hard.select("doc_id", "line_no", F.col("y_doc_id").alias("y_doc"), F.col("y_line_no").alias("y_line")).distinct(), "line-pairs")
-    first_pair = hard.groupBy("doc_id", "line_no").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("doc_id", "line_no", "y.*")
-    soon = saved(_verified(first_pair, lines), "line-settled")
-    rest = saved(hard.join(first_pair, pair, "left_anti").join(soon, ["doc_id", "line_no"], "left_anti"), "line-pairs")
-    near_lines = settled.unionAll(soon).unionAll(_verified(rest, lines)).distinct()
+    equal = saved(sets.select(*line, "a", "b").join(repeated, ["a", "b"]).where(ident > F.col("first")).select(*line, "a", "b").distinct(), "line-equal")
+
+    longer = sets.where(F.size("prefix") > 0)
+    firsts = longer.join(equal, [*line, "a", "b"], "left_anti")
+    counted = longer.select(F.explode("prefix").alias("p")).select(_word(F.col("p")).alias("word"))
+    posts = firsts.select(*line, F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "bits", F.explode("prefix").alias("p"))
+    posts = posts.select(_word(F.col("p")).alias("word"), *line, F.col("size").bitwiseOR(F.shiftright("p", 32)).alias("at"), "bits")
+    pairs = saved(_candidates(posts, counted, every=False).groupBy(*line, "y_doc", "y_line").agg(F.max("more").alias("more")), "line-pairs")
+    near = _matched(pairs, texts)
+    unsettled = saved(pairs.where("more").select(line).distinct().join(near, line, "left_anti"), "line-open")
+    if not unsettled.isEmpty():
+        marked = posts.join(unsettled.withColumn("open", F.lit(True)), line, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        words = marked.where("open").select("word").distinct()
+        every = saved(_candidates(marked.join(words, "word", "left_semi"), counted, every=True).drop("more").distinct().join(pairs, [*line, "y_doc", "y_line"], "left_anti"), "line-pairs")
+        near = near.unionAll(_matched(every, texts))
     # a set's later lines go as its equals, its first line as a near match
-    return equal.withColumn("exact", F.lit(True)).unionAll(near_lines.withColumn("exact", F.lit(False)))
+    return equal.select(line).distinct().withColumn("exact", F.lit(True)).unionAll(near.distinct().withColumn("exact", F.lit(False)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
