@@ -305,6 +305,19 @@ def test_line_dedup(spark, vocabulary, seed):
     assert linededup.removed(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_deals_frequent_words(spark, vocabulary, monkeypatch):
+    rng = random.Random(5)
+    base = sentences(rng, 20, vocabulary).split()[:30]
+    texts = []
+    for _ in range(30):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == lines_by_force(texts)
+
+
 def test_quality_learns_grades(spark, vocabulary):
     rng = random.Random(11)
     texts, labels = [], []

@@ -37,6 +37,8 @@ BUCKETS, CHUNK, MARKS = 1 << 22, 1 << 16, 1 << 23
 LEAST_WORDS = 5
 #: Rows of a word in a block, rows held by a task, pairs compared at once, words remembered.
 BLOCK, HELD, PAIRS, REMEMBERED = 1 << 15, 1 << 18, 1 << 20, 1 << 19
+#: Words with many rows that may be broadcast; more of them are joined by a shuffle.
+SMALL = 1 << 16
 
 
 class Words(dict):
@@ -160,12 +162,16 @@ def _word(p: Column) -> Column:
 
 def _dealt(posts: DataFrame, counted: DataFrame) -> DataFrame:
     """Posts with a cell: 0, or for a word with many posts (by the words of counted) all cells (i, j) of blocks that have the post's block i."""
-    bucket = F.col("word").bitwiseAND(F.lit(0xFFFF))
+    bucket, whole = F.col("word").bitwiseAND(F.lit(0xFFFF)), posts.select("*", F.lit(0).alias("cell"), F.lit(0).alias("block"))
     many = {r["b"] for r in counted.groupBy(bucket.alias("b")).count().where(F.col("count") > BLOCK).collect()}  # at most 65536 rows
     if not many:
-        return posts.select("*", F.lit(0).alias("cell"), F.lit(0).alias("block"))
+        return whole
     large = counted.where(bucket.isin(*many)).groupBy("word").count().where(F.col("count") > BLOCK)
-    blocks = large.select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    blocks = saved(large.select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "line-blocks")
+    if (size := blocks.count()) == 0:
+        return whole
+    if size <= SMALL:
+        blocks = F.broadcast(blocks)
     own = posts.join(blocks, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks")).cast("int"))
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
