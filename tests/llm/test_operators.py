@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, linededup, merkle, packing, quality, repeats, simhash, tokens, toxicity, warc, wavelet
+from tideline.llm import decontaminate, linededup, merkle, nearcopies, packing, quality, repeats, simhash, tokens, toxicity, warc, wavelet
 
 TOKENIZERS = "/opt/tokenizers"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,6 +264,35 @@ def test_simhash_large_buckets(spark, monkeypatch):
     assert {x: union.root(x) for x in signed} == {x: brute.root(x) for x in signed}
 
 
+@pytest.mark.parametrize("part", [256, 3])
+def test_near_dedup_takes_near_copies(spark, vocabulary, monkeypatch, part):
+    """The stage against all pairs; in parts of three, most buckets go through cells."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "PART", part)
+    monkeypatch.setattr(nearcopies, "HUBS", 3 if part > 3 else 0)
+    rng = random.Random(18)
+    texts = []
+    for _ in range(25):
+        base = sentences(rng, 150, vocabulary).split()
+        for _ in range(rng.randint(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "one two", "ONE two", "one three"]
+    sets = [set(simhash.hashes(t or "", 5)) for t in texts]
+    union = simhash.Union()
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in near:
+        union.link(i, j)
+    assert sum(sets[i] != sets[j] for i, j in near) > 30
+    expected = {i for i in range(len(texts)) if union.root(i) == i}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, texts), "").collect()} == expected
+    assert nearcopies.clustered(odd_docs(spark)).count() == odd_docs(spark).count()
+    assert nearcopies.clustered(odd_docs(spark).limit(0)).count() == 0
+
+
 def lines_by_force(texts):
     lines = [(d, n, frozenset(w for w in line.lower().translate(str.maketrans("\t\r\x0b\x0c", "    ")).split(" ") if w)) for d, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))]
     out, seen = set(), []

@@ -26,26 +26,32 @@ from tideline.llm.components import Union, components
 SEED, WORDS, DISTANCE, BLOCKS, BUCKET = 42, 3, 3, 6, 512
 
 
-def fingerprint(text: str) -> int:
-    """The SimHash of 3-word shingles of a text lower-cased in A-Z; words stand between ASCII white space."""
+def hashes(text: str, width: int) -> list[int]:
+    """64-bit hashes of a text's shingles of so many words, lower-cased in A-Z; words stand between ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    if len(words) <= WORDS:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: 1 - WORDS].tolist()
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :].tolist(), strict=True)]
+    if len(words) <= width:
+        return [xxh64_intdigest(joined, SEED)]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: 1 - width].tolist()
+    return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str) -> int:
+    """The SimHash of 3-word shingles."""
+    hashed = hashes(text, WORDS)
+    if not hashed:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+    for at in range(0, len(hashed), 1 << 16):
+        part = np.array(hashed[at : at + (1 << 16)], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashed), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
