@@ -293,6 +293,18 @@ def test_near_dedup_takes_near_copies(spark, vocabulary, monkeypatch, part):
     assert nearcopies.clustered(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_simhash_links_last_buckets(spark, monkeypatch):
+    """All fingerprints over three bits: their buckets are over BUCKET in the last round too and must be linked."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    fps = list(range(8))
+    union = simhash.Union()
+    for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect():
+        union.link(r.u, r.v)
+    assert {union.root(x) for x in fps} == {0}
+    masks = {m for a in simhash.finer(0) for b in simhash.finer(a) for m in simhash.finer(b)}
+    assert max(64 - m.bit_count() for m in masks) == simhash.FREE
+
+
 def lines_by_force(texts):
     lines = [(d, n, frozenset(w for w in line.lower().translate(str.maketrans("\t\r\x0b\x0c", "    ")).split(" ") if w)) for d, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))]
     out, seen = set(), []

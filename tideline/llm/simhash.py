@@ -5,7 +5,9 @@ three bits agree in three whole blocks at least, so they share one of the 20
 keys made of three blocks (about 32 bits). Distinct fingerprints meet by key; a
 bucket that is too large for one task is dealt again by three of six parts of
 its remaining bits, at most twice, after which 512 fingerprints at most can
-share a bucket. Inside a bucket all distances are computed, and links go on as
+share a bucket, as masks of different parents that are the same are one bucket
+and a fingerprint stands in it once; such a bucket is always linked, and rows left
+over are an error. Inside a bucket all distances are computed, and links go on as
 a spanning forest of the bucket, never as all pairs.
 """
 
@@ -24,6 +26,7 @@ from tideline.llm.common import saved, sliced, text_of
 from tideline.llm.components import Union, components
 
 SEED, WORDS, DISTANCE, BLOCKS, BUCKET = 42, 3, 3, 6, 512
+FREE = 9  # bits that a mask of the last round leaves free at most
 
 
 def hashes(text: str, width: int) -> list[int]:
@@ -111,7 +114,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     us, vs, ms = us + u, vs + v, ms + [None] * len(u)
                 held, key, large = [], (m[a], p[a]), False
             held.append(f[a:b])
-            if large or sum(map(len, held)) > BUCKET:
+            if large or sum(map(len, held)) > BUCKET and 64 - (int(m[a]) % (1 << 64)).bit_count() > FREE:
                 large = True
                 again = np.concatenate(held).tolist()
                 us, vs, ms = us + again, vs + [None] * len(again), ms + [int(m[a])] * len(again)
@@ -125,15 +128,17 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """Edges u, v whose components are those of all pairs of distinct fingerprints (column fp) within three bits."""
     level, found = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), None
-    for _ in range(3):
+    for turn in range(3):
         keyed = level.mapInArrow(_keys, "mask long, part long, fp long")
+        if turn:
+            keyed = keyed.distinct()  # different masks have finer masks in common
         dealt = saved(keyed.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(_buckets, "u long, v long, mask long"), "links")
         edges = dealt.where("v is not null").select("u", "v")
         found = edges if found is None else found.unionAll(edges)
         level = dealt.where("v is null").select("mask", F.col("u").alias("fp"))
         if level.isEmpty():
-            break
-    return found
+            return found
+    raise ValueError("buckets are left over after three rounds")
 
 
 def clustered(docs: DataFrame) -> DataFrame:
