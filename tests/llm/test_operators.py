@@ -16,6 +16,10 @@ TOKENIZERS = "/opt/tokenizers"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: Names that operators use for columns of their own.
+CLASHES = ["words", "gone", "lines", "line", "line_no", "word", "levels", "key", "offset", "sequence_id", "piece", "length", "start", "fp", "component_id", "item_id", "found", "grade", "score", "shingles", "u", "v", "a", "b"]
+
+
 def docs_of(spark, texts, start=0):
     rows = [(start + i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS).repartition(3)
@@ -27,7 +31,7 @@ def odd_docs(spark):
     texts = [None, "", "   ", "\n\n", "a", word * 3, word * 3, word * 4000, "ä ö\x00ü " * 20]
     df = docs_of(spark, texts)
     more = spark.createDataFrame([(None, "x y z", None, None, None), (5, word * 3, "en", "s", 9)], DOCS)
-    return df.unionAll(more).withColumn("w", F.lit(1)).withColumn("words", F.lit("clash")).withColumn("_gone", F.lit(0))
+    return df.unionAll(more).withColumn("w", F.lit(1)).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 def sentences(rng, n, words):
@@ -346,17 +350,31 @@ def test_line_dedup(spark, vocabulary, seed):
     assert linededup.removed(odd_docs(spark).limit(0)).count() == 0
 
 
-def test_line_dedup_deals_frequent_words(spark, vocabulary, monkeypatch):
+def test_line_dedup_frequent_lines_and_words(spark, vocabulary, monkeypatch):
+    """One line and one word stand in a third of all rows, and a group of near copies has a chain of edits."""
     rng = random.Random(5)
-    base = sentences(rng, 20, vocabulary).split()[:30]
-    texts = []
+    base = sentences(rng, 30, vocabulary).split()
+    texts = [sentences(rng, 12, vocabulary) + "\nthe same line stands in many of these texts" for _ in range(25)]
+    texts += ["everywhere " + sentences(rng, 9, vocabulary) for _ in range(25)]
     for _ in range(30):
         words = list(base)
         for _ in range(rng.randint(0, 5)):
             words[rng.randrange(len(words))] = rng.choice(vocabulary)
         texts.append(" ".join(words))
-    monkeypatch.setattr(linededup, "BLOCK", 4)
-    assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == lines_by_force(texts)
+    for i in range(20):  # each near to the one before it only
+        base = base[2:] + [f"new{i}", f"word{i}"]
+        texts.append(" ".join(base) + "\n\u00c4\u00d6 " + " ".join(base[::-1]).upper())
+    expected = lines_by_force(texts)
+    assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == expected
+    monkeypatch.setattr(linededup, "SMALL", 0)  # shuffled joins instead of broadcasts
+    assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == expected
+
+
+def test_line_dedup_runs_no_python(spark, vocabulary):
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "x"])
+    for df in (linededup.removed(docs), linededup.clean(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan and "Python" not in plan
 
 
 def test_quality_learns_grades(spark, vocabulary):

@@ -1,377 +1,212 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, on DataFrame functions alone.
 
 A line is the set of its lower-case words between white space. A line goes if
 an earlier one (smaller doc_id, or same document and smaller line number) has a
 Jaccard likeness of 4/5 or more with it; likenesses are judged on the input.
 
-Words are ordered by rarity: the level of a word's bucket in a table that counts
-all words of all lines in a fixed number of buckets. Equal sets are brought
-together first; of the others, a pair that is similar enough shares a word in
-the longer set's probing prefix and the shorter set's index prefix. Tasks hold
-the rows of a word in order of set size, so the length filter is a range; bitmap
-(words that only one of two sets has show in the exclusive or of the sets'
-bitmaps), positional and prefix filters leave few pairs, which are verified on
-the words. A row first names its earliest and latest candidate for each word;
-only lines that had more and have no match among those are held against all.
-A word with more than BLOCK rows is dealt to cells of two blocks each, so that
-no task holds all its rows.
-
-Words are cut and hashed in Arrow batches: DataFrame operations alone needed
-more time for sorted sets than the whole operator needs here (see the README).
+Words are ordered by rarity: all words of all lines are counted in BUCKETS
+buckets of their hashes, and a word's number starts with the level of its bucket.
+The first line of each set of words stands for its equals. Of the others, a
+similar pair shares a word of both prefixes, and the first such word leaves
+enough words behind it in both (positional filter, which holds the shorter one
+to its index prefix); sizes must fit; and the words that only one of the lines
+has must show in the exclusive or of their bitmaps. What is left is verified on
+64-bit hashes of the words, cut from the lines again.
+
+Pairs inside a group of similar lines are not all made: a line is first held
+against the earliest line that has two neighbours of its chosen words, and only lines without a match there look for one by their prefixes, among all
+earlier lines. A very frequent prefix word is a skewed join key, which Spark
+splits; equal lines never meet in one key, as they are told apart from first
+lines by their place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import saved, sliced
+from tideline.llm.common import fresh, saved
+from tideline.llm.common import removed as deleted
 
-BUCKETS, CHUNK, MARKS = 1 << 22, 1 << 16, 1 << 23
+#: Buckets of word counts, as rows of ROW; a table of one byte each at any size of input.
+BUCKETS, ROW = 1 << 20, 1 << 10
+#: Bits of a word's number below its level.
+LEVEL = 57
 #: Sets of fewer words reach 4/5 only when they are equal.
 LEAST_WORDS = 5
-#: Rows of a word in a block, rows held by a task, pairs compared at once, words remembered.
-BLOCK, HELD, PAIRS, REMEMBERED = 1 << 15, 1 << 18, 1 << 20, 1 << 19
-#: Words with many rows that may be broadcast; more of them are joined by a shuffle.
-SMALL = 1 << 16
+#: Lines (document and number) that may be broadcast; more of them are joined by a shuffle.
+SMALL = 1 << 19
+SPACE = " \t\r\x0b\f"
 
 
-class Words(dict):
-    """Numbers of words, with their hashes; forgets all when it is large."""
+def _trimmed(line: Column) -> Column:
+    """line without white space at its ends; few lines have some."""
+    ends = [test(line, F.lit(c)) for c in SPACE for test in (F.startswith, F.endswith)]
+    return F.when(reduce(Column.__or__, ends), F.trim(line, F.lit(SPACE))).otherwise(line)
 
-    def __init__(self) -> None:
-        self.hashes: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+def _words(line: Column) -> Column:
+    return F.split(line, f"[{SPACE}]+")
 
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxh64_intdigest(word))
-        return n
 
-    def numbered(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's number, and the hashes by number."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.hashes = []
-        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64)
-        return found, np.array(self.hashes, dtype=np.uint64)
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id and lower-case text as bytes; rows without one of them are left out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).cast("binary").alias("text"))
+    """doc_id and text of the rows that have both."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.where("doc_id is not null and text is not null")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's words by bucket, in chunks of the table."""
-    words, table = Words(), np.zeros(BUCKETS, dtype=np.uint32)
-    for batch in sliced(batches, "text", 8 << 20):
-        at, hashes = words.numbered(chain.from_iterable(t.split() for t in batch.column("text").to_pylist()))
-        times = np.bincount(at, minlength=len(hashes))
-        np.add.at(table, (hashes % np.uint64(BUCKETS)).astype(np.int64), times.astype(np.uint32))
-    for i, part in enumerate(table.reshape(-1, CHUNK)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of chunks over all tasks, as levels: four times the binary logarithm, 0 for one word or none."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[i] = total.get(i, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
-    for i, t in total.items():
-        level = np.floor(4 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level], pa.binary())], ["chunk", "levels"])
-
-
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """The level of every bucket: BUCKETS bytes at any size of input."""
-    chunks = texts.mapInArrow(_counts, "chunk int, counts binary").repartition("chunk").mapInArrow(_levels, "chunk int, levels binary").collect()
-    table = np.zeros(BUCKETS, dtype=np.uint8)
-    for r in chunks:
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, dtype=np.uint8)
-    return table
-
-
-def _mixed(x: np.ndarray, by: int) -> np.ndarray:
-    """Another hash of a 64-bit hash."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
-    return x ^ (x >> np.uint64(29))
-
-
-def _lines(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each line of a batch that has some, with doc_id and line number."""
-    found, docs, numbers = [], [], []
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        for i, line in enumerate(text.split(b"\n")):
-            if words := line.split():
-                found.append(words)
-                docs.append(doc)
-                numbers.append(i)
-    return found, np.array(docs, dtype=np.int64), np.array(numbers, dtype=np.int32)
+def _lines(texts: DataFrame, lower: bool = True) -> DataFrame:
+    """doc_id, line_no and line (trimmed) of lines with words."""
+    text = F.lower("text") if lower else F.col("text")
+    cut = texts.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return cut.select("doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+
+
+def _levels(texts: DataFrame) -> DataFrame:
+    """One row: the levels of all buckets; a level rises by three while the count doubles twice."""
+    words = texts.select(F.explode(F.split(F.lower("text"), f"[\n{SPACE}]+")).alias("word"))
+    counted = words.select(_bucket(F.xxhash64("word")).alias("bucket"), F.lit(1).cast("long").alias("times"))
+    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("times"))
+    total = counted.unionAll(every).groupBy("bucket").agg(F.greatest(F.sum("times"), F.lit(1)).alias("times"))
+    level = total.select("bucket", F.least(F.floor(1.5 * F.log2("times")), F.lit(62)).cast("tinyint").alias("level"))
+    rows = level.groupBy(F.floor(F.col("bucket") / ROW).alias("row")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("found"))
+    rows = rows.select("row", F.col("found.level").alias("levels"))
+    return rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("row", "levels"))).alias("rows")).select(F.flatten("rows.levels").alias("levels"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """doc_id, line_no, 128-bit identity of the set (a, b), n words, bitmap and probing prefix (position and 31 bits of each word that is not alone) of each line with words."""
-    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, levels = Words(), rarity.value
-        for batch in sliced(batches, "text", 8 << 20):
-            lines, docs, numbers = _lines(batch)
-            if not lines:
-                continue
-            at, hashes = known.numbered(chain.from_iterable(lines))
-            level = levels[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-            order = np.lexsort((hashes, level))
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
-            both = np.repeat(np.arange(len(lines)), [len(x) for x in lines]) << 32 | rank[at]
-            both.sort()
-            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
-            line, word = both >> 32, order[both & 0xFFFFFFFF]
-            starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-            n = np.diff(np.append(starts, len(line)))
-            h = hashes[word]
-            a, b = (np.add.reduceat(_mixed(h, by), starts).view(np.int64) for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
-            pos = np.arange(len(line)) - np.repeat(starts, n)
-            size = np.repeat(n, n)
-            probing = (size >= LEAST_WORDS) & (pos < size - (4 * size + 4) // 5 + 1) & (level[word] > 0)
-            prefix = (pos[probing] << 32) | (h[probing] >> np.uint64(33)).astype(np.int64)
-            offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(probing.astype(np.int64), starts)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs), pa.array(numbers), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
-                ["doc_id", "line_no", "a", "b", "n", "bits", "prefix"],
-            )
-
-    return texts.mapInArrow(each, "doc_id long, line_no int, a long, b long, n int, bits long, prefix array<long>")
-
-
-def _word(p: Column) -> Column:
-    return p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-
-
-def _dealt(posts: DataFrame, counted: DataFrame) -> DataFrame:
-    """Posts with a cell: 0, or for a word with many posts (by the words of counted) all cells (i, j) of blocks that have the post's block i."""
-    bucket, whole = F.col("word").bitwiseAND(F.lit(0xFFFF)), posts.select("*", F.lit(0).alias("cell"), F.lit(0).alias("block"))
-    many = {r["b"] for r in counted.groupBy(bucket.alias("b")).count().where(F.col("count") > BLOCK).collect()}  # at most 65536 rows
-    if not many:
-        return whole
-    large = counted.where(bucket.isin(*many)).groupBy("word").count().where(F.col("count") > BLOCK)
-    blocks = saved(large.select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "line-blocks")
-    if (size := blocks.count()) == 0:
-        return whole
-    if size <= SMALL:
-        blocks = F.broadcast(blocks)
-    own = posts.join(blocks, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks")).cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *posts.columns, (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell"), "block"
-    )
-
-
-def _pairs_of(x: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (later, earlier, whether the later has more) that pass all filters; every: all pairs with an open later row."""
-    group, n, pos, bits = x["group"], x["n"], x["pos"], x["bits"].view(np.uint64)
-    rank = np.empty(len(n), dtype=np.int64)
-    order = np.lexsort((x["line_no"], x["doc_id"]))
-    new = np.concatenate(([False], (x["doc_id"][order][1:] != x["doc_id"][order][:-1]) | (x["line_no"][order][1:] != x["line_no"][order][:-1])))
-    rank[order] = np.cumsum(new)
-    stop = np.searchsorted(group << 32 | n, group << 32 | 5 * n // 4, side="right")
-    width = stop - np.arange(len(n)) - 1
-    least, most, times = np.full(len(n), len(n)), np.full(len(n), -1), np.zeros(len(n), dtype=np.int64)
-    row = np.empty(len(n), dtype=np.int64)
-    row[rank] = np.arange(len(n))
-    done, ends, out = 0, np.cumsum(width), []
-    total = int(ends[-1]) if len(n) else 0
-    while done < total:
-        until = min(done + PAIRS, total)
-        i0, i1 = np.searchsorted(ends, done, side="right"), np.searchsorted(ends, until, side="left") + 1
-        own = np.arange(i0, i1)
-        first, last = np.maximum(ends[own] - width[own], done), np.minimum(ends[own], until)
-        i = np.repeat(own, last - first)
-        j = np.arange(done, until) - (ends - width)[i] + i + 1
-        done = until
-        ok = 9 * np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) <= n[i] + n[j]
-        ok &= ~x["cross"][i] | (x["block"][i] != x["block"][j])
-        i, j = i[ok], j[ok]
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= (4 * (n[i] + n[j]) + 8) // 9
-        # i is the shorter or equal set: one of the pair has to have the word in its index prefix
-        ok &= (pos[i] <= n[i] - (8 * n[i] + 8) // 9) | ((n[i] == n[j]) & (pos[j] <= n[j] - (8 * n[j] + 8) // 9))
-        ok &= rank[i] != rank[j]
-        i, j = i[ok], j[ok]
-        late = np.where(rank[i] > rank[j], i, j)
-        early = np.where(rank[i] > rank[j], j, i)
-        if every:
-            keep = x["open"][late]
-            out.append((late[keep], early[keep]))
-        else:
-            np.minimum.at(least, late, rank[early])
-            np.maximum.at(most, late, rank[early])
-            np.add.at(times, late, 1)
-    if every:
-        late, early = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return late, early, np.zeros(len(late), dtype=bool)
-    one, two = np.flatnonzero(times > 0), np.flatnonzero((times > 1) & (least != most))
-    late = np.concatenate((one, two))
-    return late, np.concatenate((row[least[one]], row[most[two]])), times[late] > 2
-
-
-def _paired(every: bool):
-    """Candidate pairs of each word's rows; rows come sorted by word, cell and size."""
-
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        x = {c: t.column(c).to_numpy() for c in t.column_names}
-        edge = np.concatenate(([False], (x["word"][1:] != x["word"][:-1]) | (x["cell"][1:] != x["cell"][:-1])))
-        x |= {"group": np.cumsum(edge), "n": x["at"] >> 32, "pos": x["at"] & 0xFFFFFFFF}
-        # a cell of two blocks has only pairs of one block each
-        starts = np.flatnonzero(np.concatenate(([True], edge[1:])))
-        mixed = np.minimum.reduceat(x["block"], starts) != np.maximum.reduceat(x["block"], starts)
-        x["cross"] = mixed[x["group"]]
-        late, early, more = _pairs_of(x, every)
-        return pa.RecordBatch.from_arrays([pa.array(x["doc_id"][late]), pa.array(x["line_no"][late]), pa.array(x["doc_id"][early]), pa.array(x["line_no"][early]), pa.array(more)], ["doc_id", "line_no", "y_doc", "y_line", "more"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= HELD:
-                t = pa.Table.from_batches(held)
-                word, cell = t.column("word").to_numpy(), t.column("cell").to_numpy()
-                cut = np.flatnonzero((word != word[-1]) | (cell != cell[-1]))
-                cut = int(cut[-1]) + 1 if len(cut) else 0
-                if cut:
-                    yield flush(t.slice(0, cut))
-                held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
-        if rows:
-            yield flush(pa.Table.from_batches(held))
-
-    return each
-
-
-def _candidates(posts: DataFrame, counted: DataFrame, every: bool) -> DataFrame:
-    rows = _dealt(posts, counted).repartition("word", "cell").sortWithinPartitions("word", "cell", "at")
-    return rows.mapInArrow(_paired(every), "doc_id long, line_no int, y_doc long, y_line int, more boolean")
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the marks of a task's lines."""
-    seen = np.zeros(MARKS, dtype=bool)
-    for batch in batches:
-        seen[_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-    for i, part in enumerate(np.packbits(seen).reshape(-1, CHUNK)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[i] = total.get(i, 0) | np.frombuffer(bits, dtype=np.uint8)
-    for i, t in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["chunk", "bits"])
-
-
-def _mark(docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    x = docs.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64)
-    return (_mixed(x, 0xC2B2AE3D27D4EB4F) % np.uint64(MARKS)).astype(np.int64)
-
-
-def _held(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, line_no and the words' 64-bit hashes of all lines of pairs (and of few others, by a bitmap of fixed size)."""
-    ids = pairs.select("doc_id", "line_no").unionAll(pairs.select("y_doc", "y_line"))
-    bits = np.zeros(MARKS // 8, dtype=np.uint8)
-    for r in ids.mapInArrow(_marks, "chunk int, bits binary").repartition("chunk").mapInArrow(_joined, "chunk int, bits binary").collect():
-        bits[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.bits, dtype=np.uint8)
-    marks = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = np.unpackbits(marks.value).view(bool), Words()
-        for batch in sliced(batches, "text", 8 << 20):
-            split = [t.split(b"\n") for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in split])
-            docs = np.repeat(batch.column("doc_id").to_numpy(), sizes)
-            numbers = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            chosen = np.flatnonzero(wanted[_mark(docs, numbers)])
-            flat = list(chain.from_iterable(split))
-            words = [flat[i].split() for i in chosen.tolist()]
-            at, hashes = known.numbered(chain.from_iterable(words))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[chosen]), pa.array(numbers[chosen]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[at].view(np.int64)))], ["doc_id", "line_no", "w"])
-
-    found = texts.mapInArrow(each, "doc_id long, line_no int, w array<long>")
-    return found.select("doc_id", "line_no", F.array_distinct("w").alias("w"))
-
-
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """doc_id, line_no of the pairs' later lines that reach 4/5 with their earlier one."""
-    x, y = held.withColumnRenamed("w", "x"), held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("w").alias("y"))
-    both = pairs.join(x, ["doc_id", "line_no"]).join(y, ["y_doc", "y_line"])
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("doc_id", "line_no").distinct()
+    """doc_id, line_no and the words' numbers w, rarest first, of lines with words."""
+    lines = _lines(texts).withColumn("levels", _levels(texts).scalar())
+
+    def number(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get("levels", _bucket(h)).cast("long"), LEVEL).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL))
+
+    return lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), number))).alias("w"))
+
+
+def _needed(n: Column, m: Column) -> Column:
+    """Common words of sets of n and m words that reach 4/5."""
+    return F.ceil(4 * (n + m) / 9)
+
+
+def _firsts(texts: DataFrame) -> DataFrame:
+    """doc_id, line_no of the first line with each set of words, its size n, bitmap, prefix and keys."""
+    sets = _sets(texts).select("doc_id", "line_no", "w", F.size("w").alias("n"))
+    bit = lambda seen, x: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    n, large = F.col("n"), F.col("n") >= LEAST_WORDS
+    # of n words about four to eight are chosen by their own hashes; neighbours among them are keys
+    sets = sets.withColumn("mask", F.shiftright(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"), 2) - 1)
+    sets = sets.withColumn("chosen", F.when(large, F.filter("w", lambda x: x.bitwiseAND(F.col("mask")) == 0)))
+    places = F.when(F.size("chosen") > 1, F.sequence(F.lit(0), F.size("chosen") - 2))
+    sets = sets.select(
+        "doc_id", "line_no", "n", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"),
+        F.when(large, F.aggregate("w", F.lit(0).cast("long"), bit)).alias("bits"),
+        F.when(large, F.slice("w", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1)).alias("prefix"),
+        F.transform(places, lambda i: F.xxhash64(F.get("chosen", i), F.get("chosen", i + 1))).alias("keys"),
+    )
+    found = sets.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first(F.struct("n", "bits", "prefix", "keys")).alias("of"))
+    return found.select("at.*", "of.*")
+
+
+def _fits(x: str, y: str) -> Column:
+    """Sizes and bitmaps of x and y allow for 4/5; sizes may be negative (see _pairs)."""
+    n, m = F.abs(F.col(f"{x}.n")), F.abs(F.col(f"{y}.n"))
+    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * differ <= n + m)
+
+
+def _later(x: str, y: str) -> Column:
+    return (F.col(f"{x}.doc_id") > F.col(f"{y}.doc_id")) | ((F.col(f"{x}.doc_id") == F.col(f"{y}.doc_id")) & (F.col(f"{x}.line_no") > F.col(f"{y}.line_no")))
+
+
+def _ids(x: str, y: str) -> list[Column]:
+    return [F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line_no").alias("line_no"), F.col(f"{y}.doc_id").alias("y_doc"), F.col(f"{y}.line_no").alias("y_line")]
+
+
+def _leading(firsts: DataFrame) -> DataFrame:
+    """Pairs of a line and the earliest line with one of its keys."""
+    keyed = firsts.select("doc_id", "line_no", "n", "bits", F.explode("keys").alias("key"))
+    leads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "bits")).alias("y"), F.count("*").alias("times"))
+    both = keyed.alias("x").join(leads.where("times > 1").select("key", "y.*").alias("y"), "key")
+    return both.where(_later("x", "y") & _fits("x", "y")).select(*_ids("x", "y")).distinct()
+
+
+def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of a line that is not settled and an earlier line that pass all filters.
+
+    Sizes of settled lines are negative: the conditions then speak of both
+    sides, and one exchange of the rows serves both.
+    """
+    marked = firsts.where(F.size("prefix") > 0).join(settled.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left")
+    n = F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))
+    posts = marked.select("doc_id", "line_no", n.alias("n"), "bits", F.posexplode("prefix").alias("pos", "word"))
+    x, y = posts.alias("x"), posts.alias("y")
+    n, m = F.col("x.n"), F.abs(F.col("y.n"))
+    enough = F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= _needed(n, m)
+    both = x.join(y, (F.col("x.word") == F.col("y.word")) & _later("x", "y") & (5 * n >= 4 * m) & enough & _fits("x", "y"))
+    return both.select(*_ids("x", "y")).distinct()
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows (a written table of document and line number), to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def _matched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, line_no of all later lines of pairs with a match: the earliest candidate of each first, others where it fails."""
-    held = saved(_held(pairs, texts), "line-words")
-    pair, line = ["doc_id", "line_no", "y_doc", "y_line"], ["doc_id", "line_no"]
-    first = pairs.groupBy(line).agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select(*line, "y.*")
-    soon = saved(_verified(first, held), "line-settled")
-    rest = pairs.select(pair).join(first, pair, "left_anti").join(soon, line, "left_anti")
-    return soon.unionAll(saved(_verified(rest, held), "line-settled"))
+    """doc_id, line_no of the later lines of pairs (written) that reach 4/5."""
+    line = ["doc_id", "line_no"]
+    wanted = saved(pairs.select(*line).unionAll(pairs.select("y_doc", "y_line")).distinct(), "line-wanted")
+    cut = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(_few(wanted), line, "left_semi")
+    held = saved(cut.select(*line, F.array_distinct(F.transform(_words(_trimmed(F.lower("line"))), lambda x: F.xxhash64(x))).alias("x")), "line-words")
+    x, y = held, held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("x").alias("y"))
+    both = pairs.join(x, line).join(y, ["y_doc", "y_line"])
+    found = saved(both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"))).select(*line).distinct(), "line-settled")
+    for table in (wanted, held):
+        deleted(texts.sparkSession, table)
+    return found
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, exact (whether an earlier line has the same words) of the lines to remove.
 
     Empty lines and lines of white space stay; null texts have no lines; rows
-    with a null doc_id are left alone; rows that repeat a doc_id count as the
-    same document; an empty table gives no rows; other columns are not read.
+    with a null doc_id are left alone; an empty table gives no rows; other columns
+    are not read. Of rows that repeat a doc_id, lines of one number count as one:
+    they are listed unless one of them is the first of its words and without match.
     """
     texts, line = _texts(docs), ["doc_id", "line_no"]
-    sets = saved(_sets(texts), "line-sets")
-    ident = F.struct(*line)
-    repeated = sets.groupBy("a", "b").agg(F.min(ident).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
-    equal = saved(sets.select(*line, "a", "b").join(repeated, ["a", "b"]).where(ident > F.col("first")).select(*line, "a", "b").distinct(), "line-equal")
-
-    longer = sets.where(F.size("prefix") > 0)
-    firsts = longer.join(equal, [*line, "a", "b"], "left_anti")
-    counted = longer.select(F.explode("prefix").alias("p")).select(_word(F.col("p")).alias("word"))
-    posts = firsts.select(*line, F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "bits", F.explode("prefix").alias("p"))
-    posts = posts.select(_word(F.col("p")).alias("word"), *line, F.col("size").bitwiseOR(F.shiftright("p", 32)).alias("at"), "bits")
-    pairs = saved(_candidates(posts, counted, every=False).groupBy(*line, "y_doc", "y_line").agg(F.max("more").alias("more")), "line-pairs")
-    near = _matched(pairs, texts)
-    unsettled = saved(pairs.where("more").select(line).distinct().join(near, line, "left_anti"), "line-open")
-    if not unsettled.isEmpty():
-        marked = posts.join(unsettled.withColumn("open", F.lit(True)), line, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        words = marked.where("open").select("word").distinct()
-        every = saved(_candidates(marked.join(words, "word", "left_semi"), counted, every=True).drop("more").distinct().join(pairs, [*line, "y_doc", "y_line"], "left_anti"), "line-pairs")
-        near = near.unionAll(_matched(every, texts))
-    # a set's later lines go as its equals, its first line as a near match
-    return equal.select(line).distinct().withColumn("exact", F.lit(True)).unionAll(near.distinct().withColumn("exact", F.lit(False)))
+    spark = docs.sparkSession
+    firsts = saved(_firsts(texts), "line-firsts")
+    leading = saved(_leading(firsts), "line-pairs")
+    soon = _matched(leading, texts)
+    deleted(spark, leading)
+    pairs = saved(_pairs(firsts, _few(soon)), "line-pairs")
+    near = soon.unionAll(_matched(pairs, texts)).distinct().withColumn("exact", F.lit(False))
+    deleted(spark, pairs)
+    exact = _lines(texts, lower=False).select(*line).join(firsts.select(*line), line, "left_anti").distinct().withColumn("exact", F.lit(True))
+    return exact.unionAll(near)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without the lines to remove.
 
-    Documents without lines left stay, empty; n_chars, if there, follows the text.
+    Documents without lines left stay, empty; a null text or doc_id stays as it is,
+    rows that repeat a doc_id lose the same line numbers, an empty table stays
+    empty; n_chars, if there, follows the text; other columns may have any names.
     """
-    gone = removed(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone_lines"))
-    joined = docs.join(gone, "doc_id", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone_lines", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(docs.columns)
+    gone, lines = fresh(docs, "gone"), fresh(docs, "lines")
+    found = removed(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
+    cut = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.split(F.col("text").cast("string"), "\n").alias(lines))
+    joined = cut.join(found, "doc_id", "left")
+    # the lines are split below the join, so that one is found by its number at once
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    text = F.array_join(F.when(F.col(gone).isNull() | F.col(lines).isNull(), F.col(lines)).otherwise(kept), "\n")
+    out = {"text": text} | ({"n_chars": F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
+    return joined.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
