@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
+import itertools
+import os
 import random
 import zlib
 
@@ -10,9 +13,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, linededup, merkle, nearcopies, packing, quality, repeats, simhash, tokens, toxicity, warc, wavelet
+from tideline.llm import decontaminate, linededup, merkle, nearcopies, packing, quality, queries, repeats, simhash, tokens, toxicity, warc, wavelet
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(queries.vocabulary("word_bpe_49k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -84,6 +87,23 @@ def test_decontamination_finds_edited_items(spark, vocabulary):
     assert decontaminate.matches(odd_docs(spark), bench.limit(0)).count() == 0
 
 
+def likeness_by_force(a, b):
+    """The share of characters in sections, else paragraphs, else sentences that both have, each as often as both have it."""
+    if a.digest == b.digest or not a.size + b.size:
+        return 1.0
+    same, left, right = 0, list(a.below), list(b.below)
+    for _ in range(3):
+        for x in list(left):
+            for y in right:
+                if x.digest == y.digest:
+                    same += x.size
+                    left.remove(x)
+                    right.remove(y)
+                    break
+        left, right = [z for x in left for z in x.below], [z for y in right for z in y.below]
+    return 2 * same / (a.size + b.size)
+
+
 def test_merkle(spark, vocabulary):
     rng = random.Random(3)
     texts = ["\n".join(sentences(rng, 12, vocabulary).capitalize() + "." for _ in range(rng.randint(0, 30))) for _ in range(25)] + [None, "", "same", "same"]
@@ -96,7 +116,9 @@ def test_merkle(spark, vocabulary):
         assert rows[doc].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
         assert rows[doc].n_chars == len(plain[doc])
         assert rows[doc].fingerprint == merkle.fingerprint(merkle.tree(plain[doc]))
-        assert 0 <= rows[doc].near_next <= 1 and 0 <= rows[doc].near_edited <= 1
+        mine = merkle.parsed(rows[doc].fingerprint)
+        assert rows[doc].near_edited == likeness_by_force(mine, merkle.parsed(rows[doc].edited_fingerprint))
+        assert rows[doc].near_next == likeness_by_force(mine, merkle.parsed(rows[order[(i + 1) % len(order)]].fingerprint))
     assert rows[27].fingerprint == rows[28].fingerprint and rows[28].near_next == 1.0
     for t in plain:
         assert merkle.tree(t).size == len(t) and sum(s.size for s in merkle.tree(t).below) == len(t)
@@ -170,7 +192,6 @@ def test_wavelet_files(spark, vocabulary):
     t = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
     rng = random.Random(4)
     texts = [sentences(rng, rng.randint(0, 200), vocabulary) for _ in range(30)] + [None, "", "<|endoftext|> Ünïcode 12,5%"]
-    t.encode_special_tokens = True
     files = wavelet.written(docs_of(spark, texts), f"{TOKENIZERS}/word_bpe_49k.json", shard_tokens=500)
     rows, start = {r.doc_id: r for r in wavelet.documents(files).collect()}, 0
     for i, text in enumerate(texts):
@@ -186,9 +207,8 @@ def test_tokens_equal_the_library(name, joins):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(f"{TOKENIZERS}/{name}")
-    t.encode_special_tokens = True
     rng = random.Random(5)
-    texts = ["", " ", "a  b", "don't it's", "İstanbul ẞ", "naïve é", "<|endoftext|> x", "\x1c a"] + ["".join(rng.choice("ab É\n\t .,'!1́日ß ") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    texts = ["", " ", "a  b", "don't it's", "İstanbul ẞ", "naïve é", "<|endoftext|> x", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|>", "\x1c a"] + ["".join(rng.choice("ab É\n\t .,'!1́日ß ") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     e = tokens.PieceEncoder(f"{TOKENIZERS}/{name}", joins, remembered=500)
     for a in range(0, len(texts), 300):
         for text, ids in zip(texts[a : a + 300], e.encode_all(texts[a : a + 300]), strict=True):
@@ -436,8 +456,57 @@ def test_toxicity_reads_disguises(spark, vocabulary):
 
 
 def test_language_model_grows_with_the_corpus(spark):
-    docs = docs_of(spark, ["abc def", "Äbc", None])
-    assert toxicity.language_model(docs).sum() == 2 * toxicity.language_model(docs_of(spark, ["abc def", "Äbc", None])).sum() / 2 > 0
+    few, many = (toxicity.language_model(docs_of(spark, ["abc def", "Äbc", None] * n)) for n in (1, 7))
+    assert few.sum() > 0 and (many == 7 * few).all()
+    assert toxicity.language_model(docs_of(spark, []).limit(0)).sum() == 0
+
+
+def test_viterbi_equals_a_full_search(vocabulary):
+    """Every path of short lattices, with its cost from the model's tables."""
+    rng = random.Random(8)
+    model = toxicity.log_model(toxicity.grams([sentences(rng, 3000, vocabulary)]).astype(float))
+    decoder = toxicity.Decoder(model)
+    code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0
+
+    def cost(text):
+        total, before = 0.0, []
+        for c in text:
+            at = tuple(before[-3:]) if before else (0,)
+            total += model[len(at) - 1][(*at, code(c))] if len(at) == 3 else model[1][0, before[0], code(c)] if len(before) == 1 else model[0][0, code(c)] if not before else model[2][0, before[0], before[1], code(c)]
+            before = [*before, code(c)] if code(c) else []
+        return total
+
+    for _ in range(150):
+        word = "".join(rng.choice("abce 1@$.l") for _ in range(rng.randint(1, 6))).strip() or "a"
+        word = " ".join(word.split())
+        best = min(price + cost("".join(path)) for path, price in paths(decoder._options(word) + [[(" ", 0.0)]]))
+        assert abs(decoder.cost(word) - best) < 1e-3, word
+
+
+def paths(options):
+    """All readings: characters and the prices of their choice; an edge after an edge is dropped."""
+    for chosen in itertools.product(*options):
+        out = []
+        for c, _ in chosen:
+            if c and not (c == " " and (not out or out[-1] in " .1@$")):
+                out.append(c)
+        yield out, sum(p for _, p in chosen)
+
+
+def test_toxicity_reads_spaced_and_repeated_text(vocabulary):
+    rng = random.Random(9)
+    words = [w for w in vocabulary if len(w) > 4]
+    model = toxicity.log_model(toxicity.grams([sentences(rng, 20000, words)]).astype(float))
+    right = lambda text, want: toxicity.restored(text, model).replace(" ", "") == want
+    for w in words[:40]:
+        assert right(" ".join(w), w) and right("_".join(w), w) and right(w[:3] + " " + w[3:5], w[:5])
+        assert right("".join(rng.choice((" ", "-", ".", " . ")) + c for c in w), w)
+    tripled = [w for w in words if not toxicity._DOUBLE.search(w)][:40]
+    assert sum(right("".join(c * 3 for c in w), w) for w in tripled) >= 36
+    long = "".join(words)[:200]
+    leet = long.replace("o", "0").replace("e", "3")
+    assert difflib.SequenceMatcher(None, toxicity.restored(leet, model).replace(" ", ""), long, autojunk=False).ratio() > 0.9
+    assert toxicity.restored("12.5 455 2024-01-01 ... ***", model) == ""
 
 
 def test_open_bins_are_best_fit():

@@ -4,8 +4,13 @@ Leaves are sentences with all that follows them up to the next one, so the
 leaves of a text, one after another, are the text: equal roots mean equal
 texts. A paragraph ends with its line; a section ends with an empty line,
 before a heading, or after a paragraph whose own digest says so (one in four),
-so that an edit moves no boundary beyond its own section. The likeness of two
-trees goes down only where branches differ.
+so that an edit moves no boundary beyond its own section.
+
+Every node is a 128-bit digest of those below it. A fingerprint is the whole root
+and, for the branches, the beginnings of their digests (64 bits of sections and
+paragraphs, 32 of sentences) with the sentences' sizes. The likeness of two
+fingerprints needs no more than their strings; it goes down only where branches
+differ.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 from tideline.llm.common import saved, sliced, text_of
 
 _SENTENCE = re.compile(r"(?<=[.!?;:…。！？])\s+")
-ROOT_BYTES, NODE_BYTES = 16, 8
+NODE_BYTES = 16
+#: Bytes of a digest that a fingerprint shows of sections, paragraphs and sentences.
+SHOWN = (8, 8, 4)
 
 
 class Node(NamedTuple):
@@ -32,8 +39,8 @@ class Node(NamedTuple):
     below: tuple
 
 
-def _digest(kind: bytes, parts: list[bytes], size: int = NODE_BYTES) -> bytes:
-    return hashlib.blake2b(b"".join(parts), digest_size=size, person=kind).digest()
+def _digest(kind: bytes, parts: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=NODE_BYTES, person=kind).digest()
 
 
 def _paragraph(line: str) -> Node:
@@ -58,35 +65,58 @@ def tree(text: str) -> Node:
         if not line.strip() or p.digest[0] % 4 == 0:
             close()
     close()
-    return Node(_digest(b"root", [s.digest for s in sections], ROOT_BYTES), len(text), tuple(sections))
+    return Node(_digest(b"root", [s.digest for s in sections]), len(text), tuple(sections))
 
 
 def fingerprint(node: Node) -> str:
-    """Root, then each section with its paragraphs, in hexadecimal: root/section:par,par/section:par."""
-    return "/".join([node.digest.hex(), *(f"{s.digest.hex()}:{','.join(p.digest.hex() for p in s.below)}" for s in node.below)])
+    """root/section:par-leaf.size-leaf.size,par-leaf.size/section:... with digests in hexadecimal."""
+    section, par, leaf = SHOWN
+    out = [node.digest.hex()]
+    for s in node.below:
+        pars = ("".join([p.digest[:par].hex(), *(f"-{x.digest[:leaf].hex()}.{x.size}" for x in p.below)]) for p in s.below)
+        out.append(f"{s.digest[:section].hex()}:{','.join(pars)}")
+    return "/".join(out)
+
+
+def parsed(shown: str) -> Node:
+    """The tree that a fingerprint shows."""
+
+    def of(digest: str, below: list[Node]) -> Node:
+        return Node(bytes.fromhex(digest), sum(x.size for x in below), tuple(below))
+
+    def paragraph(text: str) -> Node:
+        digest, *leaves = text.split("-")
+        return of(digest, [Node(bytes.fromhex(d), int(n), ()) for d, n in (x.split(".") for x in leaves)])
+
+    def section(text: str) -> Node:
+        digest, pars = text.split(":")
+        return of(digest, [paragraph(x) for x in pars.split(",")])
+
+    root, *sections = shown.split("/")
+    return of(root, [section(x) for x in sections])
 
 
 def likeness(a: Node, b: Node) -> float:
-    """The share of both texts' characters in branches that are equal; only differing branches are opened."""
+    """The share of both texts' characters in branches that are equal, as their fingerprints show them; only differing branches are opened."""
     if a.digest == b.digest:
         return 1.0
     if not a.size + b.size:
         return 1.0
     left, right, same = list(a.below), list(b.below), 0
-    for _ in range(3):  # sections, paragraphs, sentences
-        there = Counter(x.digest for x in right)
+    for width in SHOWN:
+        there = Counter(x.digest[:width] for x in right)
         both, rest = Counter(), []
         for x in left:
-            if there[x.digest] > both[x.digest]:
-                both[x.digest] += 1
+            if there[key := x.digest[:width]] > both[key]:
+                both[key] += 1
                 same += x.size
             else:
                 rest.append(x)
         left = [y for x in rest for y in x.below]
         kept = []
         for x in right:
-            if both[x.digest]:
-                both[x.digest] -= 1
+            if both[key := x.digest[:width]]:
+                both[key] -= 1
             else:
                 kept.append(x)
         right = [y for x in kept for y in x.below]

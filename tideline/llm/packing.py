@@ -62,7 +62,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """A row for each piece of each document (null text: empty, so one piece with the end id alone)."""
+    """A row for each piece of each document.
+
+    Null text counts as empty, so it is one piece with the end id alone; a null
+    doc_id stays null; repeated rows are cut each; no rows give no rows; other
+    columns are not read.
+    """
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary, True), end_id.to_bytes(4, "little")
@@ -78,10 +83,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
 
 
 def pack(found: DataFrame, capacity: int = 2048, open_bins: int = 1024, a_task: int = 65536) -> DataFrame:
-    """Place pieces (any columns with `length`) into sequences: adds sequence_id and offset.
+    """Place pieces (any columns with `length`, 1 to capacity) into sequences: adds sequence_id and offset.
 
-    Tasks of about `a_task` pieces pack on their own, so that no task grows with the input.
+    Tasks of about `a_task` pieces pack on their own, so that no task grows with
+    the input. Columns with those two names are replaced; null lengths are
+    refused by an error; repeated rows are placed each; no rows give no rows.
     """
+    found = found.drop("sequence_id", "offset")
     tasks = max(1, math.ceil(found.count() / a_task))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from tideline.llm import decontaminate, linededup, merkle, packing, quality, repeats, simhash, toxicity, warc, wavelet
 from tideline.llm.common import read
 
-TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary(name: str) -> str:
+    """Where the public_tokenizers package has a file; it is installed on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.documents(wavelet.written(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return wavelet.documents(wavelet.written(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.packed(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

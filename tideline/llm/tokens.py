@@ -4,7 +4,8 @@ Both vocabularies split a text before its byte pairs are merged, and never
 merge across such a split. A space between two other characters is one, so a
 text's ids are those of its pieces one after another; natural text repeats
 most pieces, and each worker encodes a piece once while it is remembered. The
-memory is a cache: emptying it changes no result.
+memory is a cache: emptying it changes no result. A text with the string of a
+special token goes to the library whole, which gives that token's id for it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.space_joins, self.remembered = space_joins, remembered
         self.known: dict[str, bytes] = {}
 
@@ -95,6 +96,11 @@ class PieceEncoder:
         known = self.known
         if len(known) > self.remembered:
             known.clear()
+        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if marked:
+            whole = dict(zip(marked, self._ids([texts[i] for i in marked]), strict=True))
+            rest = iter(self.encode_all([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         cut = [self._pieces(t) if t else (None, []) for t in texts]
         new: set[str] = set()
         for _, pieces in cut:

@@ -1,8 +1,12 @@
 """Toxicity of texts behind leetspeak, spacing and repetition.
 
-A noisy channel: each disguised word is a lattice of characters it may stand
-for, and a Viterbi search finds the likeliest reading under a character 4-gram
-model of the whole corpus. Restored words are scored by their beginnings, inner
+A noisy channel: a disguised word, or a run of fragments of up to three letters
+with the white space and marks between them, is one lattice: a sign may stand for
+letters, a space or mark may end a word or be a filler, a letter of a run may be
+a repetition. A Viterbi search finds the likeliest reading under a character
+4-gram model of the whole corpus; it keeps every state (last three letters, so
+27 ** 3 at most) and reads tokens and runs of any length. Plain numbers and words
+of letters without doubled ones stand for themselves. Restored words are scored by their beginnings, inner
 5-grams and whole forms, whose toxicity is counted on labelled documents; a
 text's score is a logistic regression on its most toxic words, fitted on
 labelled documents that took no part in the counting.
@@ -16,6 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from heapq import nlargest
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +32,16 @@ from tideline.llm.common import saved, sliced, text_of
 LETTERS, GRAM = 27, 4  # a to z, and 0 for all between words
 CELLS = LETTERS**GRAM
 TOP, EVIDENCE = 3, 1.5
+#: Signs of a token or run whose reading is remembered; longer ones are read each time.
+KEPT_SIGNS = 64
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou", "#": "aeiou", "%": "", ".": "", "-": "", "_": "", "~": "", "^": "", "'": "", "`": "", ",": "", "/": "", "\\": "", ":": "", ";": "", "&": "", "=": "", "°": "o", "§": "s", "µ": "u", "ø": "o", "æ": "a"}
 # fixed values: letters of other scripts that look like Latin ones
 ALIKE = str.maketrans("авекмнорстухіјԁѕοαερτυνικ", "abekmhopctyxijdsoaeptuvik")
-SUBSTITUTED, DROPPED, DOUBLED, KEPT = 1.0, 1.5, 4.0, 6.0
-_PLAIN = re.compile(r"[^\W\d_]+\Z")
-_RUN = re.compile(r"(.)\1\1")
+SUBSTITUTED, DROPPED, DOUBLED, REPEATED, KEPT, CLOSED = 1.0, 1.5, 4.0, 0.3, 6.0, 2.0
+_LONG = re.compile(r"[^\W_]{4}")
+_NUMBER = re.compile(r"[\W_]*\d[\d.,:/%+\-]*[\W_]*")
 _DOUBLE = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<!\S)\S([ \t]{1,3}|[.\-_*])\S(?:\1\S){2,}[.,!?;:]*(?!\S)")
 _HIDDEN = re.compile("[­​-‏⁠﻿͏]")
 _EDGE = ".,;:?\"'()[]{}<>…«»„“”‘’&%=-–—~^#*`/\\"
 
@@ -102,64 +108,69 @@ class Decoder:
         self.second = model[1][0].reshape(-1).tolist()
 
     def _options(self, word: str) -> list[list[tuple[str, float]]]:
-        out, before = [], ""
-        for c in word:
-            if _CODE_OF.get(c, 0):
-                found = [(c, 0.0)]
-                if c == before:
-                    found.append(("", DOUBLED if len(out) < 2 or word[len(out) - 2] != c else 0.3))
-                elif c == "l":
-                    pass
+        """What each sign may stand for, with its price; the empty string for nothing."""
+        out: list[list[tuple[str, float]]] = []
+        for c, same in groupby(word):
+            times = sum(1 for _ in same)
+            repeated = DOUBLED if times == 2 else REPEATED
+            if c == " ":
+                first, more = [(" ", 0.0), ("", CLOSED)], [("", 0.0)]
+            elif _CODE_OF.get(c, 0):
+                first, more = [(c, 0.0)], [(c, 0.0), ("", repeated)]
             else:
-                found = [(x, SUBSTITUTED + 0.2 * k) for k, x in enumerate(SIGNS.get(c, ""))]
-                found.append((c, KEPT))
+                first = [*((x, SUBSTITUTED + 0.2 * k) for k, x in enumerate(SIGNS.get(c, ""))), (c, KEPT)]
+                more = [*first, ("", REPEATED)]
                 if not c.isalnum():
-                    found.append(("", DROPPED))
-                elif c == before:
-                    found.append(("", 0.3))
-            out.append(found)
-            before = c
+                    first = [*first, ("", DROPPED)]
+            out += [first, *[more] * (times - 1)]
         return out
 
-    def restore(self, word: str) -> str:
-        """The likeliest reading of a word in lower case (Viterbi over the last three letters)."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}  # (letters so far up to 3, their code): cost, text
+    def price(self, n: int, context: int, c: str) -> tuple[float, tuple[int, int]]:
+        """The cost of a character after a state (letters so far up to 2, their code), and the state after it."""
+        code = _CODE_OF.get(c, 0)
+        if n == 0:
+            return self.first[code], (1, code) if code else (0, 0)
+        if n == 1:
+            step, after = self.second[context * LETTERS + code], context * LETTERS + code
+        else:
+            step, after = self.four[context * LETTERS + code], (context * LETTERS + code) % LETTERS**3
+        return step, (2, after) if code else (0, 0)
+
+    def _best(self, word: str) -> tuple:
+        states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost, and characters as links to those before
         for options in [*self._options(word), [(" ", 0.0)]]:
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (n, context), (cost, done) in states.items():
+            following: dict[tuple[int, int], tuple] = {}
+            for state, (cost, done) in states.items():
                 for c, price in options:
-                    if not c:
-                        key, total = (n, context), cost + price
+                    if not c or c == " " and state == (0, 0):  # a second edge is none
+                        key, total, link = state, cost + price, done
                     else:
-                        code = _CODE_OF.get(c, 0)
-                        if n == 0:
-                            step = self.first[code]
-                        elif n == 1:
-                            step = self.second[context * LETTERS + code]
-                        else:
-                            step = self.four[context * LETTERS + code]
-                        total = cost + price + step
-                        if not code:
-                            key = (0, 0)
-                        elif n == 0:
-                            key = (1, code)
-                        else:
-                            key = (2, (context * LETTERS + code) % (LETTERS * LETTERS * LETTERS) if n == 2 else context * LETTERS + code)
+                        step, key = self.price(*state, c)
+                        total, link = cost + price + step, (done, c)
                     held = following.get(key)
                     if held is None or total < held[0]:
-                        following[key] = (total, done + c)
-            if len(following) > 64:
-                following = dict(sorted(following.items(), key=lambda x: x[1][0])[:64])
+                        following[key] = (total, link)
             states = following
-        return min(states.values())[1].rstrip()
+        return min(states.values(), key=lambda x: x[0])
+
+    def cost(self, word: str) -> float:
+        """The cost of the likeliest reading."""
+        return self._best(word)[0]
+
+    def restore(self, word: str) -> str:
+        """The likeliest reading of a word or a run in lower case (Viterbi over the last three letters)."""
+        link, out = self._best(word)[1], []
+        while link:
+            link, c = link
+            out.append(c)
+        return "".join(reversed(out)).strip()
 
 
 def prepared(text: str) -> str:
-    """A text in lower case, without invisible signs, with spaced-out words closed."""
+    """A text in lower case, without invisible signs."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).translate(ALIKE) if not _latin(text) else _HIDDEN.sub("", text)
-    text = text.lower()
-    return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    return text.lower()
 
 
 def _latin(text: str) -> bool:
@@ -170,11 +181,6 @@ def _latin(text: str) -> bool:
         return False
 
 
-def disguised(word: str) -> bool:
-    """Whether a word may not stand for itself."""
-    return not _PLAIN.match(word) or _DOUBLE.search(word) is not None
-
-
 def core(token: str) -> str:
     """A token without marks at its edges, of which one that may be a letter stays."""
     token = token.strip(_EDGE)
@@ -188,7 +194,7 @@ def marks_of(word: str) -> list[str]:
 
 
 class Reader:
-    """Restored words of texts, and their toxicity; words are remembered."""
+    """Restored words of texts, and their toxicity; readings of tokens and runs are remembered."""
 
     def __init__(self, model: list[np.ndarray], weights: dict[str, float] | None = None, remembered: int = 400_000):
         self.decoder, self.weights, self.remembered = Decoder(model), weights, remembered
@@ -199,17 +205,36 @@ class Reader:
                 if len(self) > reader.remembered:
                     self.clear()
                 words = reader.read(token)
-                self[token] = found = words if reader.weights is None else max((reader.weigh(w) for w in words), default=0.0)
+                found = words if reader.weights is None else max((reader.weigh(w) for w in words), default=0.0)
+                if len(token) <= KEPT_SIGNS:
+                    self[token] = found
                 return found
 
-        self.known = Known()
+        class Short(dict):
+            def __missing__(self, token: str) -> bool:
+                if len(self) > reader.remembered:
+                    self.clear()
+                self[token] = found = len(token) < 4 or not _LONG.search(token)
+                return found
+
+        self.known, self.short = Known(), Short()
+
+    def units(self, text: str) -> set[str]:
+        """A text's tokens; tokens of fragments that stand side by side are one."""
+        out: set[str] = set()
+        for short, run in groupby(prepared(text).split(), self.short.__getitem__):
+            if short:
+                out.add(" ".join(run))
+            else:
+                out.update(run)
+        return out
 
     def read(self, token: str) -> tuple[str, ...]:
         word = core(token)
-        if word.isalpha() and not _DOUBLE.search(word):
-            return (word,)
-        if len(word) > 40 or not any(c.isalpha() for c in word):
-            return tuple(x for x in re.split(r"[\W\d_]+", word) if x)
+        if not word or word.isalpha() and not _DOUBLE.search(word):
+            return (word,) if word else ()
+        if not any(c.isalpha() for c in word) and all(_NUMBER.fullmatch(x) for x in word.split()):
+            return ()
         return tuple(x for x in re.split(r"[\W\d_]+", self.decoder.restore(word)) if x)
 
     def weigh(self, word: str) -> float:
@@ -218,11 +243,11 @@ class Reader:
 
     def words(self, text: str) -> set[str]:
         known = self.known
-        return {w for t in set(prepared(text).split()) for w in known[t]}
+        return {w for t in self.units(text) for w in known[t]}
 
     def top(self, text: str) -> list[float]:
         """A text's highest toxicities of different tokens, and the sum of the higher ones, as it is and against the text's length."""
-        found = list(map(self.known.__getitem__, set(prepared(text).split())))
+        found = list(map(self.known.__getitem__, self.units(text)))
         high = sum(x for x in found if x > EVIDENCE)
         best = nlargest(TOP, found)
         return [*best, *[0.0] * (TOP - len(best)), math.log1p(high), high / math.sqrt(len(found) + 10)]
@@ -230,8 +255,10 @@ class Reader:
 
 def restored(text: str, model: list[np.ndarray]) -> str:
     """A text's words as they are read."""
-    reader = Reader(model)
-    return " ".join(w for t in prepared(text).split() for w in reader.known[t])
+    reader, out = Reader(model), []
+    for short, run in groupby(prepared(text).split(), reader.short.__getitem__):
+        out += [w for t in ([" ".join(run)] if short else run) for w in reader.known[t]]
+    return " ".join(out)
 
 
 class Scorer:
