@@ -159,16 +159,33 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
+def _sketch(words: str) -> Column:
+    """Four bitmaps, each of a quarter of the words: as bits of _firsts, for long lines."""
+
+    def quarter(q: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(F.filter(words, lambda x: x.bitwiseAND(F.lit(3)) == q), F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(bit(x)))
+
+    return F.struct(F.size(words).alias("n"), *[quarter(q).alias(f"q{q}") for q in range(4)])
+
+
 def _matched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, line_no of the later lines of pairs (written) that reach 4/5."""
-    line = ["doc_id", "line_no"]
-    wanted = saved(pairs.select(*line).unionAll(pairs.select("y_doc", "y_line")).distinct(), "line-wanted")
+    line, other = ["doc_id", "line_no"], ["y_doc", "y_line"]
+    wanted = saved(pairs.select(*line).unionAll(pairs.select(*other)).distinct(), "line-wanted")
     cut = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(_few(wanted), line, "left_semi")
-    held = saved(cut.select(*line, F.array_distinct(F.transform(_words(_trimmed(F.lower("line"))), lambda x: F.xxhash64(x))).alias("x")), "line-words")
-    x, y = held, held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("x").alias("y"))
-    both = pairs.join(x, line).join(y, ["y_doc", "y_line"])
+    words = cut.select(*line, F.array_distinct(F.transform(_words(_trimmed(F.lower("line"))), lambda x: F.xxhash64(x))).alias("x"))
+    held = saved(words.withColumn("s", _sketch("x")), "line-words")
+    # most pairs of long lines end at their sketches; words are shuffled for the others only
+    x, y = held.select(*line, "s"), held.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("s").alias("t"))
+    differ = sum(F.bit_count(F.col(f"s.q{q}").bitwiseXOR(F.col(f"t.q{q}"))) for q in range(4))
+    close = saved(pairs.join(x, line).join(y, other).where(9 * differ <= F.col("s.n") + F.col("t.n")).select(*line, *other), "line-close")
+    rest = saved(close.select(*line).unionAll(close.select(*other)).distinct(), "line-wanted")
+    x = held.join(_few(rest), line, "left_semi").select(*line, "x")
+    y = x.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("x").alias("y"))
+    both = close.join(x, line).join(y, other)
     found = saved(both.where(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"))).select(*line).distinct(), "line-settled")
-    for table in (wanted, held):
+    for table in (wanted, held, close, rest):
         deleted(texts.sparkSession, table)
     return found
 
