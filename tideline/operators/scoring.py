@@ -38,12 +38,33 @@ def authority(own: Column, performance: Column) -> Column:
     return F.least(F.lit(1.0), own * F.coalesce(performance, F.lit(1.0)))
 
 
-def weighted(df: DataFrame, weights: dict[str, float], own: dict[str, float] | None = None) -> DataFrame:
-    """Adds score and breakdown; own weights replace known ones and others are ignored; they need not sum to one."""
-    used = {k: (own or {}).get(k, w) for k, w in weights.items()}
-    parts = {k: F.col(k) * w for k, w in used.items()}
-    breakdown = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(F.round(k, 4).alias("value"), F.lit(w).alias("weight"), F.round(parts[k], 4).alias("contribution"))) for k, w in used.items()]))
-    return df.withColumns({"score": F.round(sum(parts.values()), 4), "breakdown": breakdown})
+def parts(weights: dict[str, float], own: dict[str, float] | None = None, neutral: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """The weighted sum of columns, and its breakdown by name; own weights replace known ones and others are ignored; they need not sum to one."""
+    used = {k: float((own or {}).get(k, w)) for k, w in weights.items()}
+    each = {k: F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in used.items()}
+    rows = [
+        F.struct(F.lit(k), F.struct(F.round(F.coalesce(F.col(k), F.lit(0.0)), 4).alias("value"), F.lit(w).alias("weight"), F.round(each[k], 4).alias("contribution"), (neutral or {}).get(k, F.lit(False)).alias("neutral")))
+        for k, w in used.items()
+    ]
+    return F.round(sum(each.values()), 4), F.map_from_entries(F.array(*rows))
+
+
+def weighted(df: DataFrame, weights: dict[str, float], own: dict[str, float] | None = None, neutral: dict[str, Column] | None = None) -> DataFrame:
+    """Adds score and breakdown."""
+    score, breakdown = parts(weights, own, neutral)
+    return df.withColumns({"score": score, "breakdown": breakdown})
+
+
+def suggested(hits: Column, rating: Column) -> Column:
+    repeat = F.least(F.lit(1.0), hits / 3)
+    return F.round(F.when(rating.isNull(), repeat).otherwise(0.4 * repeat + 0.6 * rating / 10), 4)
+
+
+def renormalized(weights: dict[str, float]) -> dict[str, float]:
+    """Weights of known names, made to sum to one; the defaults if they sum to nothing."""
+    known = {k: float(weights.get(k, 0.0)) for k in NEWS}
+    total = sum(known.values())
+    return {k: w / total for k, w in known.items()} if total > 0 else dict(NEWS)
 
 
 def passes_topic(value: Column, neutral: Column, threshold: float) -> Column:
