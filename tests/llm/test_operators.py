@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, linededup, merkle, nearcopies, packing, quality, queries, repeats, simhash, tokens, toxicity, warc, wavelet
+from tideline.llm import common, decontaminate, linededup, merkle, nearcopies, packing, quality, queries, repeats, simhash, tokens, toxicity, warc, wavelet
 
 TOKENIZERS = os.path.dirname(queries.vocabulary("word_bpe_49k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +82,9 @@ def test_decontamination_finds_edited_items(spark, vocabulary):
     small = decontaminate.matches(docs_of(spark, texts), bench, block_chars=300).collect()
     assert sorted(found) == sorted(small)
     assert {r.doc_id for r in decontaminate.clean(docs_of(spark, texts), bench).collect()} == set(range(12, 22))
+    short = spark.createDataFrame([(1, "the"), (2, "the")], "item_id long, text string")
+    whole = decontaminate.matches(docs_of(spark, ["another father", "Over the hill", "the", "", None]), short).collect()
+    assert {(r.doc_id, r.item_id) for r in whole} == {(d, i) for d in (1, 2) for i in (1, 2)}
     odd = decontaminate.clean(odd_docs(spark), bench)
     assert odd.count() == odd_docs(spark).count() and odd.columns == odd_docs(spark).columns
     assert decontaminate.matches(odd_docs(spark), bench.limit(0)).count() == 0
@@ -532,6 +535,35 @@ def test_open_bins_are_best_fit():
                 assert closed == ([min(before.values())] if len(before) == most and size < 32 else [])
 
 
+def test_workers_keep_one_thing_at_a_time():
+    a = tokens.encoder(f"{TOKENIZERS}/byte_bpe_50k.json", True)
+    assert tokens.encoder(f"{TOKENIZERS}/byte_bpe_50k.json", True) is a
+    common.kept(("other",), list)
+    assert tokens.encoder(f"{TOKENIZERS}/byte_bpe_50k.json", True) is not a
+    common.let_go()
+    assert not common._KEPT
+
+
+def test_empty_tables_and_shared_folder(spark, vocabulary):
+    none = docs_of(spark, ["x"]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.clean(none, bench).count() == 0 and packing.packed(none, f"{TOKENIZERS}/byte_bpe_50k.json").count() == 0
+    assert toxicity.scored(none, toxicity.fit(none, labels)).count() == 0 and quality.scored(none, quality.fit(none, labels)).count() == 0
+    assert wavelet.documents(wavelet.written(none, f"{TOKENIZERS}/word_bpe_49k.json")).count() == 0
+    assert repeats.without_repeats(none).count() == 0 and linededup.clean(none).count() == 0
+
+    class Far:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Far)
+
+
 def test_packing(spark, vocabulary):
     from tokenizers import Tokenizer
 

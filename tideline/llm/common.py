@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,23 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: What a worker process keeps from task to task: one thing at a time, as workers are shared by operators.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """make(), kept in this worker until another key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Forget what this worker keeps: tasks that hold memory of their own begin with it."""
+    _KEPT.clear()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a slice hold about `most` bytes (one row at least)."""
     import numpy as np

@@ -3,7 +3,7 @@
 A test item of m characters (lower case, white space as one space) may be
 found with floor(rate * m) edits. It is split into that many pieces and one
 more: wherever the item stands with so few edits, one piece stands unedited.
-An Aho-Corasick automaton finds all pieces in one pass over each whole
+An item too short for an edit has to stand between word edges. An Aho-Corasick automaton finds all pieces in one pass over each whole
 document, and Myers' bit-parallel distance verifies the item around each hit.
 Test items go to the tasks in blocks of a fixed size.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tideline.llm.common import kept as remembered
 from tideline.llm.common import sliced, text_of
 
 RATE, BLOCK_CHARS = 0.08, 4 << 20
@@ -54,6 +55,11 @@ def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _edge(text: str, at: int) -> bool:
+    """Whether no word goes on at a place of a text."""
+    return at <= 0 or at >= len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
 class Items:
     """A block of test items ready for search."""
 
@@ -96,6 +102,8 @@ class Items:
         for k, found in starts.items():
             item, b = self.texts[k], self.budgets[k]
             m, best, end = len(item), b + 1, 0
+            if not b:
+                found = {s for s in found if _edge(text, s) and _edge(text, s + m)}
             windows: list[list[int]] = []
             for s in sorted(found):
                 a, z = max(0, s - b), min(len(text), s + m + b)
@@ -115,16 +123,9 @@ class Items:
                     yield item_id, best, end, m
 
 
-_BLOCKS: dict[tuple, Items] = {}
-
-
 def _block(rows: tuple[tuple[int, str], ...], rate: float) -> Items:
     """The automaton of a block, built once in each worker process."""
-    key = (hash(rows), len(rows), rate)
-    if key not in _BLOCKS:
-        _BLOCKS.clear()
-        _BLOCKS[key] = Items(list(rows), rate)
-    return _BLOCKS[key]
+    return remembered(("items", hash(rows), len(rows), rate), lambda: Items(list(rows), rate))
 
 
 def _blocks(rows: Iterator[Row], most: int) -> Iterator[tuple[tuple[int, str], ...]]:

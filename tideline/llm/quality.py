@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sliced, text_of
+from tideline.llm.common import let_go, sliced, text_of
 
 DIMENSIONS, REPEATS, MARKS = 1 << 15, 1 << 15, (1 << 15) + 1
 SCORES = "doc_id long, expected_grade double, p_good double, p_best double, selected boolean"
@@ -163,6 +163,7 @@ def scored(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own = Ordinal(weights, thresholds)
         of = weights.tolist()
 

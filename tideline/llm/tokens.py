@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from tideline.llm.common import kept
+
 #: A piece that ends in ASCII punctuation is cut before it: word and punctuation never merge.
 _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "_")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -23,7 +25,6 @@ _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 #: Pairs of white space of which one is a space; those of ASCII texts come first.
 _ASCII_RUNS, _ALL_RUNS = (sorted({x for c in _SPACES if ord(c) < limit for x in (f" {c}", f"{c} ")}) for limit in (128, 0x3001))
 _OTHER_SPACE = "\x1c\x1d\x1e\x1f"
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
@@ -116,6 +117,4 @@ class PieceEncoder:
 
 def encoder(path: str, space_joins: bool) -> PieceEncoder:
     """One for each worker process, file and kind."""
-    if (path, space_joins) not in _ENCODERS:
-        _ENCODERS[path, space_joins] = PieceEncoder(path, space_joins)
-    return _ENCODERS[path, space_joins]
+    return kept(("encoder", path, space_joins), lambda: PieceEncoder(path, space_joins))
