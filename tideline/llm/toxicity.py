@@ -5,8 +5,9 @@ with the white space and marks between them, is one lattice: a sign may stand fo
 letters, a space or mark may end a word or be a filler, a letter of a run may be
 a repetition. A Viterbi search finds the likeliest reading under a character
 4-gram model of the whole corpus; it keeps every state (last three letters, so
-27 ** 3 at most) and reads tokens and runs of any length. Plain numbers and words
-of letters without doubled ones stand for themselves. Restored words are scored by their beginnings, inner
+27 ** 3 at most) and reads tokens and runs of any length. Plain numbers, words of
+letters without doubled ones, and runs of fragments that the model holds for
+common words stand for themselves. Restored words are scored by their beginnings, inner
 5-grams and whole forms, whose toxicity is counted on labelled documents; a
 text's score is a logistic regression on its most toxic words, fitted on
 labelled documents that took no part in the counting.
@@ -34,6 +35,8 @@ CELLS = LETTERS**GRAM
 TOP, EVIDENCE = 3, 1.5
 #: Signs of a token or run whose reading is remembered; longer ones are read each time.
 KEPT_SIGNS = 64
+#: The cost up to which a letter, and a longer fragment, is a common word.
+COMMON_LETTER, COMMON = 5.0, 8.0
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou", "#": "aeiou", "%": "", ".": "", "-": "", "_": "", "~": "", "^": "", "'": "", "`": "", ",": "", "/": "", "\\": "", ":": "", ";": "", "&": "", "=": "", "°": "o", "§": "s", "µ": "u", "ø": "o", "æ": "a"}
 # fixed values: letters of other scripts that look like Latin ones
@@ -136,6 +139,14 @@ class Decoder:
             step, after = self.four[context * LETTERS + code], (context * LETTERS + code) % LETTERS**3
         return step, (2, after) if code else (0, 0)
 
+    def word_cost(self, word: str) -> float:
+        """The cost of a word as it stands, with both edges."""
+        state, total = (0, 0), 0.0
+        for c in [*word, " "]:
+            step, state = self.price(*state, c)
+            total += step
+        return total
+
     def _best(self, word: str) -> tuple:
         states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost, and characters as links to those before
         for options in [*self._options(word), [(" ", 0.0)]]:
@@ -211,22 +222,43 @@ class Reader:
                 return found
 
         class Short(dict):
-            def __missing__(self, token: str) -> bool:
+            """0: no fragment, 1: a fragment that is a common word, 2: another."""
+
+            def __missing__(self, token: str) -> int:
                 if len(self) > reader.remembered:
                     self.clear()
-                self[token] = found = len(token) < 4 or not _LONG.search(token)
+                word = core(token)
+                if len(token) > 3 and _LONG.search(token):
+                    found = 0
+                elif not word or word.isalpha() and reader.decoder.word_cost(word) <= (COMMON if len(word) > 1 else COMMON_LETTER):
+                    found = 1
+                else:
+                    found = 2
+                self[token] = found
                 return found
 
         self.known, self.short = Known(), Short()
 
     def units(self, text: str) -> set[str]:
         """A text's tokens; tokens of fragments that stand side by side are one."""
-        out: set[str] = set()
-        for short, run in groupby(prepared(text).split(), self.short.__getitem__):
-            if short:
-                out.add(" ".join(run))
+        return set(self.sequence(text))
+
+    def sequence(self, text: str) -> list[str]:
+        """The units in order."""
+        tokens = prepared(text).split()
+        kinds = list(map(self.short.__getitem__, tokens))
+        if 2 not in kinds:
+            return tokens
+        out: list[str] = []
+        at = 0
+        for short, run in groupby(kinds, bool):
+            own = list(run)
+            part = tokens[at : at + len(own)]
+            at += len(own)
+            if short and 2 in own:
+                out.append(" ".join(part))
             else:
-                out.update(run)
+                out += part
         return out
 
     def read(self, token: str) -> tuple[str, ...]:
@@ -255,10 +287,8 @@ class Reader:
 
 def restored(text: str, model: list[np.ndarray]) -> str:
     """A text's words as they are read."""
-    reader, out = Reader(model), []
-    for short, run in groupby(prepared(text).split(), reader.short.__getitem__):
-        out += [w for t in ([" ".join(run)] if short else run) for w in reader.known[t]]
-    return " ".join(out)
+    reader = Reader(model)
+    return " ".join(w for t in reader.sequence(text) for w in reader.known[t])
 
 
 class Scorer:
