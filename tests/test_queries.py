@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import math
 
 import duckdb
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
-from tideline.operators import clustering, dedup, evaluation, stories
-from tideline.plans import cases, connectors  # noqa: F401  they add their queries
+from tideline.operators import clustering, dedup, evaluation, statistics, stories
+from tideline.plans import cases, connectors, publishing  # noqa: F401  they add their queries
 from tideline.plans import stories as story_plans  # noqa: F401
 from tideline.plans.queries import QUERIES, SQL
-from tideline.sources import feeds
+from tideline.sources import feeds, sinks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -110,6 +112,62 @@ def test_duplicates_in_order(spark):
     assert rows == {0: (None, 7), 1: (0, 7), 2: (None, None)}
 
 
+def test_single_pass_with_stored_stories_and_duplicates(spark):
+    """Every item by a plain loop: thresholds of its own, stories from before, and twins that take no part."""
+    items = {r.vec_id: r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    groups = {}
+    for r in QUERIES["semantic_duplicates"](spark, SF).collect():
+        groups.setdefault(r.label, {})[r.vec_id] = (r.cluster, r.dup_of)
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    for label, got in groups.items():
+        stories = {i // 10: [np.array(items[i].embedding, float) * 2, i] for i in sorted(items) if items[i].label == label and i % 10 == 0}
+        accepted, following = [], max([*stories, -1]) + 1
+        for i in sorted(got):
+            v, base = unit(items[i].embedding), 0.35 if label % 2 == 0 else 0.88
+            least = max(base, 0.84) if i % 5 == 0 else base
+            twins = [(u @ v, -n, j, k) for n, (j, k, u) in enumerate(accepted) if j >= i - 200]
+            if twins and max(twins)[0] >= 0.6:
+                assert got[i] == (max(twins)[3], max(twins)[2]), (label, i)
+                continue
+            near = [(unit(s) @ v, -n, k) for n, (k, (s, last)) in enumerate(stories.items()) if last >= i - 200]
+            if near and max(near)[0] >= least:
+                k = max(near)[2]
+                stories[k] = [stories[k][0] + v, i]
+            else:
+                k, following = following, following + 1
+                stories[k] = [v, i]
+            accepted.append((i, k, v))
+            assert got[i] == (k, None), (label, i)
+
+
+def test_clusters_forget_what_left_the_window():
+    c = clustering.Clusters(5.0)
+    for t in range(1000):
+        c.add([1.0 if t % 2 else -1.0, t % 7], t, 2.0)
+    assert c.made == 1000 and len(c.numbers) <= 128 and len(c.last) <= 128
+
+
+def test_medians_of_odd_groups(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 5.0), ("b", None), (None, 2.0), (None, 4.0), ("c", 1e9), ("c", -1e9), ("c", 0.5), ("c", 0.25)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {r.k: r.m for r in statistics.medians(df, ["k"], "v", "m").collect()} == {"a": 1.0, "b": None, None: 3.0, "c": 0.375}
+    assert statistics.medians(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id long, text string").coalesce(1)
+    sinks.csv_with_mark(df, str(tmp_path / "csv"))
+    raw = next((tmp_path / "csv").glob("part-*")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfid,text\n1,x\n")
+    r = sinks.messages(df, "id", "secret").orderBy("payload").first()
+    assert r.payload == '{"id":1,"text":"x"}' and r.signature == hmac.new(b"secret", r.payload.encode(), hashlib.sha256).hexdigest()
+    sinks.appended(df, str(tmp_path / "log"))
+    sinks.appended(df, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    sinks.report(evaluation.scores(spark.createDataFrame([(1, "a")], "p int, g string"), "p", "g"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().f1 == 1.0
+
+
 def test_diversified_is_the_plain_fold(spark):
     pool = [(0, 10, ["a"]), (1, 11, ["a", "b"]), (2, 12, ["b"]), (3, 13, []), (4, 14, ["c", "a"]), (5, 15, ["c"])]
     df = spark.createDataFrame(pool, "pos long, cluster_id long, source_ids array<string>")

@@ -2,43 +2,143 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+# fixed values: thresholds of curated items, of search results, and of semantic duplicates
+CURATED, SEARCHED, SAME = 0.88, 0.84, 0.985
 
-def assign(vectors, times, window: float, threshold: float):
-    """Cluster numbers: the most similar centroid seen within the window takes a vector if it reaches the threshold."""
-    import numpy as np
 
-    sums = np.zeros((64, len(vectors[0])), np.float64)
-    units, last, n = np.zeros_like(sums), np.zeros(64), 0
-    out = []
-    for v, t in zip(vectors, times, strict=True):
+def threshold(mode: Column, searched: Column, base: float) -> Column:
+    """The likeness at which an item joins a story: higher for curated items, and for an item that a search found."""
+    own = F.when(mode == "curated", F.greatest(F.lit(base), F.lit(CURATED))).otherwise(F.lit(base))
+    return F.when(searched, F.greatest(own, F.lit(SEARCHED))).otherwise(own)
+
+
+class Clusters:
+    """Stories seen within a window: sums of unit vectors, their directions, last times and numbers.
+
+    Stories that have left the window of the last item go, so a group needs the
+    memory of one window, whatever its length. Items that come late are compared
+    with the stories that are left.
+    """
+
+    def __init__(self, window: float, kept: float | None = None):
+        self.window, self.kept = window, window if kept is None else kept
+        self.numbers: list[int] = []
+        self.made, self.newest = 0, float("-inf")
+        self.sums = self.units = self.last = None
+
+    def _room(self, size: int) -> None:
+        import numpy as np
+
+        n = len(self.numbers)
+        if self.sums is None:
+            self.sums, self.units, self.last = np.zeros((64, size)), np.zeros((64, size)), np.zeros(64)
+        if n == len(self.last):
+            live = np.flatnonzero(self.last[:n] >= self.newest - self.kept)
+            if len(live) > n // 2:
+                self.sums, self.units = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.units))
+                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+            if len(live) < n:
+                for x in (self.sums, self.units, self.last):
+                    x[: len(live)] = x[live]
+                self.numbers = [self.numbers[i] for i in live]
+
+    def _add(self, number: int, total, at: float) -> None:
+        import numpy as np
+
+        self._room(len(total))
+        k = len(self.numbers)
+        self.numbers.append(number)
+        self.sums[k], self.last[k] = total, at
+        size = np.linalg.norm(total)
+        self.units[k] = total / size if size else total
+
+    def stored(self, number: int, centroid, n: int, at: float) -> None:
+        """A story from before: its sum is its centroid times its number of items."""
+        import numpy as np
+
+        self._add(number, np.asarray(centroid, np.float64) * n, at)
+        self.made = max(self.made, number + 1)
+
+    def add(self, v, t: float, threshold: float) -> int:
+        """The number of the story that takes a vector: the most alike one within the window, else a new one."""
+        import numpy as np
+
         v = np.asarray(v, np.float64)
         size = np.linalg.norm(v)
         v = v / size if size else v
-        near = np.where(last[:n] >= t - window, units[:n] @ v, -2.0)
+        self.newest = max(self.newest, t)
+        n = len(self.numbers)
+        near = np.where(self.last[:n] >= t - self.window, self.units[:n] @ v, -2.0) if n else []
         k = int(near.argmax()) if n else -1
         if n and near[k] >= threshold:
-            sums[k] += v
-        else:
-            if n == len(last):
-                sums, units, last = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, units, last))
-            k, n = n, n + 1
-            sums[k] = v
-        size = np.linalg.norm(sums[k])
-        units[k] = sums[k] / size if size else sums[k]
-        last[k] = max(last[k], t)
-        out.append(k)
-    return out
-
-
-def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float) -> DataFrame:
-    """group, key, cluster. The operator is defined by order, so a group is one task; groups are projects with a time window."""
-    fields = {f.name: f.dataType.simpleString() for f in items.schema}
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(dict.fromkeys([at, key])))
-        return pd.DataFrame({group: rows[group], key: rows[key], "cluster": assign(rows[vector].tolist(), rows[at].tolist(), window, threshold)})
-
-    return items.select(*dict.fromkeys([group, key, vector, at])).groupBy(group).applyInPandas(one, f"{group} {fields[group]}, {key} {fields[key]}, cluster int")
+            self.sums[k] += v
+            size = np.linalg.norm(self.sums[k])
+            self.units[k] = self.sums[k] / size if size else self.sums[k]
+            self.last[k] = max(self.last[k], t)
+            return self.numbers[k]
+        self._add(self.made, v, t)
+        self.made += 1
+        return self.made - 1
+
+
+def assign(vectors, times, window: float, threshold: float):
+    """Cluster numbers of vectors in order."""
+    found = Clusters(window)
+    return [found.add(v, t, threshold) for v, t in zip(vectors, times, strict=True)]
+
+
+def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float | str, stored: DataFrame | None = None, same: float | None = None) -> DataFrame:
+    """group, key, cluster and (with `same`) dup_of of items in order of `at` and key.
+
+    threshold: a number, or a column with each item's own. stored: stories from
+    before (group, cluster, centroid, n, last), which take items as well. same:
+    items so alike to an accepted one in the window are duplicates of the most
+    alike; they join its story and take no part in it.
+    A group's rows come sorted and pass through one task in batches (the
+    operator is defined by order); the memory held is that of one window.
+    """
+    rule = F.lit(float(threshold)) if not isinstance(threshold, str) else F.col(threshold)
+    rows = items.select(F.col(group).alias("g"), F.col(at).cast("double").alias("t"), F.lit(1).alias("kind"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), rule.cast("double").alias("x"))
+    if stored is not None:
+        old = stored.select(F.col(group).alias("g"), F.col("last").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("cluster").cast(dict(rows.dtypes)["k"]).alias("k"), F.col("centroid").cast("array<double>").alias("v"), F.col("n").cast("double").alias("x"))
+        rows = rows.unionByName(old)
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        now, clusters, accepted = object(), None, []
+        for batch in batches:
+            out = []
+            for g, t, kind, k, v, x in batch[["g", "t", "kind", "k", "v", "x"]].itertuples(index=False):
+                if g != now:
+                    now, clusters, accepted = g, Clusters(window), []
+                if not kind:
+                    clusters.stored(int(k), v, int(x), t)
+                    continue
+                twin = None
+                if same is not None:
+                    u = np.asarray(v, np.float64)
+                    u = u / (np.linalg.norm(u) or 1.0)
+                    accepted = [a for a in accepted if a[0] >= t - window]
+                    if accepted:
+                        near = np.array([a[3] for a in accepted]) @ u
+                        best = int(near.argmax())
+                        twin = accepted[best] if near[best] >= same else None
+                number = twin[2] if twin else clusters.add(v, t, x)
+                if same is not None and not twin:
+                    accepted.append((t, k, number, u))
+                out.append((g, k, number, twin[1] if twin else None))
+            if out:
+                yield pd.DataFrame(out, columns=["g", "k", "cluster", "dup_of"])
+
+    ordered = rows.repartition("g").sortWithinPartitions("g", "kind", "t", "k")
+    found = ordered.mapInPandas(run, f"g {kinds['g']}, k {kinds['k']}, cluster int, dup_of {kinds['k']}")
+    extra = ["dup_of"] if same is not None else []
+    return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster", *extra)

@@ -21,7 +21,7 @@ def scores(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     total = pairs(F.col("n"))
     mi = F.col("mi") / F.col("n") + F.log("n")
     entropy = (F.log("n") - F.col("hp") / F.col("n") + F.log("n") - F.col("hg") / F.col("n")) / 2
-    chance = F.col("pp") * F.col("pg") / total
+    chance = F.coalesce(F.try_divide(F.col("pp") * F.col("pg"), total), F.lit(0.0))
     spread = (F.col("pp") + F.col("pg")) / 2 - chance
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
     return one.select("n", "precision", "recall", f1.alias("f1"), F.when(entropy > 1e-12, mi / entropy).otherwise(1.0).alias("nmi"), F.when(F.abs(spread) > 1e-12, (F.col("together") - chance) / spread).otherwise(1.0).alias("ari"))

@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.rollup import top_per_group
 
 
+#: Ranges of values into which a group is divided to find its middle.
+RANGES = 1024
+
+
+def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """The exact median (mean of the two middle values) of each group; null for groups without values.
+
+    Equal values are counted first. Counts of RANGES ranges between a group's
+    least and greatest value tell which range holds the middle, and only values of
+    that range are put in order, so that no task holds a group. Keys may be null.
+    """
+    v, on = F.col("_v"), lambda other: [F.col(f"a.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by]
+    counts = df.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / RANGES
+    placed = counts.where("_v is not null").alias("a").join(ends.alias("e"), on("e")).select("a.*", F.when(width > 0, F.floor((v - F.col("_lo")) / width)).otherwise(0).alias("_r"), "_n")
+    sums = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+    below = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)  # places of the two middle values
+    wanted = sums.withColumn("_b", below).where((F.col("_b") <= high) & (F.col("_b") + F.col("_s") > low)).select(*by, "_r", "_b")
+    rows = placed.alias("a").join(wanted.alias("w"), [*on("w"), F.col("a._r") == F.col("w._r")]).select("a.*", "_b")
+    start = F.col("_b") + F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = rows.withColumn("_p", start).where((F.col("_p") <= high) & (F.col("_p") + F.col("_c") > low)).groupBy(*by).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    return ends.select(*by).alias("a").join(middle.alias("m"), on("m"), "left").select(*[f"a.{c}" for c in by], name)
+
+
 def relative(posts: DataFrame, channel: str, views: str) -> DataFrame:
     """Adds relative: views against the channel's median (a median of 0 counts as 1)."""
-    medians = posts.groupBy(channel).agg(F.median(views).alias("_median"))
-    return posts.join(medians, channel).withColumn("relative", F.col(views) / F.greatest("_median", F.lit(1.0))).drop("_median")
+    return posts.join(medians(posts, [channel], views, "_median"), channel).withColumn("relative", F.col(views) / F.greatest("_median", F.lit(1.0))).drop("_median")
 
 
 def performance(rated: DataFrame, source: str, least: int = 3) -> DataFrame:
     """posts and performance of each source: the median relative, within 0.5 and 1.5; null below `least` posts."""
-    found = rated.groupBy(source).agg(F.count("*").alias("posts"), F.median("relative").alias("_m"))
+    found = rated.groupBy(source).agg(F.count("*").alias("posts")).join(medians(rated, [source], "relative", "_m"), source)
     return found.select(source, "posts", F.when(F.col("posts") >= least, F.greatest(F.lit(0.5), F.least(F.lit(1.5), "_m"))).alias("performance"))
 
 
+def settled(posts: DataFrame, now, least_hours: int = 48, most_days: int = 30) -> DataFrame:
+    """Sent posts with views that are older than two days and younger than thirty."""
+    age = (F.unix_micros(now) - F.unix_micros("sent_at")) / 3.6e9
+    return posts.where((F.col("status") == "sent") & F.col("views").isNotNull() & (age > least_hours) & (age < 24 * most_days))
+
+
+def hints(rated: DataFrame, channel: str, key: str, views: str, posts: int = 6, median: float = 30, k: int = 3) -> DataFrame:
+    """best_and_worst() of channels with enough posts and a median of enough views."""
+    enough = rated.groupBy(channel).agg(F.count("*").alias("_posts")).where(F.col("_posts") >= posts).join(medians(rated, [channel], views, "_m").where(F.col("_m") >= median), channel).select(channel)
+    return best_and_worst(rated.join(enough, channel, "left_semi"), channel, key, k)
+
+
 def best_and_worst(rated: DataFrame, channel: str, key: str, k: int = 3) -> DataFrame:
     """kind, and the k best and worst posts of each channel."""
     best = top_per_group(rated, [channel], [F.col("relative").desc(), F.col(key)], k).withColumn("kind", F.lit("best"))
@@ -27,6 +64,15 @@ def best_and_worst(rated: DataFrame, channel: str, key: str, k: int = 3) -> Data
     return best.unionByName(worst)
 
 
-def at_horizons(snapshots: DataFrame, key: str, age: str, order: str, metric: str, horizons: list[int]) -> DataFrame:
-    """A column for each horizon h: the metric of the first snapshot aged h to 1.5 h; one pass, no join."""
-    return snapshots.groupBy(key).agg(*[F.min_by(metric, F.when((F.col(age) >= h) & (F.col(age) <= 1.5 * h), F.col(order))).alias(f"h{h}") for h in horizons], F.max_by(metric, order).alias("last"))
+def at_horizons(snapshots: DataFrame, key: str, age: str, order: str, metrics: str | list[str], horizons: list[int]) -> DataFrame:
+    """A column for each metric and horizon h: that of the first snapshot aged h to 1.5 h, and of the last one; one pass, no join.
+
+    Columns are h24 and last for one metric by its name, views_h24 and views_last for a list.
+    """
+    many = isinstance(metrics, list)
+    picked = []
+    for m in metrics if many else [metrics]:
+        head = f"{m}_" if many else ""
+        picked += [F.min_by(m, F.when((F.col(age) >= h) & (F.col(age) <= 1.5 * h), F.col(order))).alias(f"{head}h{h}") for h in horizons]
+        picked.append(F.max_by(m, order).alias(f"{head}last"))
+    return snapshots.groupBy(key).agg(*picked)

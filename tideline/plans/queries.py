@@ -63,7 +63,6 @@ shared("as_of_previous_order", "orders", "SELECT o_orderkey, max(prev) AS prev_d
 shared("filtered_counts", "events", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, avg(value) FILTER (WHERE value IS NOT NULL) AS mean, count(DISTINCT user_id) AS users FROM {events} GROUP BY event_type")
 shared("sources_with_many", "documents", "SELECT source, count(*) AS n FROM {documents} GROUP BY source HAVING count(*) >= 4")
 shared("two_periods", "events", "SELECT event_type, count(CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 1 END) AS now_n, count(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 END) AS before_n FROM {events} GROUP BY event_type")
-shared("exact_median", "events", "SELECT event_type, median(value) AS med FROM {events} GROUP BY event_type")
 shared("latest_key", "events", "SELECT user_id, max(ts) AS last_at, count(*) AS n FROM {events} GROUP BY user_id")
 shared("latest_value", "events", "SELECT user_id, max_by(event_type, event_id) AS last_type FROM {events} GROUP BY user_id")
 shared("first_kind", "documents", "SELECT source, coalesce(min_by(lang, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'en' THEN 3 ELSE 4 END * CAST(1000000000 AS BIGINT) + doc_id), 'article') AS kind FROM {documents} GROUP BY source")
@@ -131,6 +130,11 @@ def engagement(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", scoring.engagement({"likes": F.col("p_size"), "views": F.col("p_retailprice")}).alias("engagement"), scoring.depth(F.col("p_retailprice")).alias("depth"))
 
 
+@query("SELECT event_type, median(value) AS med FROM events GROUP BY event_type")
+def exact_median(spark, sf_dir):
+    return statistics.medians(read(spark, sf_dir, "events"), ["event_type"], "value", "med")
+
+
 _RATED = "WITH m AS (SELECT event_type, median(value) AS med FROM events WHERE value IS NOT NULL GROUP BY event_type), r AS (SELECT e.*, value / greatest(med, 1.0) AS relative FROM events e JOIN m USING (event_type) WHERE value IS NOT NULL) "
 
 
@@ -228,10 +232,8 @@ def page_articles(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Watermarked six-hour counts, run as a stream over what is there."""
-    import uuid
-
     counts = W.counted(W.stream(spark, f"{sf_dir}/events.parquet", "ts"), "ts", ["event_type"])
-    return W.drained(counts, f"windows_{uuid.uuid4().hex}").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return W.drained(counts, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import stories as S
 from tideline.plans.queries import query, read
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+def now() -> Column:
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
 TOPIC = [((p * 7) % 5 - 2) / 2 for p in range(64)]
 
 _BASE = """WITH i AS (SELECT d.doc_id AS item_id, CASE WHEN d.doc_id % 17 <> 0 THEN d.source END AS source_id, d.doc_id % 60 AS cluster_id,
@@ -50,7 +53,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         d.alias("item_id"), F.when(d % 17 != 0, F.col("source")).alias("source_id"), (d % 60).alias("cluster_id"),
         F.when(d % 10 == 0, "duplicate").when(d % 10 == 1, "new").otherwise("clustered").alias("status"),
         F.when(d % 3 == 0, "post").when(d % 3 == 1, "video").otherwise("article").alias("kind"),
-        (NOW - F.make_dt_interval(F.lit(0), (d * 37 % 400).cast("int"))).alias("published_at"), "text",
+        (now() - F.make_dt_interval(F.lit(0), (d * 37 % 400).cast("int"))).alias("published_at"), "text",
         F.when(d % 60 % 7 != 0, F.col("quality") * 0.8 + 0.1).alias("topic_score"), "title_embedding",
         F.create_map(F.lit("views"), F.when(d % 3 == 1, F.col("n_chars") * 10).cast("double"), F.lit("likes"), F.when(d % 5 == 1, F.col("n_chars")).cast("double")).alias("meta"),
     )
@@ -70,18 +73,18 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def _features(spark, sf_dir):
     items, clusters, sources = tables(spark, sf_dir)
-    return S.features(clusters, items, sources, NOW), items
+    return S.features(clusters, items, sources, now()), items
 
 
 def _scored(spark, sf_dir):
     found, items = _features(spark, sf_dir)
-    return S.scores(found, NOW, TOPIC), items
+    return S.scores(found, now(), TOPIC), items
 
 
 def _selected(spark, sf_dir):
     scored, items = _scored(spark, sf_dir)
     recent = items.where("item_id % 23 = 7 and source_id is not null").select("source_id")
-    return S.selected(scored, items, NOW, 40, min_items=14, topic_threshold=0.3, single=6.0, recent=recent), items
+    return S.selected(scored, items, now(), 40, min_items=14, topic_threshold=0.3, single=6.0, recent=recent), items
 
 
 @query(_BASE + "SELECT cluster_id, recent, content_length, round(engagement, 6) AS engagement, round(authority, 6) AS authority, round(topic_score, 6) AS topic_score FROM f")
@@ -128,7 +131,7 @@ def stories_by_interest(spark, sf_dir):
 def instant_stories(spark, sf_dir):
     found, _ = _selected(spark, sf_dir)
     events = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("created_at"), (F.col("user_id") % 40 == 0).alias("instant"), F.when(F.col("event_type") == "error", "failed").otherwise("sent").alias("status"))
-    return S.instant(found, 4.0, S.remaining(events, NOW, 20)).select("cluster_id")
+    return S.instant(found, 4.0, S.remaining(events, now(), 20)).select("cluster_id")
 
 
 @query(_BASE + ", n AS (SELECT *, interest IS NULL OR interest < 3 AS low FROM w), o AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS rank FROM n) SELECT cluster_id, CASE WHEN low THEN 'below_interest_floor' WHEN rank <= 5 THEN 'chosen' ELSE 'spare' END AS status FROM o")
@@ -147,7 +150,7 @@ def story_page(spark, sf_dir):
 def story_arrivals(spark, sf_dir):
     items, _, _ = tables(spark, sf_dir)
     found = S.arrivals(items)
-    return found.select("cluster_id", F.size("arrivals").cast("long").alias("n"), F.transform("arrivals", lambda t: F.round(S.age_hours(t, NOW)).cast("long")).alias("hours"))
+    return found.select("cluster_id", F.size("arrivals").cast("long").alias("n"), F.transform("arrivals", lambda t: F.round(S.age_hours(t, now())).cast("long")).alias("hours"))
 
 
 def _drafts(spark: SparkSession) -> DataFrame:
@@ -173,7 +176,7 @@ def draft_items(spark, sf_dir):
 def claimed_stories(spark, sf_dir):
     found, _ = _selected(spark, sf_dir)
     _, clusters, _ = tables(spark, sf_dir)
-    return S.claimed(S.closed(clusters, NOW), found.where("pos < 10")).select("cluster_id", "state")
+    return S.claimed(S.closed(clusters, now()), found.where("pos < 10")).select("cluster_id", "state")
 
 
 @query(_BASE + _DRAFTS + ", g AS (SELECT cluster_id FROM c WHERE state <> 'published' AND cluster_id NOT IN (SELECT cluster_id FROM d)) SELECT item_id, CASE WHEN g.cluster_id IS NULL THEN i.cluster_id END AS cluster_id, CASE WHEN g.cluster_id IS NULL THEN status ELSE 'ignored' END AS status FROM i LEFT JOIN g ON g.cluster_id = i.cluster_id")
@@ -197,5 +200,5 @@ def source_suggestions(spark, sf_dir):
 @query("SELECT count(*) AS n FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 2 = 0 OR doc_id * 37 % 400 <= 48)")
 def new_item_count(spark, sf_dir):
     d = F.col("doc_id")
-    items = read(spark, sf_dir, "documents").select(F.md5(d.cast("string")).alias("url_hash"), d, F.when(d % 2 == 0, "curated").otherwise("news").alias("mode"), (NOW - F.make_dt_interval(F.lit(0), (d * 37 % 400).cast("int"))).alias("published_at"))
-    return S.new_items(items, items.where(d % 7 == 0), NOW).agg(F.count("*").alias("n"))
+    items = read(spark, sf_dir, "documents").select(F.md5(d.cast("string")).alias("url_hash"), d, F.when(d % 2 == 0, "curated").otherwise("news").alias("mode"), (now() - F.make_dt_interval(F.lit(0), (d * 37 % 400).cast("int"))).alias("published_at"))
+    return S.new_items(items, items.where(d % 7 == 0), now()).agg(F.count("*").alias("n"))
