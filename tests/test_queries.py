@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
-from tideline.operators import clustering, dedup, evaluation, statistics, stories
+from tideline.operators import clustering, dedup, evaluation, schedules, statistics, stories
 from tideline.plans import cases, connectors, publishing  # noqa: F401  they add their queries
 from tideline.plans import stories as story_plans  # noqa: F401
 from tideline.plans.queries import QUERIES, SQL
@@ -154,6 +154,24 @@ def test_medians_of_odd_groups(spark):
     assert statistics.medians(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_schedules(spark):
+    assert schedules.fields("*/20 8-10 1,15 * 7") == [[0, 20, 40], [8, 9, 10], [1, 15], None, [0]]
+    for wrong in ("* * * *", "60 * * * *", "5-1 * * * *", "*/0 * * * *"):
+        with pytest.raises(ValueError, match="schedule"):
+            schedules.fields(wrong)
+    at = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    one_of = lambda c: spark.range(1).select(F.date_format(c, "yyyy-MM-dd HH:mm").alias("t")).first().t
+    assert one_of(schedules.upcoming(at, "0 9 13 * 5")) == "2024-03-08 09:00"  # a Friday, before the 13th
+    assert one_of(schedules.upcoming(at, "0 9 30 2 *")) is None
+    assert one_of(schedules.previous(at, "0 12 * * *")) == "2024-03-01 12:00"
+    df = spark.createDataFrame([(1, 30), (2, 0)], "schedule_id long, lead_minutes int")
+    fires = spark.createDataFrame([(9,)], "schedule_id long").withColumn("slot", at)
+    now = F.lit("2024-03-01 11:35:00").cast("timestamp")
+    assert [r.schedule_id for r in schedules.firing(df, fires, now, "0 12 * * *").collect()] == [1]
+    done = df.where("schedule_id = 1").select("schedule_id", F.lit("2024-03-01 12:00:00").cast("timestamp").alias("slot"))
+    assert schedules.firing(df, done, now, "0 12 * * *").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id long, text string").coalesce(1)
     sinks.csv_with_mark(df, str(tmp_path / "csv"))

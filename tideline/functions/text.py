@@ -181,6 +181,34 @@ def citation_check(body: Column | str, valid: Column) -> Column:
     return F.struct(F.array_sort(F.array_except(used, valid)).alias("invalid_citations"), F.when(F.size(long) > 0, F.round(cited / F.size(long), 2)).otherwise(1.0).alias("citation_coverage"), F.length(t).alias("length"))
 
 
+def source_dump(body: Column | str, sources: Column | str) -> Column:
+    """Whether a text lists its sources instead of joining them: two paragraphs that start with a mark, or seven tenths of three and more sentences of five words taken over."""
+    t = _c(body)
+    marked = F.filter(F.transform(F.split(t, r"\n\s*\n"), stripped), lambda p: p.rlike(r"^\[\d+\]"))
+    flat = F.array_join(words(sources), " ")
+    own = F.filter(F.transform(sentences(t), lambda s: F.array_join(words(without_citations(s)), " ")), lambda s: F.size(F.split(s, " ")) >= 5)
+    taken = F.filter(own, lambda s: F.contains(flat, s))
+    return (F.size(marked) >= 2) | ((F.size(own) >= 3) & (F.size(taken) / F.greatest(F.size(own), F.lit(1)) >= 0.7))
+
+
+def list_mismatch(title: Column | str, body: Column | str) -> Column:
+    """promised and listed, where a title promises more things than the text lists; else null."""
+    promised, listed = promised_count(title), list_items(body)
+    return F.when(listed < promised, F.struct(promised.alias("promised"), listed.alias("listed")))
+
+
+def answer_tokens(limit: Column) -> Column:
+    """Tokens that an answer of so many characters may take."""
+    return F.greatest(F.lit(700), F.floor(limit / 2) + 300)
+
+
+def used_citations(numbers: Column, *texts: Column) -> Column:
+    """The numbers that the texts cite, in order; all if they cite none."""
+    marks = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")) for t in texts])
+    used = F.filter(numbers, lambda n: F.array_contains(marks, n))
+    return F.when(F.size(used) > 0, used).otherwise(numbers)
+
+
 def matching(text: Column | str) -> Column:
     """Lower-case text of letters and digits with single spaces: what captions and posts are matched by."""
     return F.trim(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " "))

@@ -31,6 +31,15 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def distance(a: Column | str, b: Column | str) -> Column:
+    """Cosine distance."""
+    return 1 - cosine(a, b)
+
+
+def dimensions(a: Column | str) -> Column:
+    return F.size(_c(a))
+
+
 def unit(a: Column | str) -> Column:
     """Length one; zero stays zero."""
     n = norm(a)

@@ -267,3 +267,47 @@ def new_items(items: DataFrame, known: DataFrame, now: Column, hours: dict[str,
     """Items of an unknown url_hash that are curated or in the news window."""
     rows = items.join(known.select("url_hash").distinct(), "url_hash", "left_anti")
     return rows.where((F.col("mode") == "curated") | fresh(F.col("published_at"), F.lit("news"), now, hours))
+
+
+def dashboard(scored: DataFrame, min_items: int, single: float, threshold: float, most: int = 6) -> DataFrame:
+    """The best open stories of enough items or interest that pass the topic gate."""
+    rows = scored.where((F.col("state") == "open") & ((F.col("item_count") >= min_items) | (F.col("interest") >= single)) & passes_topic(threshold))
+    return rows.orderBy(topic_value().desc(), F.col("score").desc_nulls_last(), "cluster_id").limit(most)
+
+
+def view(scored: DataFrame, *, min_items: int = 2, threshold: float = 0.4, singles: bool = False, off_topic: bool = False, contains: str = "", interest: str = "all", images: bool = False, by: str = "interest") -> DataFrame:
+    """Stories as an editor filters and orders them.
+
+    Small news and stories off topic are hidden unless asked for (published ones
+    are never off topic); interest is all, rated, high (6 or more) or low (under
+    3); by is interest, date, items, sources or topic_fit, ties by cluster_id.
+    """
+    rows = scored
+    if not singles:
+        rows = rows.where((F.col("mode") == "curated") | (F.col("item_count") >= min_items))
+    if not off_topic:
+        rows = rows.where((F.col("state") == "published") | passes_topic(threshold))
+    if contains.strip():
+        rows = rows.where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.lit(contains.strip()))))
+    rated = {"all": F.lit(True), "rated": F.col("interest").isNotNull(), "high": F.col("interest") >= 6, "low": F.col("interest") < 3}
+    rows = rows.where(rated[interest])
+    if images:
+        rows = rows.where("image_item_id is not null")
+    orders = {"interest": [F.coalesce("interest", F.lit(-1.0)).desc(), F.col("last_seen").desc()], "date": [F.col("last_seen").desc()], "items": [F.col("item_count").desc()], "sources": [F.col("source_count").desc()], "topic_fit": [F.coalesce(F.col("breakdown")["topic_fit"]["value"], F.lit(0.0)).desc()]}
+    return rows.orderBy(*orders[by], "cluster_id")
+
+
+def image_items(items: DataFrame) -> DataFrame:
+    """cluster_id, image_item_id: the newest item with a picture."""
+    return members(items).where("image_url is not null").groupBy("cluster_id").agg(F.max_by("item_id", F.struct("published_at", "item_id")).alias("image_item_id"))
+
+
+def relevance(items: DataFrame, clusters: DataFrame, authority: str = "authority") -> DataFrame:
+    """Items with relevance: likeness to their story's centroid and 0.15 of their source's authority."""
+    rows = items.join(clusters.select("cluster_id", "centroid"), "cluster_id")
+    return rows.withColumn("relevance", V.cosine("embedding", "centroid") + 0.15 * F.col(authority)).drop("centroid")
+
+
+def context_cap(chosen: Column) -> Column:
+    """Characters of each of so many items in a context."""
+    return F.greatest(F.lit(300), F.floor(F.lit(7000) / F.greatest(chosen, F.lit(1))))

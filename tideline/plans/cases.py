@@ -154,6 +154,7 @@ cases(
     "markup_cases",
     {
         "plain": T.plain, "visible": T.visible, "html": T.html, "keep": lambda x: T.keep_links(x, ["https://a.b/c"]), "post": T.written_post, "headline": lambda x: T.headline(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1), 40),
+        "dump": lambda x: T.source_dump(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1)), "mismatch": lambda x: T.list_mismatch(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1)), "tokens": lambda x: T.answer_tokens(x.try_cast("int")), "used": lambda x: T.used_citations(F.array(F.lit(1), F.lit(2), F.lit(3)), x),
         "check": lambda x: T.citation_check(x, F.array(F.lit(1), F.lit(2))), "footer": lambda x: T.footer(F.split(F.substring_index(x, "|", 1), ","), F.split(F.substring_index(x, "|", -1), ","), "Sources"),
     },
     [
@@ -170,5 +171,14 @@ cases(
         ("check", "This is a cited sentence [1]. This one has no such mark. Short one. And this has a wrong one [7].", '{"invalid_citations":[7],"citation_coverage":0.67,"length":97}'),
         ("footer", "https://a,https://b,https://a|A,,C", '\n\nSources: <a href="https://a">A</a>, <a href="https://b">https://b</a>'),
         ("footer", "|", ""),
+        ("dump", "[1] one text\n\n[2] other text|x", "true"),
+        ("dump", "The first has five words here. The second has five words too. The third is of my own making.|the first has five words here the second has five words too", "false"),
+        ("dump", "The first has five words here [1]. The second has five words too. And the third has them.|The first has five words here. The second has five words too; and the third has them", "true"),
+        ("mismatch", "Top 5 tools|- a\n- b", '{"promised":5,"listed":2}'),
+        ("mismatch", "Top 3 tools|- a\n- b\n- c", None),
+        ("tokens", "600", "700"),
+        ("tokens", "1501", "1050"),
+        ("used", "text [3] and [1] and [9]", "[1,3]"),
+        ("used", "no marks", "[1,2,3]"),
     ],
 )

@@ -202,3 +202,48 @@ def new_item_count(spark, sf_dir):
     d = F.col("doc_id")
     items = read(spark, sf_dir, "documents").select(F.md5(d.cast("string")).alias("url_hash"), d, F.when(d % 2 == 0, "curated").otherwise("news").alias("mode"), (now() - F.make_dt_interval(F.lit(0), (d * 37 % 400).cast("int"))).alias("published_at"))
     return S.new_items(items, items.where(d % 7 == 0), now()).agg(F.count("*").alias("n"))
+
+
+@query(_BASE + "SELECT cluster_id FROM r WHERE state = 'open' AND (item_count >= 15 OR interest >= 5) AND (neutral OR topic >= 0.3) ORDER BY topic DESC, score DESC NULLS LAST, cluster_id LIMIT 6")
+def story_dashboard(spark, sf_dir):
+    scored, _ = _scored(spark, sf_dir)
+    return S.dashboard(scored, 15, 5.0, 0.3).select("cluster_id")
+
+
+@query(_BASE + ", g AS (SELECT cluster_id, arg_max(item_id, {'p': published_at, 'i': item_id}) AS image_item_id FROM m WHERE item_id % 3 = 1 GROUP BY cluster_id) SELECT r.cluster_id, image_item_id FROM r JOIN g USING (cluster_id) WHERE (mode = 'curated' OR item_count >= 12) AND (state = 'published' OR neutral OR topic >= 0.3) AND interest >= 6 AND title ILIKE '%story%'")
+def story_view(spark, sf_dir):
+    scored, items = _scored(spark, sf_dir)
+    pictured = items.withColumn("image_url", F.when(F.col("item_id") % 3 == 1, "x"))
+    rows = scored.join(S.image_items(pictured), "cluster_id", "left")
+    return S.view(rows, min_items=12, threshold=0.3, contains=" STORY", interest="high", images=True, by="date").select("cluster_id", "image_item_id")
+
+
+@query("""WITH c AS (SELECT label, list(m ORDER BY p) AS centroid FROM (SELECT label, p, avg(CAST(embedding[p] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings) GROUP BY label, p) GROUP BY label)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) + 0.15 * (label / 10.0), 6) AS relevance, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 6) AS distance, len(embedding) AS dims, greatest(300, 7000 // greatest(vec_id % 30, 1)) AS cap FROM embeddings JOIN c USING (label)""")
+def item_relevance(spark, sf_dir):
+    from tideline.functions import vectors as V
+
+    items = read(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster_id").withColumn("authority", F.col("cluster_id") / 10)
+    centroids = V.mean_vector(items, ["cluster_id"], "embedding")
+    rows = S.relevance(items, centroids).join(centroids, "cluster_id")
+    return rows.select("vec_id", F.round("relevance", 6).alias("relevance"), F.round(V.distance("embedding", "centroid"), 6).alias("distance"), V.dimensions("embedding").cast("long").alias("dims"), S.context_cap(F.col("vec_id") % 30).alias("cap"))
+
+
+_CRON = "SELECT t FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-01 00:00:00', TIMESTAMP '2025-02-01 00:00:00', INTERVAL 1 MINUTE)) AS t) WHERE minute(t + INTERVAL 3 HOURS) IN (0, 15, 30, 45) AND hour(t + INTERVAL 3 HOURS) IN (8, 9, 10) AND dayofweek(t + INTERVAL 3 HOURS) IN (1, 3)"
+
+
+@query(f"WITH f AS ({_CRON}), e AS (SELECT event_id, ts FROM events WHERE event_id % 100 = 0) SELECT event_id, (SELECT min(t) FROM f WHERE t > ts) AS next, (SELECT max(t) FROM f WHERE t <= ts) AS last FROM e")
+def schedule_times(spark, sf_dir):
+    """Mondays and Wednesdays, each quarter of the hours from 8 to 10, three hours east."""
+    from tideline.operators import schedules as C
+
+    e = read(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return e.select("event_id", *[f(F.col("at"), "*/15 8-10 * * 1,3", "+03:00", 40).cast("timestamp_ntz").alias(n) for f, n in ((C.upcoming, "next"), (C.previous, "last"))])
+
+
+@query(f"WITH f AS ({_CRON}), e AS (SELECT event_id, ts FROM events WHERE event_id % 500 = 0) SELECT event_id, t AS slot FROM e JOIN f ON t > ts AND t <= ts + INTERVAL 20 DAYS QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY t) <= 50")
+def schedule_slots(spark, sf_dir):
+    from tideline.operators import schedules as C
+
+    e = read(spark, sf_dir, "events").where("event_id % 500 = 0").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return C.slots(e, F.col("at"), F.col("at") + F.make_dt_interval(F.lit(20)), "*/15 8-10 * * 1,3", "+03:00", 21, 50).select("event_id", F.col("slot").cast("timestamp_ntz").alias("slot"))
