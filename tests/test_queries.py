@@ -140,6 +140,11 @@ def test_single_pass_with_stored_stories_and_duplicates(spark):
             assert got[i] == (k, None), (label, i)
 
 
+def test_streamed_clusters_are_those_of_the_table(spark):
+    found, table = ({(r.label, r.vec_id): r.cluster for r in QUERIES[q](spark, SF).collect()} for q in ("streamed_clusters", "single_pass_clusters"))
+    assert found == table and len(found) > 0
+
+
 def test_clusters_forget_what_left_the_window():
     c = clustering.Clusters(5.0)
     for t in range(1000):

@@ -142,3 +142,25 @@ def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, wi
     found = ordered.mapInPandas(run, f"g {kinds['g']}, k {kinds['k']}, cluster int, dup_of {kinds['k']}")
     extra = ["dup_of"] if same is not None else []
     return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster", *extra)
+
+
+def streamed(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float) -> DataFrame:
+    """single_pass() over a stream: group, key, cluster of the items of each batch in order of `at` and key.
+
+    The state of a group is its stories of one window. Late items are compared
+    with what is left of them by their own time; none is dropped.
+    """
+    import pickle
+
+    kinds = dict(items.dtypes)
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        clusters = pickle.loads(state.get[0]) if state.exists else Clusters(window)
+        rows = pd.concat(list(batches)).sort_values(["t", "k"])
+        numbers = [clusters.add(v, t, threshold) for v, t in zip(rows["v"], rows["t"], strict=True)]
+        state.update((pickle.dumps(clusters),))
+        yield pd.DataFrame({"g": rows["g"], "k": rows["k"], "cluster": numbers})
+
+    rows = items.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(at).cast("double").alias("t"))
+    found = rows.groupBy("g").applyInPandasWithState(step, f"g {kinds[group]}, k {kinds[key]}, cluster int", "stories binary", "append", "NoTimeout")
+    return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")

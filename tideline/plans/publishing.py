@@ -190,3 +190,10 @@ def semantic_duplicates(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").withColumn("x", clustering.threshold(F.when(F.col("label") % 2 == 0, "news").otherwise("curated"), F.col("vec_id") % 5 == 0, 0.35))
     stored = v.where("vec_id % 10 = 0").select("label", (F.col("vec_id") / 10).cast("int").alias("cluster"), F.col("embedding").alias("centroid"), F.lit(2).alias("n"), F.col("vec_id").alias("last"))
     return clustering.single_pass(v.where("vec_id % 10 <> 0"), "label", "vec_id", "embedding", "vec_id", 200.0, "x", stored=stored, same=0.6)
+
+
+@query()
+def streamed_clusters(spark, sf_dir):
+    """Single-pass clusters over a stream; tested against those over the table."""
+    found = clustering.streamed(W.stream(spark, f"{sf_dir}/embeddings.parquet"), "label", "vec_id", "embedding", "vec_id", 200.0, 0.35)
+    return W.drained(found)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def stream(spark: SparkSession, path: str, at: str, files: int = 4) -> DataFrame:
-    """A file stream of a Parquet folder or file, with event times that watermarks accept."""
+def stream(spark: SparkSession, path: str, at: str | None = None, files: int = 4) -> DataFrame:
+    """A file stream of a Parquet folder or file, with event times (if it has some) that watermarks accept."""
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return source.option("pathGlobFilter", name).parquet(folder).withColumn(at, F.col(at).cast("timestamp"))
+    rows = source.option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn(at, F.col(at).cast("timestamp")) if at else rows
 
 
 def counted(df: DataFrame, at: str, by: list[str], width: str = "6 hours", late: str = "1 day") -> DataFrame:
