@@ -368,9 +368,9 @@ def test_line_dedup(spark, vocabulary, seed):
     for d, t in enumerate(texts):
         want = None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (d, n) not in expected)
         assert cleaned[d].text == want and (want is None or cleaned[d].n_chars == len(want))
-    odd = linededup.clean(odd_docs(spark))
-    assert odd.count() == odd_docs(spark).count() and odd.columns == odd_docs(spark).columns
-    assert linededup.removed(odd_docs(spark).limit(0)).count() == 0
+    if seed == 1:
+        odd = linededup.clean(odd_docs(spark))
+        assert odd.count() == odd_docs(spark).count() and odd.columns == odd_docs(spark).columns
 
 
 def test_line_dedup_frequent_lines_and_words(spark, vocabulary, monkeypatch):
@@ -393,11 +393,14 @@ def test_line_dedup_frequent_lines_and_words(spark, vocabulary, monkeypatch):
     assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == expected
 
 
-def test_line_dedup_runs_no_python(spark, vocabulary):
-    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "x"])
-    for df in (linededup.removed(docs), linededup.clean(docs)):
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linededup, "saved", lambda df, name: seen.append(df) or common.saved(df, name))
+    seen.append(linededup.clean(docs_of(spark, ["a b c d e f", "a b c d e f", "x"])))
+    assert len(seen) > 8
+    for df in seen:
         plan = df._jdf.queryExecution().toString()
-        assert "MapInArrow" not in plan and "MapInPandas" not in plan and "Python" not in plan
+        assert not any(x in plan for x in ("MapInArrow", "MapInPandas", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"))
 
 
 def test_quality_learns_grades(spark, vocabulary):
@@ -433,6 +436,30 @@ def test_ordinal_gradient_finds_planted_weights():
     assert model.weights[0] > 1 and model.thresholds[0] < model.thresholds[1]
 
 
+def test_ordinal_fit_is_a_maximum_of_the_likelihood():
+    """The cumulative-link likelihood, written out row by row, falls in every direction from what is fitted."""
+    rng = np.random.default_rng(6)
+    n, d = 120, 6
+    x = rng.normal(size=(n, d)) / 10
+    grades = np.clip(np.floor(x @ rng.normal(size=d) * 12 + rng.normal(size=n) + 1), 0, 2).astype(np.int64)
+    rows, at = np.divmod(np.arange(n * d), d)
+    model = quality.fitted(rows, at, x.reshape(-1), grades, 2, penalty=1e-3, rounds=4000)
+    w, t = model.weights[:d], model.thresholds
+
+    def cost(w, t):
+        total = 0.0
+        for i in range(n):
+            tails = [1.0, *(1 / (1 + np.exp(b - x[i] @ w)) for b in t), 0.0]
+            total -= np.log(tails[grades[i]] - tails[grades[i] + 1])
+        return total / n + 1e-3 / 2 * ((w / 30.0) ** 2).sum()
+
+    best = cost(w, t)
+    assert t[0] < t[1] and not model.weights[d:].any()
+    for _ in range(40):
+        dw, dt = rng.normal(size=d) * 0.3, rng.normal(size=2) * 0.02
+        assert cost(w + dw, t + dt) > best - 1e-6
+
+
 def test_toxicity_reads_disguises(spark, vocabulary):
     rng = random.Random(12)
     bad = ["wretched", "grumpling", "snivelor"]
