@@ -45,7 +45,11 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node that it reaches) for every node of an edge (u, v: long)."""
+    """node, root (the smallest node that it reaches) for every node of an edge (u, v: long).
+
+    Edges of a node with itself, and with a null, are left out; repeated and
+    turned edges change nothing; other columns are not read; no edges give no rows.
+    """
     spark = edges.sparkSession
     now = saved(edges.select("u", "v").where("u <> v").mapInArrow(_contracted, "u long, v long").distinct(), "edges")
     mark = None
