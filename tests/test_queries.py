@@ -250,9 +250,14 @@ def test_vectors(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title> A </title><link>http://x/1</link><description>&lt;p&gt;Hi &lt;b&gt;you&lt;/b&gt;&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item><item><title>B</title></item></channel></rss>")
-    rows = {r.title: r for r in feeds.rss(spark, str(tmp_path / "f.xml"), "2024-02-01 00:00:00").collect()}
-    assert rows["A"].text == "Hi you" and str(rows["A"].published_at) == "2024-01-01 10:00:00" and str(rows["B"].published_at) == "2024-02-01 00:00:00"
-    (tmp_path / "g.csv").write_text("gold;title;hours_ago\ne1;x;3,5\n;y;1\n")
-    assert [(r.gold, r.hours_ago) for r in feeds.labelled(spark, str(tmp_path / "g.csv"), "csv", ";").collect()] == [("e1", 3.5)]
+    (tmp_path / "g.csv").write_bytes("\ufeffgold;title;hours_ago\ne1;x, z;3,5\n;y;1\n".encode())
+    assert [(r.gold, r.title, r.hours_ago) for r in feeds.labelled(spark, str(tmp_path / "g.csv"), "csv", least=1).collect()] == [("e1", "x, z", 3.5)]
+    with pytest.raises(ValueError, match="fewer than 10"):
+        feeds.labelled(spark, str(tmp_path / "g.csv"), "csv")
+    (tmp_path / "g.tsv").write_text("gold\ttitle\thours_ago\n" + "a\tb\t2\n" * 12)
+    assert feeds.labelled(spark, str(tmp_path / "g.tsv"), "csv").count() == 12
+    (tmp_path / "g.jsonl").write_text('{"gold": "a", "title": "t", "hours_ago": 4.5}\n' * 10)
+    assert feeds.labelled(spark, str(tmp_path / "g.jsonl")).first().hours_ago == 4.5
+    rows = spark.createDataFrame([(2, "s", 0.9), (1, "s", 0.7), (3, " ", None), (4, None, 0.1)], "pos long, source string, authority double")
+    assert {(r.source, r.authority, r["items"]) for r in feeds.sources_of(rows).collect()} == {("s", 0.7, 2), ("manual", 0.5, 2)}
     assert feeds.imported(spark.createDataFrame([("t", 2.0)], "title string, hours_ago double"), "2024-01-01 12:00:00").select(F.date_format("published_at", "HH:mm")).first()[0] == "10:00"

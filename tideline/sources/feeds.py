@@ -1,26 +1,43 @@
-"""Feeds and bulk files as item rows: title, url, text, published_at."""
+"""Labelled and bulk files as item rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM = "title string, link string, description string, pubDate string"
+#: Fewest labelled rows that an evaluation takes.
+LEAST_ROWS = 10
 
 
-def rss(spark: SparkSession, path: str, now: str) -> DataFrame:
-    """Items of RSS files; without a time they count as published now; items without title are left out."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
-    at = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"), F.lit(now).cast("timestamp"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("description", F.lit("")), r"<[^>]+>", " "), r"\s+", " "))
-    return raw.where(F.trim("title") != "").select(F.trim("title").alias("title"), F.coalesce("link", F.lit("")).alias("url"), text.alias("text"), at.alias("published_at"))
+def separator(spark: SparkSession, path: str) -> str:
+    """The separator that the first line has most of, a comma if it has none."""
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    line = head[0].value if head else ""
+    return max(",;\t|", key=line.count)
 
 
-def labelled(spark: SparkSession, path: str, kind: str = "json", sep: str = ",") -> DataFrame:
-    """Labelled rows of JSON lines or separated values; hours may have a decimal comma, rows without label are left out."""
-    raw = spark.read.json(path) if kind == "json" else spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+def labelled(spark: SparkSession, path: str, kind: str = "json", sep: str | None = None, least: int = LEAST_ROWS) -> DataFrame:
+    """Labelled rows of JSON lines or separated values; hours may have a decimal comma, rows without label are left out.
+
+    Without sep the first line tells it; a byte order mark is no part of the
+    first name; fewer than `least` labelled rows are an error.
+    """
+    if kind == "json":
+        raw = spark.read.json(path)
+    else:
+        raw = spark.read.option("header", True).option("sep", sep or separator(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
+        raw = raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
     hours = F.regexp_replace(F.col("hours_ago").cast("string"), ",", ".").try_cast("double")
-    return raw.where(F.coalesce(F.trim("gold"), F.lit("")) != "").withColumn("hours_ago", hours)
+    rows = raw.where(F.coalesce(F.trim("gold"), F.lit("")) != "").withColumn("hours_ago", hours)
+    if least and rows.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} labelled rows in {path}")
+    return rows
+
+
+def sources_of(rows: DataFrame) -> DataFrame:
+    """source, authority (of its first row, by `pos`; 0.5 without one) and items of bulk rows; rows without a source are one."""
+    name = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("manual"))
+    return rows.groupBy(name.alias("source")).agg(F.coalesce(F.min_by("authority", "pos"), F.lit(0.5)).alias("authority"), F.count("*").alias("items"))
 
 
 def imported(rows: DataFrame, now: str) -> DataFrame:
