@@ -6,8 +6,8 @@ letters, a space or mark may end a word or be a filler, a letter of a run may be
 a repetition. A Viterbi search finds the likeliest reading under a character
 4-gram model of the whole corpus; it keeps every state (last three letters, so
 27 ** 3 at most) and reads tokens and runs of any length. Plain numbers, words of
-letters without doubled ones, and runs of fragments that the model holds for
-common words stand for themselves. Restored words are scored by their beginnings, inner
+letters without doubled ones, and fragments of two or three letters that the model
+holds for common words stand for themselves. Restored words are scored by their beginnings, inner
 5-grams and whole forms, whose toxicity is counted on labelled documents; a
 text's score is a logistic regression on its most toxic words, fitted on
 labelled documents that took no part in the counting.
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from tideline.llm.common import saved, sliced, text_of
 
 LETTERS, GRAM = 27, 4  # a to z, and 0 for all between words
-CELLS = LETTERS**GRAM
+CELLS, CUBE = LETTERS**GRAM, LETTERS ** (GRAM - 1)
 TOP, EVIDENCE = 3, 1.5
 #: Signs of a token or run whose reading is remembered; longer ones are read each time.
 KEPT_SIGNS = 64
-#: The cost up to which a letter, and a longer fragment, is a common word.
-COMMON_LETTER, COMMON = 5.0, 8.0
+#: The cost up to which a fragment is a common word.
+COMMON = 8.0
 # fixed values: what a sign may stand for
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou", "#": "aeiou", "%": "", ".": "", "-": "", "_": "", "~": "", "^": "", "'": "", "`": "", ",": "", "/": "", "\\": "", ":": "", ";": "", "&": "", "=": "", "°": "o", "§": "s", "µ": "u", "ø": "o", "æ": "a"}
 # fixed values: letters of other scripts that look like Latin ones
@@ -136,7 +136,7 @@ class Decoder:
         if n == 1:
             step, after = self.second[context * LETTERS + code], context * LETTERS + code
         else:
-            step, after = self.four[context * LETTERS + code], (context * LETTERS + code) % LETTERS**3
+            step, after = self.four[context * LETTERS + code], (context * LETTERS + code) % CUBE
         return step, (2, after) if code else (0, 0)
 
     def word_cost(self, word: str) -> float:
@@ -148,17 +148,28 @@ class Decoder:
         return total
 
     def _best(self, word: str) -> tuple:
-        states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost, and characters as links to those before
+        first, second, four, code_of, edge = self.first, self.second, self.four, _CODE_OF.get, (0, 0)
+        states: dict[tuple[int, int], tuple] = {edge: (0.0, None)}  # cost, and characters as links to those before
         for options in [*self._options(word), [(" ", 0.0)]]:
+            coded = [(c, price, code_of(c, 0)) for c, price in options]
             following: dict[tuple[int, int], tuple] = {}
+            get = following.get
             for state, (cost, done) in states.items():
-                for c, price in options:
-                    if not c or c == " " and state == (0, 0):  # a second edge is none
+                n, context = state
+                for c, price, code in coded:
+                    if not c or c == " " and not n:  # a second edge is none
                         key, total, link = state, cost + price, done
-                    else:
-                        step, key = self.price(*state, c)
-                        total, link = cost + price + step, (done, c)
-                    held = following.get(key)
+                    else:  # as price()
+                        link = (done, c)
+                        if n == 2:
+                            at = context * LETTERS + code
+                            total, key = cost + price + four[at], (2, at % CUBE) if code else edge
+                        elif n:
+                            at = context * LETTERS + code
+                            total, key = cost + price + second[at], (2, at) if code else edge
+                        else:
+                            total, key = cost + price + first[code], (1, code) if code else edge
+                    held = get(key)
                     if held is None or total < held[0]:
                         following[key] = (total, link)
             states = following
@@ -222,7 +233,7 @@ class Reader:
                 return found
 
         class Short(dict):
-            """0: no fragment, 1: a fragment that is a common word, 2: another."""
+            """0: no fragment, 1: a fragment of two or three letters that is a common word, 2: another, a single letter or a mark."""
 
             def __missing__(self, token: str) -> int:
                 if len(self) > reader.remembered:
@@ -230,7 +241,7 @@ class Reader:
                 word = core(token)
                 if len(token) > 3 and _LONG.search(token):
                     found = 0
-                elif not word or word.isalpha() and reader.decoder.word_cost(word) <= (COMMON if len(word) > 1 else COMMON_LETTER):
+                elif len(word) > 1 and word.isalpha() and reader.decoder.word_cost(word) <= COMMON:
                     found = 1
                 else:
                     found = 2
@@ -251,11 +262,11 @@ class Reader:
             return tokens
         out: list[str] = []
         at = 0
-        for short, run in groupby(kinds, bool):
-            own = list(run)
-            part = tokens[at : at + len(own)]
-            at += len(own)
-            if short and 2 in own:
+        for odd, run in groupby(kinds, (2).__eq__):
+            size = sum(1 for _ in run)
+            part = tokens[at : at + size]
+            at += size
+            if odd and size > 1:
                 out.append(" ".join(part))
             else:
                 out += part
