@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -43,6 +43,21 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a further long column `name`: 0, 1, 2 ... in the order of the given columns (nulls first; equal rows in any order).
+
+    Rows are dealt by ranges and numbered inside each; ranges are moved by the
+    counts of those before, a row for each partition. df is evaluated twice (ranges
+    are sampled), so it should be cheap to read.
+    """
+    placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = sizes.select(F.col("part").alias(name + "_part"), (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias(name + "_base"))
+    moved = placed.withColumn(name + "_part", part).join(F.broadcast(before), name + "_part")
+    return moved.select(*df.columns, (F.col(name).bitwiseAND((1 << 33) - 1) + F.col(name + "_base")).alias(name))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
