@@ -359,7 +359,9 @@ def test_line_dedup(spark, vocabulary, seed):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             lines.append(rng.choice((" ".join, "\t".join))(words) if rng.random() < 0.9 else "  ")
         texts.append("\n".join(lines))
-    texts += [None, "", "\n", "A b\tc", "c B a"]
+        short = rng.sample(vocabulary[:12], rng.randint(3, 6))  # short lines that differ in a word more or less
+        texts += [" ".join(short), " ".join(rng.sample(short, len(short) - 1))]
+    texts += [None, "", "\n", "A b\tc", "c B a", "p q r s t", "s q p r", "f1 f2 f3 f4", "f4 f5 f3 f2 f1"]
     df = docs_of(spark, texts)
     found = {(r.doc_id, r.line_no) for r in linededup.removed(df).collect()}
     expected = lines_by_force(texts)
@@ -489,6 +491,9 @@ def test_language_model_grows_with_the_corpus(spark):
     few, many = (toxicity.language_model(docs_of(spark, ["abc def", "Äbc", None] * n)) for n in (1, 7))
     assert few.sum() > 0 and (many == 7 * few).all()
     assert toxicity.language_model(docs_of(spark, []).limit(0)).sum() == 0
+    texts = ["abc def", "", "a", None, "ghij", "ab", "cd", " Ünd b\n"] * 3
+    one, *others = (toxicity.language_model(docs_of(spark, texts).repartition(n)) for n in (1, 3, 8, 21))
+    assert (one == sum(toxicity.grams([t or ""]) for t in texts)).all() and all((x == one).all() for x in others)
 
 
 def test_viterbi_equals_a_full_search(vocabulary):

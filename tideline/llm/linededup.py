@@ -34,8 +34,8 @@ from tideline.llm.common import removed as deleted
 BUCKETS, ROW = 1 << 20, 1 << 10
 #: Bits of a word's number below its level.
 LEVEL = 57
-#: Sets of fewer words reach 4/5 only when they are equal.
-LEAST_WORDS = 5
+#: Sets of fewer words reach 4/5 only when they are equal; four words inside five reach it.
+LEAST_WORDS = 4
 #: Lines (document and number) that may be broadcast; more of them are joined by a shuffle.
 SMALL = 1 << 19
 SPACE = " \t\r\x0b\f"

@@ -100,7 +100,7 @@ WITH l AS (
   FROM documents d, LATERAL (SELECT string_split(d.text, chr(10)) AS lines) s, LATERAL (SELECT unnest(range(0, len(s.lines))) AS i) r
   WHERE d.doc_id IS NOT NULL AND d.text IS NOT NULL),
 s AS (SELECT words, min({'d': doc_id, 'l': line_no}) AS f, len(words) AS n FROM l WHERE len(words) > 0 GROUP BY words),
-t AS (SELECT f, n, unnest(words) AS w FROM s WHERE n >= 5),
+t AS (SELECT f, n, unnest(words) AS w FROM s WHERE n >= 4),
 p AS (
   SELECT a.f AS f, b.f AS g, a.n AS n, b.n AS m, count(*) AS c
   FROM t a JOIN t b ON a.w = b.w AND a.f > b.f AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n

@@ -33,6 +33,8 @@ from tideline.llm.common import saved, sliced, text_of
 LETTERS, GRAM = 27, 4  # a to z, and 0 for all between words
 CELLS, CUBE = LETTERS**GRAM, LETTERS ** (GRAM - 1)
 TOP, EVIDENCE = 3, 1.5
+#: A lone surrogate, which no text holds: no gram goes over it.
+BORDER = "\udfff"
 #: Signs of a token or run whose reading is remembered; longer ones are read each time.
 KEPT_SIGNS = 64
 #: The cost up to which a fragment is a common word.
@@ -64,14 +66,19 @@ _CODE_OF = {chr(i): int(c) for i, c in enumerate(_CODES)}
 
 
 def grams(texts: list[str]) -> np.ndarray:
-    """Counts of 4-grams of letters, all between two words being one sign."""
-    points = np.frombuffer(" \n ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = _CODES[np.minimum(points, len(_CODES) - 1)]
+    """Counts of 4-grams of letters inside each text, all between two words being one sign."""
+    points = np.frombuffer(f" {BORDER} ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(points == ord(BORDER), LETTERS, _CODES[np.minimum(points, len(_CODES) - 1)])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])].astype(np.int32)
     if len(codes) < GRAM:
         return np.zeros(CELLS, np.int64)
+    border = np.flatnonzero(codes == LETTERS)
+    inside = np.ones(len(codes) - GRAM + 1, bool)
+    for back in range(GRAM):
+        at = border - back
+        inside[at[(at >= 0) & (at < len(inside))]] = False
     index = ((codes[:-3] * LETTERS + codes[1:-2]) * LETTERS + codes[2:-1]) * LETTERS + codes[3:]
-    return np.bincount(index, minlength=CELLS)
+    return np.bincount(index[inside], minlength=CELLS)
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
