@@ -10,8 +10,8 @@ sees its sums alone, never the sources. Levels are exact fractions.
 A source with target t and size s is repeated t div s times as a whole. What is
 left of t goes to documents in the order of a seeded hash, until it is used up;
 the document at the cut is taken in part, so that every source's words are its
-target to the nearest word. The cut is found on sums of 65536 ranges of the hash,
-then of 65536 ranges inside the range found, then on the few rows that are left: no
+target to the nearest word. The cut is found on sums of 1024 ranges of the hash, then
+twice of 1024 ranges inside the range found, then on the few rows that are left: no
 task sorts or holds a source.
 
 Words are maximal runs of other than ASCII white space. Null texts are empty and
@@ -34,8 +34,8 @@ from tideline.llm.common import fresh, numbered, saved, text_of
 
 EPOCHS, SEED, CYCLE = 3, 17, 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: A hash has 60 bits; ranges of it at the two levels are what is left after so many are shifted out.
-LEVELS = (44, 28)
+#: A hash has 60 bits; ranges of it at each level are what is left after so many are shifted out.
+LEVELS = (50, 40, 30)
 
 
 def size_of(text: str = "text") -> Column:
