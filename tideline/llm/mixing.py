@@ -68,7 +68,8 @@ def cyclic(found: DataFrame, cycle: int = CYCLE) -> DataFrame:
 def targets(weighted: DataFrame, epochs: int = EPOCHS, total: int | None = None) -> DataFrame:
     """source, source_size, weight, target (double) of sources with whole weights of at least 0.
 
-    A mix that is larger than all sources may give takes all of them `epochs` times.
+    A mix that is larger than all sources may give takes all of them `epochs` times;
+    a source of weight 0 gives nothing.
     """
     if epochs < 1 or epochs != int(epochs):
         raise ValueError("epochs is a whole number of at least 1")
@@ -81,7 +82,9 @@ def targets(weighted: DataFrame, epochs: int = EPOCHS, total: int | None = None)
         """Whether a source's share at the present level is more than it may give."""
         if weights is None:
             return F.lit(False)
-        return cap.cast("decimal(19,0)") * F.lit(weights).cast("decimal(19,0)") < F.col("weight").cast("decimal(19,0)") * F.lit(left).cast("decimal(19,0)") if weights else F.lit(True)
+        if not weights:
+            return F.col("weight") > 0
+        return cap.cast("decimal(19,0)") * F.lit(weights).cast("decimal(19,0)") < F.col("weight").cast("decimal(19,0)") * F.lit(left).cast("decimal(19,0)")
 
     while True:
         over = above()

@@ -221,7 +221,7 @@ def trie(convs: DataFrame, local: int = LOCAL) -> DataFrame:
         differ = F.array_position(F.transform(F.arrays_zip(F.col("lo.ids").alias("x"), F.col("hi").alias("y")), lambda p: p["x"].eqNullSafe(p["y"])), False)
         span = saved(span.withColumn("skip", (F.coalesce(F.nullif(differ, F.lit(0)) - 1, F.size("lo.ids"))).cast("int")).select("bucket", "skip", F.slice("lo.chars", F.lit(1), F.col("skip")).alias("passed")), "trie-spans")
         split = now.join(span.select("bucket", "skip"), "bucket")
-        going = split.where("size(ids) > skip").withColumns({"digit": F.expr("ids[skip]"), "next": F.expr("chars[skip]")})
+        going = split.where("size(ids) > skip").withColumns({"digit": F.get("ids", F.col("skip")), "next": F.get("chars", F.col("skip"))})
         subs = going.groupBy("bucket", "digit").agg(F.min("conv_id").alias("own"), F.sum("n").alias("n_convs"), F.max(F.col("depth") + F.col("skip") + 1).alias("deeper"), F.max("next").alias("next"), ((F.sum(F.size("ids") - F.col("skip")) > local) & (F.count("*") > 1)).alias("large"))
         subs = saved(subs, "trie-buckets")
         cut = lambda c: F.slice(c, F.col("skip") + 2, F.size(c)).alias(c)
