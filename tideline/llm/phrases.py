@@ -37,6 +37,7 @@ from tideline.llm.common import let_go, numbered, saved, sliced, text_of
 LEAST, TOP, SHARE = 10, 2000, 50
 CHUNK, HELD = 8 << 20, 4 << 20  # bytes of text in a chunk; keys that a task holds before it counts them
 SPOTS = 1 << 27  # bits of the table of pairs
+PARTS = 16  # of a language, ranked by themselves first
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
@@ -277,8 +278,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
 
     word = lambda key, name: book.select(F.col("id").alias(key), F.col("word").alias(name))
     both = two.unionAll(three).join(book.select(F.col("id").alias("a"), "lang", F.col("word").alias("x")), "a")
-    ahead = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"))
-    best = both.withColumn("place", F.rank().over(ahead)).where(F.col("place") <= top)
+    order = [F.desc("score"), F.desc("n")]
+    # first inside parts of a language, so that no task reads the first rows of all tasks
+    best = both.withColumn("salt", F.pmod(F.xxhash64("a", "b", "c"), F.lit(PARTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        best = best.withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= top)
     best = best.join(word("b", "y"), "b").join(word("c", "z"), "c", "left").withColumn("phrase", F.concat_ws(" ", "x", "y", "z"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase"))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("n").alias("a"), "l", "r", F.col("words").alias("n"), "score")
