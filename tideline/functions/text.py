@@ -51,8 +51,8 @@ def sentences(text: Column | str) -> Column:
 
 
 def numbers(text: Column | str) -> Column:
-    """Distinct numbers: spaces between thousands dropped, a decimal comma as a point."""
-    joined = F.regexp_replace(_c(text), r"(?<=\d)[  ](?=\d{3}(?!\d))", "")
+    """Distinct numbers: white space before three digits that end a word dropped, a decimal comma as a point."""
+    joined = F.regexp_replace(_c(text), r"(?U)(?<=\d)\s(?=\d{3}\b)", "")
     return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("."))))
 
 
@@ -69,10 +69,10 @@ def promised_count(title: Column | str) -> Column:
     return F.when(n >= 3, n)
 
 
-def truncated(text: Column | str, most: int) -> Column:
+def truncated(text: Column | str, most: int | Column) -> Column:
     """A text of at most `most` characters: cut after its last sentence end if beyond half, else with an ellipsis."""
     t = _c(text)
-    head = F.substring(t, 1, most)
+    head = F.substring(t, 1, most) if isinstance(most, int) else F.substr(t, F.lit(1), most)
     whole = F.regexp_extract(head, r"(?s)^(.*[.!?]) ", 1)
     return F.when(F.length(t) <= most, t).when(F.length(whole) - 1 > most / 2, whole).otherwise(F.concat(F.regexp_replace(head, r"(?U)\s+$", ""), F.lit("…")))
 

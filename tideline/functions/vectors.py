@@ -8,7 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType
 
 PRIME, PERMUTATIONS, BANDS = (1 << 31) - 1, 64, 16
 
@@ -126,3 +126,21 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
         return v / n if n else v
 
     return texts.map(one)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def sentence_likeness(sentences: pd.Series, centroids: pd.Series) -> pd.Series:
+    """The cosine of each sentence's hash_embedding to the row's centroid; 0 without a centroid."""
+    import numpy as np
+
+    embed = hash_embedding.func
+
+    def one(texts, centroid):
+        if texts is None:
+            return None
+        if centroid is None or not len(texts):
+            return [0.0] * len(texts)
+        c = np.asarray(centroid, np.float64)
+        return (np.stack(list(embed(pd.Series(list(texts))))).astype(np.float64) @ (c / (np.linalg.norm(c) or 1.0))).tolist()
+
+    return pd.Series([one(t, c) for t, c in zip(sentences, centroids, strict=True)])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # fixed values: thresholds of curated items, of search results, and of semantic duplicates
 CURATED, SEARCHED, SAME = 0.88, 0.84, 0.985
@@ -33,8 +35,6 @@ class Clusters:
         self.sums = self.units = self.last = None
 
     def _room(self, size: int) -> None:
-        import numpy as np
-
         n = len(self.numbers)
         if self.sums is None:
             self.sums, self.units, self.last = np.zeros((64, size)), np.zeros((64, size)), np.zeros(64)
@@ -49,8 +49,6 @@ class Clusters:
                 self.numbers = [self.numbers[i] for i in live]
 
     def _add(self, number: int, total, at: float) -> None:
-        import numpy as np
-
         self._room(len(total))
         k = len(self.numbers)
         self.numbers.append(number)
@@ -60,15 +58,11 @@ class Clusters:
 
     def stored(self, number: int, centroid, n: int, at: float) -> None:
         """A story from before: its sum is its centroid times its number of items."""
-        import numpy as np
-
         self._add(number, np.asarray(centroid, np.float64) * n, at)
         self.made = max(self.made, number + 1)
 
     def add(self, v, t: float, threshold: float) -> int:
         """The number of the story that takes a vector: the most alike one within the window, else a new one."""
-        import numpy as np
-
         v = np.asarray(v, np.float64)
         size = np.linalg.norm(v)
         v = v / size if size else v
@@ -111,8 +105,6 @@ def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, wi
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         now, clusters, accepted = object(), None, []
         for batch in batches:
             out = []
@@ -144,23 +136,59 @@ def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, wi
     return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster", *extra)
 
 
-def streamed(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float) -> DataFrame:
+def streamed(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float, late: float = 0.0) -> DataFrame:
     """single_pass() over a stream: group, key, cluster of the items of each batch in order of `at` and key.
 
-    The state of a group is its stories of one window. Late items are compared
-    with what is left of them by their own time; none is dropped.
-    """
-    import pickle
+    Each story of a group is an entry of the group's state, read and written by
+    itself. An item is compared with the stories of its own window, whenever it
+    comes: stories are kept until they are `window` and `late` older than the newest
+    item of their group, so an item that is `late` at most meets all stories of its
+    window. Later ones meet what is left; none is dropped. Items without a vector wait
+    for one: they are left out.
 
+    The session must keep stream state in RocksDB (see keyed_state()).
+    """
     kinds = dict(items.dtypes)
+    rows = items.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(at).cast("double").alias("t")).where("v is not null")
+    found = rows.groupBy("g").transformWithStateInPandas(StoriesOfAGroup(window, threshold, late), f"g {kinds[group]}, k {kinds[key]}, cluster int", "append", "None")
+    return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        clusters = pickle.loads(state.get[0]) if state.exists else Clusters(window)
-        rows = pd.concat(list(batches)).sort_values(["t", "k"])
-        numbers = [clusters.add(v, t, threshold) for v, t in zip(rows["v"], rows["t"], strict=True)]
-        state.update((pickle.dumps(clusters),))
-        yield pd.DataFrame({"g": rows["g"], "k": rows["k"], "cluster": numbers})
 
-    rows = items.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(at).cast("double").alias("t"))
-    found = rows.groupBy("g").applyInPandasWithState(step, f"g {kinds[group]}, k {kinds[key]}, cluster int", "stories binary", "append", "NoTimeout")
-    return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster")
+def keyed_state(spark: SparkSession) -> None:
+    """Keep the state of this session's streams in RocksDB, which state with entries of its own needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class StoriesOfAGroup(StatefulProcessor):
+    """The stories of one group: an entry for each, and how many there were and the newest time."""
+
+    def __init__(self, window: float, threshold: float, late: float):
+        self.window, self.threshold, self.late = window, threshold, late
+
+    def init(self, handle) -> None:
+        self.stories = handle.getMapState("stories", "number int", "total array<double>, last double")
+        self.seen = handle.getValueState("seen", "made int, newest double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        made, newest = self.seen.get() if self.seen.exists() else (0, float("-inf"))
+        clusters = Clusters(self.window, self.window + self.late)
+        clusters.newest = newest
+        before = {}
+        for (number,), (total, last) in sorted(self.stories.iterator(), key=lambda x: x[0][0]):
+            before[number] = last
+            clusters._add(number, np.array(total, np.float64), last)
+        clusters.made = made
+        batch = pd.concat(list(rows)).sort_values(["t", "k"])
+        numbers = [clusters.add(v, t, self.threshold) for v, t in zip(batch["v"], batch["t"], strict=True)]
+        changed = set(numbers)
+        kept = {n: i for i, n in enumerate(clusters.numbers) if clusters.last[i] >= clusters.newest - clusters.kept}
+        for number in before.keys() - kept.keys():
+            self.stories.removeKey((number,))
+        for number in changed & kept.keys():
+            i = kept[number]
+            self.stories.updateValue((number,), (clusters.sums[i].tolist(), float(clusters.last[i])))
+        self.seen.update((clusters.made, float(clusters.newest)))
+        yield pd.DataFrame({"g": batch["g"], "k": batch["k"], "cluster": np.array(numbers, np.int32)})
+
+    def close(self) -> None:
+        pass

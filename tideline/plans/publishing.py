@@ -195,5 +195,6 @@ def semantic_duplicates(spark, sf_dir):
 @query()
 def streamed_clusters(spark, sf_dir):
     """Single-pass clusters over a stream; tested against those over the table."""
+    clustering.keyed_state(spark)
     found = clustering.streamed(W.stream(spark, f"{sf_dir}/embeddings.parquet"), "label", "vec_id", "embedding", "vec_id", 200.0, 0.35)
     return W.drained(found)

@@ -48,21 +48,24 @@ def albums(df: DataFrame, at: str, group: str, part: str, text: str, quiet: str
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(at, part))), lambda x: x[part]).alias("parts"), F.min_by(text, F.when(F.col(text) != "", F.col(at))).alias("text")).drop("w")
 
 
-def drained(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def drained(df: DataFrame, keys: list[str] | None = None, base: str | None = None) -> DataFrame:
     """All that is available now, run as a stream and read back from Parquet in the shared folder.
 
     With keys (an aggregation) each batch writes the rows that it changes, and
-    the last state of a key is read; without, rows are appended.
+    the last state of a key is read; without, the rows of all batches. A batch
+    writes a folder of its own number, so one that runs again after a failure
+    replaces what it wrote. With `base`, a folder, a stream goes on where it ended.
     """
     import uuid
 
     from tideline.tables import folder
 
-    spark, base = df.sparkSession, f"{folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, base = df.sparkSession, base or f"{folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/rows")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/_batch={number}")
 
+    put(spark.createDataFrame([], df.schema), -1)
     out = df.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     out.foreachBatch(put).start().awaitTermination()
     rows = spark.read.schema(StructType([*df.schema, StructField("_batch", IntegerType())])).parquet(f"{base}/rows")
