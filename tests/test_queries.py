@@ -152,6 +152,37 @@ def test_clusters_forget_what_left_the_window():
     assert c.made == 1000 and len(c.numbers) <= 128 and len(c.last) <= 128
 
 
+def test_duplicates_of_a_large_group(spark, monkeypatch):
+    """All of a clique wait for its first item alone; a chain alternates."""
+    from tideline import tables
+
+    made = []
+    monkeypatch.setattr(tables, "written", lambda df, name, write=tables.written: made.append(name) or write(df, name))
+    clique = [(i, j, 0.9 if j else 0.95) for i in range(120) for j in range(i)]
+    chain = [(i + 1, i, 0.9) for i in range(500, 508)]
+    pairs = spark.createDataFrame(clique, "later long, earlier long, likeness double")
+    assert {(r.later, r.earlier) for r in dedup.resolved(pairs).collect()} == {(i, 0) for i in range(1, 120)}
+    assert len(made) <= 8
+    both = spark.createDataFrame(clique + chain, "later long, earlier long, likeness double")
+    assert {(r.later, r.earlier) for r in dedup.resolved(both).collect()} == {(i, 0) for i in range(1, 120)} | {(i + 1, i) for i in range(500, 508, 2)}
+
+
+def test_medians_of_heavy_tails(spark):
+    rng = np.random.default_rng(1)
+    values = {"tail": np.exp(rng.normal(0, 6, 4001)), "few": np.array([3.0] * 3000 + [1e12]), "two": np.repeat([0.0, 1e9], 1000), "ints": rng.integers(0, 50, 1500).astype(float)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, v double").repartition(6)
+    assert {r.k: r.m for r in statistics.medians(df, ["k"], "v", "m").collect()} == {k: float(np.median(v)) for k, v in values.items()}
+
+
+def test_repeated_posts_of_one_hot_text(spark):
+    rows = [(i, "c" if i % 3 else None, "hot" if i % 2 else f"t{i % 7}", i * 1800 % 400_000) for i in range(400)]
+    df = spark.createDataFrame(rows, "post_id long, channel_id string, fingerprint string, s long").withColumn("sent_at", F.timestamp_seconds("s"))
+    from tideline.operators import publishing as states
+
+    again = {i for i, c, f, s in rows if c and any(d == c and g == f and s - 86400 <= t < s for _, d, g, t in rows)}
+    assert {r.post_id for r in states.repeated(df).collect()} == again and again
+
+
 def test_medians_of_odd_groups(spark):
     rows = [("a", 1.0), ("a", 1.0), ("a", 5.0), ("b", None), (None, 2.0), (None, 4.0), ("c", 1e9), ("c", -1e9), ("c", 0.5), ("c", 0.25)]
     df = spark.createDataFrame(rows, "k string, v double")

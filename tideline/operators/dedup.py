@@ -31,29 +31,43 @@ def candidate_pairs(sigs: DataFrame, key: str, least: float = LIKENESS) -> DataF
 def resolved(pairs: DataFrame) -> DataFrame:
     """later, earlier: duplicates and their originals, as if items were taken in order. A duplicate makes no duplicates.
 
-    An item waits until all its earlier partners are settled: it is then a
-    duplicate of the most alike original among them (of equally alike ones the
-    first), or an original if they all are duplicates. Each round settles all
-    items that wait for nothing and is written, so chains of any length end.
+    Which items are duplicates comes first: an item is one as soon as one of its
+    earlier partners is known to be an original, and an original once all of them are known to be
+    duplicates. So a round settles a whole group of near copies, however large; only
+    chains, in which each is near to the one before it alone, take a round a link. When all are known, one join gives each duplicate the most alike
+    original among its partners (of equally alike ones the first). A round writes
+    what is still open and deletes what it replaces.
     """
-    from tideline.tables import written
-
-    spark, key = pairs.sparkSession, pairs.schema["later"].dataType
-    open_pairs = written(pairs.withColumn("original", F.lit(None).cast("boolean")), "pairs")
-    done = None
-    while not open_pairs.isEmpty():
-        waiting = open_pairs.select("later").distinct()
-        marked = open_pairs.join(waiting.select(F.col("later").alias("earlier"), F.lit(True).alias("waits")), "earlier", "left")
-        # a partner that is no later item any more is an original, unless it was found to be a duplicate
-        known = marked.withColumn("original", F.when(F.col("waits").isNull(), F.coalesce("original", F.lit(True))))
-        best = F.max_by("earlier", F.when(F.col("original"), F.struct("likeness", -F.col("earlier"))))
-        settled = written(known.groupBy("later").agg(F.bool_or("waits").alias("waits"), best.alias("earlier")).where("waits is null").drop("waits"), "settled")
-        found = settled.where("earlier is not null")
-        done = found if done is None else done.unionByName(found)
-        rest = open_pairs.join(settled.select("later"), "later", "left_anti")
-        duplicates = found.select(F.col("later").alias("earlier"), F.lit(False).alias("now"))
-        open_pairs = written(rest.join(duplicates, "earlier", "left").withColumn("original", F.coalesce("now", "original")).select("later", "earlier", "likeness", "original"), "pairs")
-    return done if done is not None else spark.createDataFrame([], pairs.select("later", F.col("earlier").cast(key)).schema)
+    from tideline.tables import dropped, written
+
+    pairs = pairs if pairs.inputFiles() else written(pairs, "pairs")
+    links = pairs.select("later", "earlier")
+    items = links.select(F.col("later").alias("item"), F.lit(True).alias("has")).unionAll(links.select(F.col("earlier").alias("item"), F.lit(False)))
+    # who is later than nobody is an original
+    known = written(items.groupBy("item").agg(F.bool_or("has").alias("has")).where("not has").select("item", F.lit(True).alias("original")), "known")
+    found, rest = known, written(links, "open")
+    tables = [known]
+    while not rest.isEmpty():
+        near = rest.join(found.select(F.col("item").alias("earlier"), "original"), "earlier", "left")
+        state = near.groupBy("later").agg(F.bool_or("original").alias("any"), F.bool_and(F.coalesce(~F.col("original"), F.lit(False))).alias("none"))
+        found = written(state.where("any or none").select(F.col("later").alias("item"), F.col("none").alias("original")), "known")
+        tables.append(found)
+        # links to a known duplicate are done with, as are all links of a settled item
+        gone = found.select(F.col("item").alias("later"))
+        now = rest.join(gone, "later", "left_anti").join(near.where("not original").select("later", "earlier"), ["later", "earlier"], "left_anti")
+        after = written(now, "open")
+        dropped(rest)
+        rest = after
+    status = tables[0]
+    for table in tables[1:]:
+        status = status.unionByName(table)
+    status = written(status, "status")
+    for table in tables:
+        dropped(table)
+    originals = status.where("original").select(F.col("item").alias("earlier"))
+    late = status.where("not original").select(F.col("item").alias("later"))
+    best = F.max_by("earlier", F.struct("likeness", -F.col("earlier")))
+    return pairs.join(originals, "earlier").join(late, "later").groupBy("later").agg(best.alias("earlier"))
 
 
 def duplicates(items: DataFrame, key: str, text: str, least: float = LIKENESS) -> DataFrame:

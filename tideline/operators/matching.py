@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tideline.operators import graphs
 from tideline.tables import written
@@ -21,10 +23,22 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
-def grams(text: Column) -> Column:
-    """Hashes of the distinct runs of LEAST characters."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - LEAST + 1, F.lit(1)))
-    return F.when(F.length(text) >= LEAST, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(text, i, F.lit(LEAST)))))).otherwise(F.array().cast("array<bigint>"))
+@F.pandas_udf(ArrayType(LongType()))
+def grams(texts: pd.Series) -> pd.Series:
+    """Hashes of the distinct runs of LEAST characters of each text; none of a shorter one."""
+
+    def one(text: str) -> np.ndarray:
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = len(points) - LEAST + 1
+        if n < 1:
+            return np.empty(0, np.int64)
+        mix = np.zeros(n, np.uint64)
+        for k in range(LEAST):
+            mix = (mix ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(32)
+        return np.unique(mix.view(np.int64))
+
+    return texts.map(one)
 
 
 def holders(posts: DataFrame, videos: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,10 +81,17 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def repeated(posts: DataFrame, window: int = 24) -> DataFrame:
-    """post_id of posts whose text (fingerprint) went to the same channel within the hours before."""
-    a, b = posts.alias("a"), posts.select("channel_id", "fingerprint", F.col("sent_at").alias("before"), F.col("post_id").alias("other"))
-    both = a.join(b, ["channel_id", "fingerprint"]).where((F.col("before") < F.col("sent_at")) & (F.col("before") >= F.col("sent_at") - hours(window)))
-    return both.select("post_id").distinct()
+    """post_id of posts whose text (fingerprint) went to the same channel within the hours before.
+
+    The last post before tells: if it is too old, all are. Posts of the same time
+    don't count for each other. A channel's posts of one text are first kept as
+    their distinct times, so copies at one time are one row of the window.
+    """
+    key = ["channel_id", "fingerprint"]
+    times = posts.select(*key, "sent_at").distinct()
+    before = F.lag("sent_at").over(Window.partitionBy(*key).orderBy("sent_at"))
+    again = times.withColumn("_before", before).where(F.col("_before") >= F.col("sent_at") - hours(window))
+    return posts.join(again.select(*key, "sent_at"), [*key, "sent_at"], "left_semi").select("post_id").distinct()
 
 
 def horizon_due(snapshots: DataFrame, posts: DataFrame, age: Column, horizons: list[int]) -> DataFrame:

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the least and greatest of each field
 BOUNDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+DAYS = ["SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT"]
+#: Hours of past slots in a plan, and minutes after which a slot that did not fire was missed.
+PAST, GRACE = 24, 10
 #: Slots of a schedule in a plan, a feature of plans.
 SLOTS = 200
 
 
+def _numbered(part: str) -> str:
+    """A field with names of months or days as numbers."""
+    names = {name: i + 1 for i, name in enumerate(MONTHS)} | {name: i for i, name in enumerate(DAYS)}
+    return re.sub(r"[A-Za-z]+", lambda m: str(names.get(m[0].upper(), -1)), part)
+
+
 def fields(expression: str) -> list[list[int] | None]:
     """The values of each field, None for all: lists, ranges and steps of numbers."""
     out: list[list[int] | None] = []
@@ -22,7 +38,7 @@ def fields(expression: str) -> list[list[int] | None]:
             out.append(None)
             continue
         found: set[int] = set()
-        for x in part.split(","):
+        for x in _numbered(part).split(","):
             span, _, step = x.partition("/")
             first, _, last = span.partition("-")
             a, b = (least, most) if span == "*" else (int(first), int(last or (most if step else first)))
@@ -45,33 +61,55 @@ def _day(local: Column, at: list[list[int] | None]) -> Column:
     return month & (day if day is not None else week if week is not None else F.lit(True))
 
 
-def _times(at: list[list[int] | None]) -> Column:
+def _minutes(at: list[list[int] | None]) -> list[int]:
     """Minutes of a day at which a schedule fires."""
-    return F.array(*[F.lit(60 * h + m) for h in at[1] or range(24) for m in at[0] or range(60)])
+    return [60 * h + m for h in at[1] or range(24) for m in at[0] or range(60)]
+
+
+def _times(at: list[list[int] | None]) -> Column:
+    return F.array(*map(F.lit, _minutes(at)))
+
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
-def _fires(first: Column, days: int, expression: str, zone: str) -> Column:
-    """Times of the schedule from the day of `first` on, for so many days more."""
+
+def local_time(at: Column, zone: str) -> Column:
+    """The clock of a zone at an instant, without a zone; the session's own zone plays no part."""
+    seconds = F.unix_micros(at).cast("decimal(24,0)") / F.lit(1000000).cast("decimal(7,0)")
+    utc = F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def instant(local: Column, zone: str) -> Column:
+    """The instant at which a zone's clock shows a time; one that is left out by the clock counts from before the change."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), utc))
+
+
+def _fires(first: Column, days: int, expression: str, zone: str, most: int | None = None, last: bool = False) -> Column:
+    """Times of the schedule from the day of `first` on, for so many days more; of the first (or last) `most` days that fire only."""
     at = fields(expression)
-    start = F.to_date(F.from_utc_timestamp(first, zone))
+    start = local_time(first, zone).cast("date")
     dates = F.filter(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda i: F.date_add(start, i)), lambda d: _day(d, at))
-    local = F.flatten(F.transform(dates, lambda d: F.transform(_times(at), lambda m: d.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), m))))
-    return F.transform(local, lambda t: F.to_utc_timestamp(t, zone))
+    if most:
+        dates = F.slice(dates, F.greatest(F.size(dates) - most + 1, F.lit(1)) if last else F.lit(1), F.lit(most))
+    local = F.flatten(F.transform(dates, lambda d: F.transform(_times(at), lambda m: d.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), m))))
+    return F.transform(local, lambda t: instant(t, zone))
 
 
 def upcoming(at: Column, expression: str, zone: str = "UTC", days: int = 366) -> Column:
-    """The first fire after a time; null if there is none within `days`."""
-    return F.array_min(F.filter(_fires(at, days, expression, zone), lambda t: t > at))
+    """The first fire after a time; null if there is none within `days`. Of three days that fire one has it."""
+    return F.array_min(F.filter(_fires(at, days, expression, zone, 3), lambda t: t > at))
 
 
 def previous(at: Column, expression: str, zone: str = "UTC", days: int = 366) -> Column:
     """The last fire at or before a time; null if there is none within `days`."""
-    return F.array_max(F.filter(_fires(at - F.make_dt_interval(F.lit(days)), days + 1, expression, zone), lambda t: t <= at))
+    return F.array_max(F.filter(_fires(at - F.make_dt_interval(F.lit(days)), days, expression, zone, 3, True), lambda t: t <= at))
 
 
 def slots(df: DataFrame, start: Column, end: Column, expression: str, zone: str = "UTC", days: int = 62, most: int = SLOTS) -> DataFrame:
     """A row for each fire in (start, end], the first `most` of a row of df; end at most `days` after start."""
-    found = F.filter(_fires(start, days, expression, zone), lambda t: (t > start) & (t <= end))
+    found = F.filter(_fires(start, days, expression, zone, most // len(_minutes(fields(expression))) + 3), lambda t: (t > start) & (t <= end))
     return df.select("*", F.explode(F.slice(F.array_sort(found), 1, most)).alias("slot"))
 
 
@@ -80,3 +118,49 @@ def firing(schedules: DataFrame, fires: DataFrame, now: Column, expression: str,
     horizon = now + F.make_dt_interval(F.lit(0), F.lit(0), F.col("lead_minutes"))
     rows = schedules.withColumn("slot", previous(horizon, expression, zone, 40)).where(F.col("slot") >= horizon - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(grace)))
     return rows.select("schedule_id", "slot").join(fires.select("schedule_id", "slot"), ["schedule_id", "slot"], "left_anti")
+
+
+def walked(expression: str, zone: str, start: datetime, end: datetime, most: int = SLOTS) -> Iterator[datetime]:
+    """The fires in (start, end], the first `most`, day by day: what slots() gives, where each row has its own schedule."""
+    minutes, days, months, week = (fields(expression)[i] for i in (0, 2, 3, 4))
+    times, clock = _minutes(fields(expression)), ZoneInfo(zone)
+    day, found = start.astimezone(clock).date() - timedelta(days=1), 0
+    while found < most and day <= end.astimezone(clock).date():
+        by_day, by_week = days is None or day.day in days, week is None or day.isoweekday() % 7 in week
+        either = by_day or by_week if days is not None and week is not None else by_day and by_week
+        if either and (months is None or day.month in months):
+            made = sorted(datetime(day.year, day.month, day.day, m // 60, m % 60, tzinfo=clock).astimezone(timezone.utc) for m in times)
+            for at in made:
+                if start < at <= end and found < most:
+                    found += 1
+                    yield at
+        day += timedelta(days=1)
+
+
+def _planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(k, pd.Timestamp(at)) for k, cron, zone, a, b in batch[["schedule_id", "cron", "zone", "first", "last"]].itertuples(index=False) for at in walked(cron, zone, datetime.fromtimestamp(a / 1e6, timezone.utc), datetime.fromtimestamp(b / 1e6, timezone.utc))]
+        yield pd.DataFrame({"schedule_id": [k for k, _ in rows], "micros": [at.value // 1000 for _, at in rows]}, dtype="int64")
+
+
+def content_plan(schedules: DataFrame, fires: DataFrame, drafts: DataFrame, candidates: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """schedule_id, slot, prepare_at, outcome, drafts, candidates: the slots of the last day and the next `days`.
+
+    schedules: schedule_id, cron, zone, created_at, lead_minutes, content_kinds (array); fires:
+    schedule_id, slot, outcome; drafts: draft_id, schedule_id, scheduled_for, status; candidates:
+    kind and candidates (stories of that kind; those of a schedule's kinds are summed). Slots before a schedule was made
+    were not missed: they are left out, but for those with a fire or a draft. drafts
+    is an array of (draft_id, status) in their order, empty for none.
+    """
+    start = now - F.make_dt_interval(F.lit(0), F.lit(PAST))
+    first = F.greatest(start, F.col("created_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(GRACE)))
+    bounds = schedules.select("schedule_id", "cron", "zone", F.unix_micros(first).alias("first"), F.unix_micros(now + F.make_dt_interval(F.lit(days))).alias("last"))
+    found = bounds.mapInPandas(_planned, "schedule_id long, micros long").select("schedule_id", F.timestamp_micros("micros").alias("slot"))
+    made = drafts.where(F.col("scheduled_for") > start).groupBy("schedule_id", F.col("scheduled_for").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("draft_id", "status"))).alias("drafts"))
+    fired = fires.where(F.col("slot") > start).groupBy("schedule_id", "slot").agg(F.max("outcome").alias("outcome"), F.lit(True).alias("fired"))
+    counts = schedules.select("schedule_id", F.explode("content_kinds").alias("kind")).join(candidates, "kind").groupBy("schedule_id").agg(F.sum("candidates").alias("candidates"))
+    rows = found.join(schedules, "schedule_id").join(fired, ["schedule_id", "slot"], "left").join(made, ["schedule_id", "slot"], "left").join(counts, "schedule_id", "left")
+    rows = rows.where((F.col("slot") > F.col("created_at")) | F.col("fired") | F.col("drafts").isNotNull())
+    lead = F.make_dt_interval(F.lit(0), F.lit(0), F.col("lead_minutes"))
+    none = F.array().cast("array<struct<draft_id:bigint,status:string>>")
+    return rows.select("schedule_id", "slot", (F.col("slot") - lead).alias("prepare_at"), "outcome", F.coalesce(F.col("drafts").cast("array<struct<draft_id:bigint,status:string>>"), none).alias("drafts"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))

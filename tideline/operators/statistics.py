@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from tideline.operators.rollup import top_per_group
 
 
-#: Ranges of values into which a group is divided to find its middle.
-RANGES = 1024
+#: Accuracy of the sketch that brackets a median, and the share of a group on either side that the bracket holds: ten times the sketch's error.
+ACCURACY, MARGIN = 10_000, 0.001
 
 
 def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
     """The exact median (mean of the two middle values) of each group; null for groups without values.
 
-    Equal values are counted first. Counts of RANGES ranges between a group's
-    least and greatest value tell which range holds the middle, and only values of
-    that range are put in order, so that no task holds a group. Keys may be null.
+    A sketch gives two values that the middle lies between, whatever the
+    distribution. A group's values below them are counted, equal values between them
+    too, and only the latter are put in order: some thousandth of a group, and no
+    more than its distinct values there. Keys may be null. A bracket that missed the middle is an error.
     """
-    v, on = F.col("_v"), lambda other: [F.col(f"a.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by]
-    counts = df.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / RANGES
-    placed = counts.where("_v is not null").alias("a").join(ends.alias("e"), on("e")).select("a.*", F.when(width > 0, F.floor((v - F.col("_lo")) / width)).otherwise(0).alias("_r"), "_n")
-    sums = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
-    below = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v = F.col(value).cast("double")
+    on = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    bracket = F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
+    ends = df.groupBy(*by).agg(F.count(v).alias("_n"), bracket.alias("_p"))
+    rows = df.select(*by, v.alias("_v")).where("_v is not null").alias("a").join(ends.where("_n > 0").alias("e"), on("a", "e"))
+    rows = rows.where(F.col("_v") <= F.col("_p")[1]).select("a.*", "_n", F.when(F.col("_v") >= F.col("_p")[0], F.col("_v")).alias("_x"))
+    counts = rows.groupBy(*by, "_x").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_x")))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)  # places of the two middle values
-    wanted = sums.withColumn("_b", below).where((F.col("_b") <= high) & (F.col("_b") + F.col("_s") > low)).select(*by, "_r", "_b")
-    rows = placed.alias("a").join(wanted.alias("w"), [*on("w"), F.col("a._r") == F.col("w._r")]).select("a.*", "_b")
-    start = F.col("_b") + F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = rows.withColumn("_p", start).where((F.col("_p") <= high) & (F.col("_p") + F.col("_c") > low)).groupBy(*by).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
-    return ends.select(*by).alias("a").join(middle.alias("m"), on("m"), "left").select(*[f"a.{c}" for c in by], name)
+    held = counts.withColumn("_u", upto).where((F.col("_u") > low) & (F.col("_u") - F.col("_c") <= high))
+    missed = F.bool_or(F.col("_x").isNull()) | (F.max("_u") <= F.max(high))
+    middle = held.groupBy(*by).agg(F.when(missed, F.raise_error(F.lit("a median lies outside its bracket")).cast("double")).otherwise((F.min("_x") + F.max("_x")) / 2).alias(name))
+    return ends.select(*by).alias("a").join(middle.alias("m"), on("a", "m"), "left").select(*[f"a.{c}" for c in by], name)
 
 
 def relative(posts: DataFrame, channel: str, views: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -12,6 +13,9 @@ from xml.etree import ElementTree
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 FRAME = {"nav", "header", "footer", "aside", "form"}
+_HOLDERS = {"div", "td", "th", "li", "section", "article", "main", "aside", "blockquote", "body", "table", "ul", "ol"}
+#: What an element ends that is still open, and what it doesn't look beyond.
+IMPLIED = {"p": ({"p"}, _HOLDERS), "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead"}), "option": ({"option"}, {"select"})}
 HIDDEN = {"script", "style", "noscript", "template"}
 
 
@@ -24,11 +28,13 @@ class Node:
 
     def all(self, keep: Callable[[Node], bool], skip: set[str] = frozenset()) -> Iterator[Node]:
         """Elements below in document order, none inside those to skip."""
-        for x in self.below:
+        todo = self.below[::-1]
+        while todo:
+            x = todo.pop()
             if isinstance(x, Node) and x.tag not in skip:
                 if keep(x):
                     yield x
-                yield from x.all(keep, skip)
+                todo += x.below[::-1]
 
     def first(self, keep: Callable[[Node], bool]) -> Node | None:
         return next(self.all(keep), None)
@@ -36,11 +42,13 @@ class Node:
     def text(self, after: dict[str, str] | None = None, skip: set[str] = HIDDEN) -> str:
         """All text below; `after` gives what follows an element of a name."""
         out: list[str] = []
-        for x in self.below:
+        todo = self.below[::-1]
+        while todo:
+            x = todo.pop()
             if isinstance(x, str):
                 out.append(x)
             elif x.tag not in skip:
-                out += [x.text(after, skip), (after or {}).get(x.tag, "")]
+                todo += [(after or {}).get(x.tag, ""), *x.below[::-1]]
         return "".join(out)
 
     def has(self, name: str) -> bool:
@@ -48,23 +56,37 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """A tree of any depth. Paragraphs, list items, cells, rows and options that are left open end where the next one begins."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [Node("", {})]
+        self.open, self.names = [Node("", {})], Counter()
+
+    def _end(self, tag: str) -> None:
+        while True:
+            x = self.open.pop()
+            self.names[x.tag] -= 1
+            if x.tag == tag:
+                return
 
     def handle_starttag(self, tag, attrs):
+        ends, inside = IMPLIED.get(tag, ((), ()))
+        if any(self.names[t] for t in ends):
+            at = next(x.tag for x in reversed(self.open) if x.tag in ends or x.tag in inside)
+            if at in ends:
+                self._end(at)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].below.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].below.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        if any(x.tag == tag for x in self.open[1:]):
-            while self.open.pop().tag != tag:
-                pass
+        if self.names[tag]:
+            self._end(tag)
 
     def handle_data(self, data):
         self.open[-1].below.append(data)
