@@ -21,7 +21,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from heapq import nlargest
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,8 @@ ALIKE = str.maketrans("авекмнорстухіјԁѕοαερτυνικ", "abe
 SUBSTITUTED, DROPPED, DOUBLED, REPEATED, KEPT, CLOSED = 1.0, 1.5, 4.0, 0.3, 6.0, 2.0
 _LONG = re.compile(r"[^\W_]{4}")
 _NUMBER = re.compile(r"[\W_]*\d[\d.,:/%+\-]*[\W_]*")
+_SAME = re.compile(r"(.)\1*", re.DOTALL)
+_RUNS = re.compile(b"\2{2,}")
 _DOUBLE = re.compile(r"(.)\1")
 _HIDDEN = re.compile("[­​-‏⁠﻿͏]")
 _EDGE = ".,;:?\"'()[]{}<>…«»„“”‘’&%=-–—~^#*`/\\"
@@ -116,25 +117,39 @@ class Decoder:
         self.four = model[2].reshape(-1).tolist()
         self.first = model[0][0].tolist()  # after a word's edge
         self.second = model[1][0].reshape(-1).tolist()
+        self.runs: dict[str, list] = {}
 
     def _options(self, word: str) -> list[list[tuple[str, float]]]:
         """What each sign may stand for, with its price; the empty string for nothing."""
-        out: list[list[tuple[str, float]]] = []
-        for c, same in groupby(word):
-            times = sum(1 for _ in same)
-            repeated = DOUBLED if times == 2 else REPEATED
-            if c == " ":
-                first, more = [(" ", 0.0), ("", CLOSED)], [("", 0.0)]
-            elif _CODE_OF.get(c, 0):
-                first, more = [(c, 0.0)], [(c, 0.0), ("", repeated)]
-            else:
-                first = [*((x, SUBSTITUTED + 0.2 * k) for k, x in enumerate(SIGNS.get(c, ""))), (c, KEPT)]
-                more = [*first, ("", REPEATED)]
-                if not c.isalnum():
-                    first = [*first, ("", DROPPED)]
-            out += [first, *[more] * (times - 1)]
+        return [[(c, price) for c, price, _ in options] for options in self._coded(word)]
+
+    def _coded(self, word: str) -> list[list[tuple[str, float, int]]]:
+        """The same with the letter number of each; those of short runs of a sign are remembered."""
+        out: list[list[tuple[str, float, int]]] = []
+        runs = self.runs
+        for m in _SAME.finditer(word):
+            run = m[0]
+            found = runs.get(run)
+            if found is None:
+                found = [[(c, price, _CODE_OF.get(c, 0)) for c, price in options] for options in self._run(run[0], len(run))]
+                if len(run) < 8:
+                    runs[run] = found
+            out += found
         return out
 
+    def _run(self, c: str, times: int) -> list[list[tuple[str, float]]]:
+        repeated = DOUBLED if times == 2 else REPEATED
+        if c == " ":
+            first, more = [(" ", 0.0), ("", CLOSED)], [("", 0.0)]
+        elif _CODE_OF.get(c, 0):
+            first, more = [(c, 0.0)], [(c, 0.0), ("", repeated)]
+        else:
+            first = [*((x, SUBSTITUTED + 0.2 * k) for k, x in enumerate(SIGNS.get(c, ""))), (c, KEPT)]
+            more = [*first, ("", REPEATED)]
+            if not c.isalnum():
+                first = [*first, ("", DROPPED)]
+        return [first, *[more] * (times - 1)]
+
     def price(self, n: int, context: int, c: str) -> tuple[float, tuple[int, int]]:
         """The cost of a character after a state (letters so far up to 2, their code), and the state after it."""
         code = _CODE_OF.get(c, 0)
@@ -155,10 +170,22 @@ class Decoder:
         return total
 
     def _best(self, word: str) -> tuple:
-        first, second, four, code_of, edge = self.first, self.second, self.four, _CODE_OF.get, (0, 0)
+        first, second, four, edge = self.first, self.second, self.four, (0, 0)
         states: dict[tuple[int, int], tuple] = {edge: (0.0, None)}  # cost, and characters as links to those before
-        for options in [*self._options(word), [(" ", 0.0)]]:
-            coded = [(c, price, code_of(c, 0)) for c, price in options]
+        for coded in [*self._coded(word), [(" ", 0.0, 0)]]:
+            if len(states) == 1 and len(coded) == 1 and (only := coded[0])[0] != " ":  # one way only
+                (((n, context), (cost, done)),) = states.items()
+                c, price, code = only
+                if n == 2:
+                    at = context * LETTERS + code
+                    total, key = cost + price + four[at], (2, at % CUBE) if code else edge
+                elif n:
+                    at = context * LETTERS + code
+                    total, key = cost + price + second[at], (2, at) if code else edge
+                else:
+                    total, key = cost + price + first[code], (1, code) if code else edge
+                states = {key: (total, (done, c))}
+                continue
             following: dict[tuple[int, int], tuple] = {}
             get = following.get
             for state, (cost, done) in states.items():
@@ -219,7 +246,8 @@ def core(token: str) -> str:
 def marks_of(word: str) -> list[str]:
     """What a restored word is scored by: beginnings, inner 5-grams and the whole."""
     w = f"^{word}$"
-    return [w, *(w[:n] for n in range(4, min(8, len(w)))), *(w[i : i + 5] for i in range(1, len(w) - 4))]
+    size = len(w)
+    return [w, *[w[:n] for n in range(4, min(8, size))], *[w[i : i + 5] for i in range(1, size - 4)]]
 
 
 class Reader:
@@ -264,20 +292,16 @@ class Reader:
     def sequence(self, text: str) -> list[str]:
         """The units in order."""
         tokens = prepared(text).split()
-        kinds = list(map(self.short.__getitem__, tokens))
-        if 2 not in kinds:
+        kinds = bytes(map(self.short.__getitem__, tokens))
+        if b"\2\2" not in kinds:
             return tokens
         out: list[str] = []
         at = 0
-        for odd, run in groupby(kinds, (2).__eq__):
-            size = sum(1 for _ in run)
-            part = tokens[at : at + size]
-            at += size
-            if odd and size > 1:
-                out.append(" ".join(part))
-            else:
-                out += part
-        return out
+        for run in _RUNS.finditer(kinds):
+            out += tokens[at : run.start()]
+            out.append(" ".join(tokens[run.start() : run.end()]))
+            at = run.end()
+        return out + tokens[at:]
 
     def read(self, token: str) -> tuple[str, ...]:
         word = core(token)
