@@ -16,9 +16,9 @@ from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
 from tideline.operators import clustering, dedup, evaluation, schedules, statistics, stories
-from tideline.plans import cases, connectors, publishing  # noqa: F401  they add their queries
+from tideline.plans import cases, connectors, derived, generation, publishing, tools  # noqa: F401  they add their queries
 from tideline.plans import stories as story_plans  # noqa: F401
-from tideline.plans.queries import QUERIES, SQL
+from tideline.plans.queries import CASE_SQL, CASES, QUERIES, SQL
 from tideline.sources import feeds, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -43,12 +43,12 @@ def shown(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted([*SQL, *CASE_SQL]))
 def test_same_as_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+    df = (QUERIES | CASES)[name](spark, SF)
     names = sorted(df.columns)
     left = sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
-    table = duck.sql(SQL[name]).arrow()
+    table = duck.sql((SQL | CASE_SQL)[name]).arrow()
     rows = (table.read_all() if hasattr(table, "read_all") else table).to_pylist()
     assert not rows or sorted(rows[0]) == names
     assert left == sorted(tuple(shown(r[c]) for c in names) for r in rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 from tideline.functions import urls as U
-from tideline.plans.queries import QUERIES, SQL
+from tideline.plans.queries import CASE_SQL, CASES
 
 Case = tuple[str, str | None, str | None]
 
@@ -33,8 +33,8 @@ def cases(name: str, functions: dict[str, Callable[[Column], Column]], rows: lis
         return df.select("function", "n", shown.alias("result"))
 
     run.__name__ = name
-    QUERIES[name] = run
-    SQL[name] = "SELECT * FROM (VALUES " + ", ".join(f"({_sql(f)}, CAST({n} AS BIGINT), {_sql(want)})" for n, (f, _, want) in enumerate(rows)) + ") t(function, n, result)"
+    CASES[name] = run
+    CASE_SQL[name] = "SELECT * FROM (VALUES " + ", ".join(f"({_sql(f)}, CAST({n} AS BIGINT), {_sql(want)})" for n, (f, _, want) in enumerate(rows)) + ") t(function, n, result)"
 
 
 cases(

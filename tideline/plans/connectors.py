@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.functions import text as T
 from tideline.sources import connectors as C
 from tideline.sources import markup as M
-from tideline.plans.queries import query, read
+from tideline.plans.queries import case, query, read
 
 NOW = "2024-02-01 00:00:00"
 
@@ -56,18 +56,18 @@ def _plain(items):
     return _shown(items.alias("items"))
 
 
-@query(_values(_ITEM, [("A & B", "http://x.org/1", "Hi you", "2024-01-01 10:00:00", "http://x.org/1.jpg", None, "article", "{}"), ("C", "http://x.org/2", "text", "2024-02-01 00:00:00", "http://x.org/l.png", None, "article", "{}"), ("D", "http://x.org/3", "1; 2", "2024-01-03 08:00:00", None, None, "article", "{}")]))
+@case(_values(_ITEM, [("A & B", "http://x.org/1", "Hi you", "2024-01-01 10:00:00", "http://x.org/1.jpg", None, "article", "{}"), ("C", "http://x.org/2", "text", "2024-02-01 00:00:00", "http://x.org/l.png", None, "article", "{}"), ("D", "http://x.org/3", "1; 2", "2024-01-03 08:00:00", None, None, "article", "{}")]))
 def feed_items(spark, sf_dir):
     docs = documents(spark).where("kind in ('rss', 'atom', 'none', 'broken')").withColumnRenamed("kind", "source")
     return _plain(C.feed(docs, "source", "content", NOW))
 
 
-@query(_values(_ITEM, [("V", "https://www.youtube.com/watch?v=abcdefghijk", "About it", "2024-01-02 03:04:05", "http://t/1.jpg", "Me", "video", '{"author":"Me","likes":"12","video_id":"abcdefghijk","views":"3456"}')]))
+@case(_values(_ITEM, [("V", "https://www.youtube.com/watch?v=abcdefghijk", "About it", "2024-01-02 03:04:05", "http://t/1.jpg", "Me", "video", '{"author":"Me","likes":"12","video_id":"abcdefghijk","views":"3456"}')]))
 def video_items(spark, sf_dir):
     return _plain(C.videos(_of(spark, "videos"), "source", "content", NOW))
 
 
-@query(_values(_ITEM, [
+@case(_values(_ITEM, [
     ("Own", "https://www.reddit.com/r/s/1", "My text", "2024-02-01 00:00:00", None, "r/s", "post", '{"permalink":"https://www.reddit.com/r/s/1"}'),
     ("Away", "http://x.org/story", "", "2024-02-01 00:00:00", None, "r/s", "article", '{"permalink":"https://www.reddit.com/r/s/2"}'),
     ("Film", "https://www.youtube.com/watch?v=abcdefghijk", "", "2024-02-01 00:00:00", None, "r/s", "video", '{"permalink":"https://www.reddit.com/r/s/3"}'),
@@ -76,42 +76,42 @@ def forum_items(spark, sf_dir):
     return _plain(C.discussions(_of(spark, "forum"), "source", "content", "url", NOW))
 
 
-@query(_values(_ITEM, [("One two", "http://www.x.org/a", "c d", "2024-01-05 00:00:00", None, "x.org", "article", '{"engine":"e","views":"7"}'), ("Film", "https://youtu.be/abcdefghijk", "", "2024-02-01 00:00:00", None, "youtu.be", "article", "{}")]))
+@case(_values(_ITEM, [("One two", "http://www.x.org/a", "c d", "2024-01-05 00:00:00", None, "x.org", "article", '{"engine":"e","views":"7"}'), ("Film", "https://youtu.be/abcdefghijk", "", "2024-02-01 00:00:00", None, "youtu.be", "article", "{}")]))
 def search_items(spark, sf_dir):
     return _plain(C.searched(_of(spark, "search"), "source", "content", NOW))
 
 
-@query(_values(_ITEM, [("Film", "https://www.youtube.com/watch?v=abcdefghijk", "", "2024-02-01 00:00:00", "https://i.ytimg.com/vi/abcdefghijk/hqdefault.jpg", "youtu.be", "video", '{"video_id":"abcdefghijk"}')]))
+@case(_values(_ITEM, [("Film", "https://www.youtube.com/watch?v=abcdefghijk", "", "2024-02-01 00:00:00", "https://i.ytimg.com/vi/abcdefghijk/hqdefault.jpg", "youtu.be", "video", '{"video_id":"abcdefghijk"}')]))
 def search_videos(spark, sf_dir):
     return _plain(C.found_videos(C.searched(_of(spark, "search"), "source", "content", NOW)))
 
 
-@query(_values("url, name", [("http://a.org/f", "One"), ("http://b.org/f", "Two")]))
+@case(_values("url, name", [("http://a.org/f", "One"), ("http://b.org/f", "Two")]))
 def reading_list(spark, sf_dir):
     return C.subscriptions(_of(spark, "opml"), "source", "content").select("url", "name")
 
 
-@query(_values("href", [("http://www.x.org/feed",), ("http://o.org/atom",)]))
+@case(_values("href", [("http://www.x.org/feed",), ("http://o.org/atom",)]))
 def feed_addresses(spark, sf_dir):
     return C.feeds_of(_of(spark, "page"), "source", "content", "url").select("href")
 
 
-@query(_values("url, title", [("http://www.x.org/2024/a-long-story", "A headline of several words"), ("http://www.x.org/big-story-9", "Another headline with words")]))
+@case(_values("url, title", [("http://www.x.org/2024/a-long-story", "A headline of several words"), ("http://www.x.org/big-story-9", "Another headline with words")]))
 def listing_articles(spark, sf_dir):
     return C.articles(_of(spark, "page"), "source", "content", "url").select("url", "title")
 
 
-@query(_values("url, kind, label", [("https://github.com/a/b", "repo", "b"), ("https://acme.dev", "official", "acme.dev")]))
+@case(_values("url, kind, label", [("https://github.com/a/b", "repo", "b"), ("https://acme.dev", "official", "acme.dev")]))
 def useful_links(spark, sf_dir):
     return C.useful_links(_of(spark, "page"), "source", "content", "url").select("url", "kind", "label")
 
 
-@query(_values(_ITEM, [("First line", "https://t.me/name/11", "First line\nsecond line", "2024-01-04 05:06:07", "http://p/1.jpg", "@name", "post", '{"channel":"name","views":"1200"}')]))
+@case(_values(_ITEM, [("First line", "https://t.me/name/11", "First line\nsecond line", "2024-01-04 05:06:07", "http://p/1.jpg", "@name", "post", '{"channel":"name","views":"1200"}')]))
 def channel_items(spark, sf_dir):
     return _plain(C.channel(_of(spark, "channel"), "source", "content", "url", NOW))
 
 
-@query("SELECT CAST(m AS BIGINT) AS message_id, CAST(v AS BIGINT) AS views, CAST(r AS BIGINT) AS reactions FROM (VALUES (11, 1200, 1512), (12, 30, 0)) t(m, v, r)")
+@case("SELECT CAST(m AS BIGINT) AS message_id, CAST(v AS BIGINT) AS views, CAST(r AS BIGINT) AS reactions FROM (VALUES (11, 1200, 1512), (12, 30, 0)) t(m, v, r)")
 def channel_numbers(spark, sf_dir):
     return C.channel_stats(_of(spark, "channel"), "source", "content").select("message_id", "views", "reactions")
 

@@ -20,6 +20,9 @@ from tideline.streaming import windows as W
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Queries over small tables written by hand, with their expected rows as SQL: tests run them, nothing else.
+CASES: dict[str, Query] = {}
+CASE_SQL: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +39,16 @@ def query(sql: str | None = None):
     return add
 
 
+def case(sql: str):
+    """A query over constants."""
+
+    def add(f: Query) -> Query:
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def shared(name: str, tables: str, sql: str, duck: str | None = None) -> None:
     """A query whose plan is the same SQL for both engines."""
 
