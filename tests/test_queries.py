@@ -16,7 +16,7 @@ from tideline.functions import text as T
 from tideline.functions import urls as U
 from tideline.functions import vectors as V
 from tideline.operators import clustering, dedup, evaluation, schedules, statistics, stories
-from tideline.plans import cases, connectors, derived, generation, publishing, tools  # noqa: F401  they add their queries
+from tideline.plans import cases, connectors, derived, desk, generation, publishing, tools  # noqa: F401  they add their queries
 from tideline.plans import stories as story_plans  # noqa: F401
 from tideline.plans.queries import CASE_SQL, CASES, QUERIES, SQL
 from tideline.sources import feeds, sinks

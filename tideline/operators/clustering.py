@@ -81,57 +81,94 @@ class Clusters:
         return self.made - 1
 
 
+class Accepted:
+    """Items that are no duplicates, with their directions, times and stories: what semantic duplicates are held against."""
+
+    def __init__(self, window: float):
+        self.window, self.newest, self.n = window, float("-inf"), 0
+        self.units = self.times = None
+        self.items: list[tuple] = []
+
+    def add(self, t: float, key, number: int, unit) -> None:
+        if self.times is None:
+            self.units, self.times = np.zeros((64, len(unit))), np.zeros(64)
+        if self.n == len(self.times):
+            live = np.flatnonzero(self.times >= self.newest - self.window)
+            if len(live) > self.n // 2:
+                self.units, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.units, self.times))
+            if len(live) < self.n:
+                self.units[: len(live)], self.times[: len(live)] = self.units[live], self.times[live]
+                self.items, self.n = [self.items[i] for i in live], len(live)
+        self.units[self.n], self.times[self.n] = unit, t
+        self.items.append((key, number))
+        self.n += 1
+        self.newest = max(self.newest, t)
+
+    def twin(self, t: float, unit, least: float) -> tuple | None:
+        """key and story of the most alike item of the window, of equals the first, if it is alike enough."""
+        self.newest = max(self.newest, t)
+        if not self.n:
+            return None
+        near = np.where(self.times[: self.n] >= t - self.window, self.units[: self.n] @ unit, -2.0)
+        best = int(near.argmax())
+        return self.items[best] if near[best] >= least else None
+
+
 def assign(vectors, times, window: float, threshold: float):
     """Cluster numbers of vectors in order."""
     found = Clusters(window)
     return [found.add(v, t, threshold) for v, t in zip(vectors, times, strict=True)]
 
 
-def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float | str, stored: DataFrame | None = None, same: float | None = None) -> DataFrame:
+def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float | str, stored: DataFrame | None = None, same: float | None = None, accepted: DataFrame | None = None) -> DataFrame:
     """group, key, cluster and (with `same`) dup_of of items in order of `at` and key.
 
     threshold: a number, or a column with each item's own. stored: stories from
     before (group, cluster, centroid, n, last), which take items as well. same:
     items so alike to an accepted one in the window are duplicates of the most
-    alike; they join its story and take no part in it.
+    alike; they join its story and take no part in it. accepted: items from before that
+    count as such (the columns of items, and cluster).
     A group's rows come sorted and pass through one task in batches (the
     operator is defined by order); the memory held is that of one window.
     """
     rule = F.lit(float(threshold)) if not isinstance(threshold, str) else F.col(threshold)
-    rows = items.select(F.col(group).alias("g"), F.col(at).cast("double").alias("t"), F.lit(1).alias("kind"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), rule.cast("double").alias("x"))
+
+    def rows_of(df: DataFrame, kind: int, own):
+        return df.select(F.col(group).alias("g"), F.col(at).cast("double").alias("t"), F.lit(kind).alias("kind"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), own.cast("double").alias("x"))
+
+    rows = rows_of(items, 2, rule)
     if stored is not None:
         old = stored.select(F.col(group).alias("g"), F.col("last").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("cluster").cast(dict(rows.dtypes)["k"]).alias("k"), F.col("centroid").cast("array<double>").alias("v"), F.col("n").cast("double").alias("x"))
         rows = rows.unionByName(old)
+    if accepted is not None:
+        rows = rows.unionByName(rows_of(accepted, 1, F.col("cluster")))
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, clusters, accepted = object(), None, []
+        now, clusters, known = object(), None, None
         for batch in batches:
             out = []
             for g, t, kind, k, v, x in batch[["g", "t", "kind", "k", "v", "x"]].itertuples(index=False):
                 if g != now:
-                    now, clusters, accepted = g, Clusters(window), []
+                    now, clusters, known = g, Clusters(window), Accepted(window)
                 if not kind:
                     clusters.stored(int(k), v, int(x), t)
                     continue
-                twin = None
-                if same is not None:
-                    u = np.asarray(v, np.float64)
-                    u = u / (np.linalg.norm(u) or 1.0)
-                    accepted = [a for a in accepted if a[0] >= t - window]
-                    if accepted:
-                        near = np.array([a[3] for a in accepted]) @ u
-                        best = int(near.argmax())
-                        twin = accepted[best] if near[best] >= same else None
-                number = twin[2] if twin else clusters.add(v, t, x)
+                u = np.asarray(v, np.float64)
+                u = u / (np.linalg.norm(u) or 1.0)
+                if kind == 1:
+                    known.add(t, k, int(x), u)
+                    continue
+                twin = known.twin(t, u, same) if same is not None else None
+                number = twin[1] if twin else clusters.add(v, t, x)
                 if same is not None and not twin:
-                    accepted.append((t, k, number, u))
-                out.append((g, k, number, twin[1] if twin else None))
+                    known.add(t, k, number, u)
+                out.append((g, k, number, twin[0] if twin else None))
             if out:
                 yield pd.DataFrame(out, columns=["g", "k", "cluster", "dup_of"])
 
     ordered = rows.repartition("g").sortWithinPartitions("g", "kind", "t", "k")
-    found = ordered.mapInPandas(run, f"g {kinds['g']}, k {kinds['k']}, cluster int, dup_of {kinds['k']}")
+    found = ordered.mapInPandas(run, f"g {kinds['g']}, k {kinds['k']}, cluster long, dup_of {kinds['k']}")
     extra = ["dup_of"] if same is not None else []
     return found.select(F.col("g").alias(group), F.col("k").alias(key), "cluster", *extra)
 
