@@ -166,7 +166,7 @@ def headline(title: Column | str, body: Column | str, most: int = 120) -> Column
     short = F.when(short == "", cut).otherwise(short)
     long = F.length(line) > most
     out = F.when(long, F.concat(F.regexp_replace(short, r"[ ,:;—–-]+$", ""), F.lit("…"))).otherwise(line)
-    rest = F.concat(F.when(long, F.slice(found, 1, 1)).otherwise(F.slice(found, 1, 0)), F.slice(found, 2, 10000))
+    rest = F.concat(F.when(long, F.slice(found, 1, 1)).otherwise(F.slice(found, 1, 0)), F.slice(found, F.lit(2), F.size(found)))
     parts = F.filter(F.array(stripped(F.array_join(rest, " ")), stripped(_c(body))), lambda x: x != "")
     none = F.size(found) == 0
     return F.struct(F.when(none, _bare(without_citations(title))).otherwise(out).alias("title"), F.when(none, stripped(_c(body))).otherwise(F.array_join(parts, "\n\n")).alias("body"))

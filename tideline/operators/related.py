@@ -28,7 +28,10 @@ def related(posts: DataFrame, days: int = 14) -> DataFrame:
     time = (F.col("o__at") < F.col("_at")) & (F.col("o__at") >= F.col("_at") - 86400 * days)
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, ["project", "k"]).where(time).select("project", "post_id", "o_post_id", "k")
+        """Pairs of a key and time; posts meet in their own bucket of `days` and in the next, so that no pair of other times is made."""
+        bucket = lambda c: F.floor(F.col(c) / (86400 * days))
+        later, earlier = a.withColumn("_b", bucket("_at")), b.withColumn("_b", F.explode(F.array(bucket("o__at"), bucket("o__at") + 1)))
+        return later.join(earlier, ["project", "k", "_b"]).where(time).select("project", "post_id", "o_post_id", "k")
 
     keyed = lambda kind: (new.select("project", "post_id", "_at", F.explode(kind).alias("k")), old.select("project", "o_post_id", "o__at", F.explode("o_" + kind).alias("k")))
     same = lambda kind: (new.where(f"{kind} <> ''").select("project", "post_id", "_at", F.col(kind).alias("k")), old.where(f"o_{kind} <> ''").select("project", "o_post_id", "o__at", F.col("o_" + kind).alias("k")))

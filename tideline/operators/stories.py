@@ -20,8 +20,8 @@ from tideline.operators import scoring
 HOURS = {"news": 48, "curated": 336}
 # fixed values: kinds by precedence
 KINDS = ["video", "article", "post"]
-#: Candidates that are looked at in a run, and ratings that a run may ask for.
-POOL, RATINGS = 60, 12
+#: Ratings that a run may ask for.
+RATINGS = 12
 
 
 def members(items: DataFrame) -> DataFrame:
@@ -150,20 +150,17 @@ def sources_of(stories: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def diversified(candidates: DataFrame) -> DataFrame:
-    """Candidates (cluster_id, source_ids, pos; a pool of at most POOL) without those whose sources earlier ones have used up.
+    """Candidates (cluster_id, source_ids, pos) without those whose sources earlier ones have used up; stories without sources stay.
 
-    A fold in order of pos over one row of the pool; stories without sources stay.
+    A story that goes adds no source that was not used before, so what is used is
+    simply all sources of the earlier candidates: a story stays if it is the first with
+    one of its sources. That holds for any number of candidates. Of equal places the
+    smaller cluster_id comes first.
     """
-    kind = dict(candidates.dtypes)["source_ids"]
-    pool = candidates.orderBy("pos").limit(POOL).agg(F.array_sort(F.collect_list(F.struct("pos", "cluster_id", "source_ids"))).alias("pool"))
-    start = F.struct(F.array().cast(kind).alias("used"), F.array().cast(f"array<{dict(candidates.dtypes)['cluster_id']}>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        new = (F.size(x["source_ids"]) == 0) | (F.size(F.array_except(x["source_ids"], state["used"])) > 0)
-        return F.struct(F.when(new, F.array_union(state["used"], x["source_ids"])).otherwise(state["used"]).alias("used"), F.when(new, F.array_append(state["kept"], x["cluster_id"])).otherwise(state["kept"]).alias("kept"))
-
-    kept = pool.select(F.explode(F.aggregate("pool", start, step)["kept"]).alias("cluster_id"))
-    return candidates.join(F.broadcast(kept), "cluster_id", "left_semi")
+    each = candidates.select("cluster_id", "pos", F.explode("source_ids").alias("source"))
+    first = each.groupBy("source").agg(F.min(F.struct("pos", "cluster_id")).alias("f")).select("f.cluster_id")
+    kept = first.unionAll(candidates.where(F.size("source_ids") == 0).select("cluster_id")).distinct()
+    return candidates.join(kept, "cluster_id", "left_semi")
 
 
 def by_interest(candidates: DataFrame, ratings: DataFrame, most: int, budget: int = RATINGS) -> DataFrame:

@@ -67,9 +67,9 @@ def unseen_items(spark, sf_dir):
     return publishing.unseen(items, items.where(doc_id() % 3 == 0), items.where(doc_id() % 5 == 0)).select("doc_id")
 
 
-@query(f"SELECT source, max(ts) <= {_NOW} AS due, strftime(CASE WHEN max(ts) <= {_NOW} THEN {_NOW} + 45 * INTERVAL 1 MINUTE ELSE max(ts) END, '%Y-%m-%d %H:%M') AS next FROM (SELECT event_type AS source, ts + user_id % 7 * INTERVAL 12 HOUR AS ts FROM events WHERE user_id < 30) GROUP BY source")
+@query(f"SELECT source, max(ts) <= {_NOW} AS due, strftime(CASE WHEN max(ts) <= {_NOW} THEN {_NOW} + 45 * INTERVAL 1 MINUTE ELSE max(ts) END, '%Y-%m-%d %H:%M') AS next FROM (SELECT event_type AS source, ts + user_id % 7 * INTERVAL 12 HOUR AS ts FROM events) GROUP BY source")
 def polled_sources(spark, sf_dir):
-    e = _events(spark, sf_dir).where("user_id < 30").select(F.col("event_type").alias("source"), (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("user_id") % 7 * 12).cast("int"))).alias("t"))
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("source"), (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("user_id") % 7 * 12).cast("int"))).alias("t"))
     rows = publishing.polled(e.groupBy("source").agg(F.max("t").alias("next_poll_at")).withColumn("poll_minutes", F.lit(45)), now())
     return rows.select("source", "due", F.date_format("next_poll_at", "yyyy-MM-dd HH:mm").alias("next"))
 
@@ -137,11 +137,11 @@ def metric_horizons(spark, sf_dir):
     return statistics.at_horizons(_aged(spark, sf_dir).withColumn("likes", F.col("event_id") * 2), "user_id", "age", "event_id", ["value", "likes"], [24, 168])
 
 
-@query(f"""WITH p AS (SELECT user_id % 40 AS channel, event_id, value FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND ts < {_NOW} - INTERVAL 48 HOURS AND ts > {_NOW} - INTERVAL 30 DAYS AND user_id % 40 < 20),
+@query(f"""WITH p AS (SELECT user_id % 40 AS channel, event_id, value FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND ts < {_NOW} - INTERVAL 48 HOURS AND ts > {_NOW} - INTERVAL 30 DAYS),
 m AS (SELECT channel, median(value) AS med, count(*) AS n FROM p GROUP BY channel), r AS (SELECT p.*, value / greatest(med, 1.0) AS relative FROM p JOIN m USING (channel) WHERE n >= 6 AND med >= 30)
 SELECT channel, event_id, 'best' AS kind FROM r QUALIFY row_number() OVER (PARTITION BY channel ORDER BY relative DESC, event_id) <= 3 UNION ALL SELECT channel, event_id, 'worst' FROM r QUALIFY row_number() OVER (PARTITION BY channel ORDER BY relative, event_id) <= 3""")
 def audience_hints(spark, sf_dir):
-    posts = _events(spark, sf_dir).where("user_id % 40 < 20").select((F.col("user_id") % 40).alias("channel"), "event_id", F.col("value").alias("views"), F.col("ts").alias("sent_at"), F.when(F.col("event_type") == "error", "failed").otherwise("sent").alias("status"))
+    posts = _events(spark, sf_dir).select((F.col("user_id") % 40).alias("channel"), "event_id", F.col("value").alias("views"), F.col("ts").alias("sent_at"), F.when(F.col("event_type") == "error", "failed").otherwise("sent").alias("status"))
     rated = statistics.relative(statistics.settled(posts, now()), "channel", "views")
     return statistics.hints(rated, "channel", "event_id", "views").select("channel", "event_id", "kind")
 

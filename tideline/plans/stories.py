@@ -111,9 +111,10 @@ def story_sources(spark, sf_dir):
     return S.sources_of(found, items).where(F.size("source_ids") > 0).select("cluster_id", F.size("source_ids").cast("long").alias("n"))
 
 
-@query()
+@query(_BASE + """, e AS (SELECT DISTINCT w.cluster_id, w.pos, m.source_id FROM w JOIN m ON m.cluster_id = w.cluster_id AND m.source_id IS NOT NULL)
+SELECT cluster_id, pos FROM w WHERE cluster_id NOT IN (SELECT cluster_id FROM e) OR EXISTS (SELECT 1 FROM e x WHERE x.cluster_id = w.cluster_id AND NOT EXISTS (SELECT 1 FROM e y WHERE y.source_id = x.source_id AND y.pos < x.pos))""")
 def diversified_stories(spark, sf_dir):
-    """A fold in order; tested against a plain loop."""
+    """Stories with a source that none before them has; tested against a plain fold too."""
     found, items = _selected(spark, sf_dir)
     return S.diversified(S.sources_of(found, items)).select("cluster_id", "pos")
 
@@ -232,18 +233,18 @@ def item_relevance(spark, sf_dir):
 _CRON = "SELECT t FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-01 00:00:00', TIMESTAMP '2025-02-01 00:00:00', INTERVAL 1 MINUTE)) AS t) WHERE minute(t + INTERVAL 3 HOURS) IN (0, 15, 30, 45) AND hour(t + INTERVAL 3 HOURS) IN (8, 9, 10) AND dayofweek(t + INTERVAL 3 HOURS) IN (1, 3)"
 
 
-@query(f"WITH f AS ({_CRON}), e AS (SELECT event_id, ts FROM events WHERE event_id % 100 = 0) SELECT event_id, (SELECT min(t) FROM f WHERE t > ts) AS next, (SELECT max(t) FROM f WHERE t <= ts) AS last FROM e")
+@query(f"WITH f AS ({_CRON}), a AS (SELECT event_id, t AS next FROM events ASOF JOIN f ON ts < t), b AS (SELECT event_id, t AS last FROM events ASOF JOIN f ON ts >= t) SELECT event_id, a.next, b.last FROM a JOIN b USING (event_id)")
 def schedule_times(spark, sf_dir):
     """Mondays and Wednesdays, each quarter of the hours from 8 to 10, three hours east."""
     from tideline.operators import schedules as C
 
-    e = read(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
     return e.select("event_id", *[f(F.col("at"), "*/15 8-10 * * 1,3", "+03:00", 40).cast("timestamp_ntz").alias(n) for f, n in ((C.upcoming, "next"), (C.previous, "last"))])
 
 
-@query(f"WITH f AS ({_CRON}), e AS (SELECT event_id, ts FROM events WHERE event_id % 500 = 0) SELECT event_id, t AS slot FROM e JOIN f ON t > ts AND t <= ts + INTERVAL 20 DAYS QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY t) <= 50")
+@query(f"WITH f AS ({_CRON}), n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM f), e AS (SELECT event_id, ts, n FROM events ASOF JOIN n ON ts < t) SELECT event_id, t AS slot FROM e JOIN n ON n.n >= e.n AND n.n < e.n + 5 WHERE t <= ts + INTERVAL 20 DAYS")
 def schedule_slots(spark, sf_dir):
     from tideline.operators import schedules as C
 
-    e = read(spark, sf_dir, "events").where("event_id % 500 = 0").select("event_id", F.col("ts").cast("timestamp").alias("at"))
-    return C.slots(e, F.col("at"), F.col("at") + F.make_dt_interval(F.lit(20)), "*/15 8-10 * * 1,3", "+03:00", 21, 50).select("event_id", F.col("slot").cast("timestamp_ntz").alias("slot"))
+    e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return C.slots(e, F.col("at"), F.col("at") + F.make_dt_interval(F.lit(20)), "*/15 8-10 * * 1,3", "+03:00", 21, 5).select("event_id", F.col("slot").cast("timestamp_ntz").alias("slot"))
