@@ -90,6 +90,46 @@ def test_decontamination_finds_edited_items(spark, vocabulary):
     assert decontaminate.matches(odd_docs(spark), bench.limit(0)).count() == 0
 
 
+def least_distance(item, text):
+    """The least number of edits between an item and any part of a text, row by row."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_is_all_items_against_all_documents(spark, vocabulary):
+    """Items at every number of edits up to beyond their budget, alone, twice and beside others."""
+    rng = random.Random(21)
+    few = vocabulary[:25]
+    items = [sentences(rng, rng.choice((1, 3, 6, 9)), few) for _ in range(14)]
+    texts = [None, "", "a"]
+    for item in items:
+        budget = int(decontaminate.RATE * len(item))
+        for edits in range(budget + 3):
+            chars = list(item)
+            for _ in range(edits):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice(([], [chars[at], "q"], ["q"]))
+            around = [sentences(rng, rng.randint(0, 8), few) for _ in range(2)]
+            texts.append(rng.choice((" ", "\n ")).join([around[0], "".join(chars), around[1]]) + rng.choice(("", " " + rng.choice(items))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        text = decontaminate.normalized(t or "")
+        for i, item in enumerate(map(decontaminate.normalized, items)):
+            budget = int(decontaminate.RATE * len(item))
+            edges = [k for k in range(len(text) - len(item) + 1) if text[k : k + len(item)] == item and decontaminate._edge(text, k) and decontaminate._edge(text, k + len(item))]
+            least = least_distance(item, text)
+            if least <= budget and (budget or edges):
+                want[d, i] = least
+    assert found == want and len({i for _, i in want}) == len(items) and max(want.values()) >= 3
+
+
 def likeness_by_force(a, b):
     """The share of characters in sections, else paragraphs, else sentences that both have, each as often as both have it."""
     if a.digest == b.digest or not a.size + b.size:
@@ -671,3 +711,17 @@ def test_pipeline(spark, vocabulary, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept["decontamination"]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs_of(spark, [""]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    (tmp_path / "more").mkdir()
+    for name in ("labels", "benchmark"):
+        os.symlink(tmp_path / f"{name}.parquet", tmp_path / "more" / f"{name}.parquet")
+    odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "more")).count() > 0

@@ -32,6 +32,7 @@ _SHAPES = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[a-zß-öø-ÿ]
 
 
 def shape(word: str) -> str:
+    """The kinds of signs of a word in order, the first 16 of them: a feature of its beginning, beside the word itself."""
     for pattern, mark in _SHAPES:
         word = pattern.sub(mark, word)
     return word[:16]
