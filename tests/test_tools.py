@@ -147,7 +147,7 @@ def test_chunks(spark):
 def test_script(spark):
     text = "\n Title [1]  \n\nFirst one. And\U0001f600 more [2].\n• a\n• b\nRepo 👉 x.org\n@channel\nSources: y\n\nLast."
     df = spark.createDataFrame([(text,), (None,), ("Only",)], "t string")
-    full, none, only = (r.s for r in df.select(render.script(F.col("t"), "@me", "#tag").alias("s")).collect())
+    full, none, only = (r.s for r in render.scripts(df, "t", "s", "@me", "#tag").collect())
     assert full.title == "Title" and full.slides == ["First one. And more.\n• a\n• b", "Last."] and full.links == ["Repo x.org"]
     assert full.caption == "Title\n\nFirst one.\n\nMore and links on Telegram @me\n\n#tag"
     assert (none.title, none.slides) == ("", []) and (only.title, only.slides) == ("Only", [])

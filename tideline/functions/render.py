@@ -6,7 +6,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import text as T
@@ -112,22 +112,24 @@ def chunks(paragraph: Column, limit: int = SLIDE) -> Column:
     return F.when(F.length(paragraph) <= limit, F.array(paragraph)).otherwise(packed)
 
 
-def script(text: Column, channel: str, hashtags: str = "", label: str = "More and links on Telegram") -> Column:
-    """title, slides (all of them), links and caption of a video made of a post.
+def scripts(df: DataFrame, text: str, out: str, channel: str, hashtags: str = "", label: str = "More and links on Telegram") -> DataFrame:
+    """df with title, slides (all of them), links and caption of a video made of each post, in a column `out`.
 
     The first line is the title; marks, signatures and lines of sources go, lines with a
     pointing hand are links. Lists stay together where they fit a slide. A video shows the first SLIDES of the slides.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(F.regexp_replace(x, MARK, ""), r"(?U)\s+$", ""))
-    lines = F.filter(lines, lambda x: ~x.rlike(SIGNATURE) & ~x.rlike(SOURCES))
-    begin = F.array_position(F.transform(lines, lambda x: F.trim(x) != ""), True).cast("int")
-    title = F.when(begin > 0, _bare(F.get(lines, begin - 1))).otherwise("")
-    rest = F.when(begin > 0, F.slice(lines, begin + 1, F.size(lines))).otherwise(F.slice(lines, 1, 0))
-    links = F.transform(F.filter(rest, lambda x: F.contains(x, F.lit("👉"))), _bare)
-    body = F.array_join(F.filter(rest, lambda x: ~F.contains(x, F.lit("👉"))), "\n")
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), _bare), lambda p: p != "")
-    slides = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= SLIDE, F.array(p)).otherwise(chunks(F.replace(p, F.lit("\n"), F.lit(" "))))))
-    first = F.when(F.size(paragraphs) > 0, F.get(F.split(F.get(paragraphs, F.lit(0)), END), F.lit(0))).otherwise("")
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(F.regexp_replace(x, MARK, ""), r"(?U)\s+$", ""))
+    rows = df.withColumn("_lines", F.filter(lines, lambda x: ~x.rlike(SIGNATURE) & ~x.rlike(SOURCES)))
+    rows = rows.withColumn("_begin", F.array_position(F.transform("_lines", lambda x: F.trim(x) != ""), True).cast("int"))
+    begin = F.col("_begin")
+    rows = rows.withColumn("_rest", F.when(begin > 0, F.slice("_lines", begin + 1, F.size("_lines"))).otherwise(F.slice("_lines", 1, 0)))
+    rows = rows.withColumn("_body", F.array_join(F.filter("_rest", lambda x: ~F.contains(x, F.lit("👉"))), "\n"))
+    rows = rows.withColumn("_paragraphs", F.filter(F.transform(F.split("_body", r"\n\s*\n"), _bare), lambda p: p != ""))
+    rows = rows.withColumn("_first", F.when(F.size("_paragraphs") > 0, F.get(F.split(F.get("_paragraphs", F.lit(0)), END), F.lit(0))).otherwise(""))
+    rows = rows.withColumn("_title", F.when(begin > 0, _bare(F.get("_lines", begin - 1))).otherwise(""))
+    slides = F.flatten(F.transform("_paragraphs", lambda p: F.when(F.length(p) <= SLIDE, F.array(p)).otherwise(chunks(F.replace(p, F.lit("\n"), F.lit(" "))))))
+    links = F.transform(F.filter("_rest", lambda x: F.contains(x, F.lit("👉"))), _bare)
     handle = "@" + channel.removeprefix("@") if channel else ""
-    parts = F.filter(F.array(title, first, F.lit(f"{label} {handle}".strip()), F.lit(hashtags.strip())), lambda x: x != "")
-    return F.struct(title.alias("title"), slides.alias("slides"), links.alias("links"), F.substring(F.array_join(parts, "\n\n"), 1, CAPTION).alias("caption"))
+    parts = F.filter(F.array("_title", "_first", F.lit(f"{label} {handle}".strip()), F.lit(hashtags.strip())), lambda x: x != "")
+    made = F.struct(F.col("_title").alias("title"), slides.alias("slides"), links.alias("links"), F.substring(F.array_join(parts, "\n\n"), 1, CAPTION).alias("caption"))
+    return rows.withColumn(out, made).drop("_lines", "_begin", "_rest", "_body", "_paragraphs", "_first", "_title")

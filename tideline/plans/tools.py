@@ -35,7 +35,7 @@ s AS (SELECT doc_id, CASE WHEN pos IS NULL THEN [] ELSE l[CAST(pos + 1 AS INT):]
 SELECT doc_id, true AS within, md5(regexp_replace(array_to_string(rest, ''), '[\s\x0B\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}☀-➿⬀-⯿\x{fe0f}\x{200d}\x{20e3}\x{1f000}-\x{1faff}]+', '', 'g')) AS kept FROM s""")
 def slides(spark, sf_dir):
     """Whether every slide of a document holds 230 characters at most, and what all slides and links together hold, but for white space."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", render.script(F.col("text"), "tideline").alias("s"))
+    rows = render.scripts(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "s", "tideline")
     held = F.concat(F.array_join("s.slides", ""), F.array_join("s.links", ""))
     return rows.select("doc_id", F.forall("s.slides", lambda x: F.length(x) <= render.SLIDE).alias("within"), F.md5(F.regexp_replace(held, r"(?U)[\s\x{2028}\x{2029}]+", "").cast("binary")).alias("kept"))
 
