@@ -35,6 +35,14 @@ def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> D
     return ends.select(*by).alias("a").join(middle.alias("m"), on("a", "m"), "left").select(*[f"a.{c}" for c in by], name)
 
 
+def summary(posts: DataFrame, by: list[str], views: str, reactions: str) -> DataFrame:
+    """posts, views and reactions (sums) and median_views of each group; null numbers count as 0 in sums and not in medians, a group without any has a median of 0."""
+    sums = posts.groupBy(*by).agg(F.count("*").alias("posts"), F.coalesce(F.sum(views), F.lit(0)).alias("views"), F.coalesce(F.sum(reactions), F.lit(0)).alias("reactions"))
+    found = medians(posts, by, views, "_median").select(*[F.col(c).alias("_" + c) for c in by], "_median")
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in by]
+    return sums.join(found, same).select(*by, "posts", "views", "reactions", F.coalesce("_median", F.lit(0.0)).alias("median_views"))
+
+
 def relative(posts: DataFrame, channel: str, views: str) -> DataFrame:
     """Adds relative: views against the channel's median (a median of 0 counts as 1)."""
     return posts.join(medians(posts, [channel], views, "_median"), channel).withColumn("relative", F.col(views) / F.greatest("_median", F.lit(1.0))).drop("_median")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import vectors as V
-from tideline.operators import desk, processing
+from tideline.operators import desk, processing, statistics
 from tideline.plans.queries import query, read
 
 NOW = "2024-01-20 12:00:00"
@@ -153,3 +153,11 @@ def changed_space(spark, sf_dir):
     items, stories = _space(spark, sf_dir)
     after, _ = processing.new_space(items, stories, stories.where("cluster_id % 4 = 0"), spark.range(1).select(F.lit(0).cast("long").alias("project")))
     return after.select("item_id", "status", F.col("embedding").isNotNull().alias("has_vector"), F.col("cluster_id").cast("int").alias("cluster_id"))
+
+
+@query("""SELECT user_id, count(*) AS posts, CAST(coalesce(sum(CASE WHEN event_id % 9 <> 0 THEN event_id % 1000 END), 0) AS BIGINT) AS views, CAST(sum(event_id % 7) AS BIGINT) AS reactions,
+  coalesce(median(CASE WHEN event_id % 9 <> 0 THEN event_id % 1000 END), 0) AS median_views FROM events GROUP BY user_id""")
+def post_totals(spark, sf_dir):
+    """Posts, views, reactions and the median of views of each channel (user)."""
+    e = read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 1000).alias("views"), (F.col("event_id") % 7).alias("reactions"))
+    return statistics.summary(e, ["user_id"], "views", "reactions")
