@@ -247,6 +247,10 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f("x").alias("y")).first().y
 
 
+def test_sentences_keep_the_digits_at_their_ends(spark):
+    assert one(spark, "Zero. 1 is first. 23 is 2. 3", T.sentences) == ["Zero.", "1 is first.", "23 is 2."]
+
+
 def test_text_functions(spark):
     assert one(spark, "One here. Two there! three", T.sentences) == ["One here.", "Two there! three"]
     assert one(spark, "about 1 200 and 3,5 and 3.5", T.numbers) == ["1200", "3.5"]
