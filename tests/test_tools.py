@@ -36,6 +36,10 @@ def test_open_elements_end_where_the_next_begins():
     assert markup.stripped("<table><tr><td>a<td>b<tr><td>c</table>") == "a; b; c"
 
 
+def test_references_without_a_semicolon_stay():
+    assert markup.own_text("<article><h1>A&amp;&amp</h1><p>b&nbsp;c &lt;d &#39;e&#39 f &unknown; g&h</p></article>") == "A&&amp b c <d 'e&#39 f &unknown; g&h"
+
+
 @pytest.fixture
 def zoned(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
