@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import clustering, evaluation, graphs, linkage, matching
+from tideline.operators import clustering, dedup, evaluation, graphs, linkage, matching
 
 
 def test_components(spark):
@@ -103,3 +103,21 @@ def test_matched_videos(spark):
     found = {r.post_id: r.video_id for r in matching.matched(p.repartition(3), v.repartition(4)).collect()}
     assert found == by_hand(posts, videos) and len(found) > 50
     assert matching.matched(p.limit(0), v).count() == 0
+
+
+def test_alike_signatures_meet_without_meeting_others(spark):
+    """Signatures that differ in 11 places at most share a key wherever these are; unlike ones of one band stay in their task."""
+    rng = np.random.RandomState(3)
+    base = rng.randint(0, 1 << 31, 64)
+    rows = [(0, base.tolist())]
+    for i in range(1, 200):
+        sig = base.copy()
+        sig[rng.choice(64, 11 if i % 2 else 12, replace=False)] += 1 << 32
+        rows.append((i, sig.tolist()))
+    sigs = spark.createDataFrame(rows, "k long, sig array<long>")
+    found = {(r.later, r.earlier, r.likeness) for r in dedup.candidate_pairs(sigs, "k").collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(rows[a][1], rows[b][1], strict=True))
+    assert found == {(a, b, same(a, b) / 64) for a in range(200) for b in range(a) if same(a, b) >= 53} and len(found) >= 100
+    one_band = [(i, [7, 7, 7, 7, *rng.randint(0, 1 << 31, 60).tolist()]) for i in range(300)]
+    keyed = spark.createDataFrame(one_band, "k long, sig array<long>").select("k", F.explode(dedup.part_keys(F.col("sig"), 11)).alias("key"))
+    assert keyed.groupBy("key").count().where("count > 1").count() == 0
