@@ -8,6 +8,7 @@ import random
 import re
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,23 @@ def test_open_elements_end_where_the_next_begins():
     assert markup.stripped("<table><tr><td>a<td>b<tr><td>c</table>") == "a; b; c"
 
 
+@pytest.mark.parametrize("zone", ["+03:00", "Europe/Berlin"])
+def test_times_by_the_day_are_those_of_each_row(spark, zone):
+    """Around a change of the clock, at midnights and for a null."""
+    start = int(datetime(2024, 3, 29, tzinfo=timezone.utc).timestamp())
+    rows = spark.range(0, 400).select("id", F.when(F.col("id") > 0, F.timestamp_seconds(F.lit(start) + F.col("id") * 3599)).alias("at"))
+    one = rows.select("id", schedules.upcoming(F.col("at"), "*/20 0,2,23 * * 0,3", zone, 9).alias("a"), schedules.previous(F.col("at"), "*/20 0,2,23 * * 0,3", zone, 9).alias("b"))
+    many = schedules.with_times(rows, F.col("at"), "*/20 0,2,23 * * 0,3", zone, 9, "a", "b").select("id", "a", "b")
+    assert {r.id: (r.a, r.b) for r in many.collect()} == {r.id: (r.a, r.b) for r in one.collect()}
+    assert "Broadcast" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_contents_are_parsed_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 600, "y" * 600, None, "", "z" * 5000, "w"])], ["k", "c"])
+    parts = [b.column(0).to_pylist() for b in connectors.sliced(iter([batch]), 1000)]
+    assert parts == [[0], [1, 2, 3], [4], [5]]
+
+
 def test_references_without_a_semicolon_stay():
     assert markup.own_text("<article><h1>A&amp;&amp</h1><p>b&nbsp;c &lt;d &#39;e&#39 f &unknown; g&h</p></article>") == "A&&amp b c <d 'e&#39 f &unknown; g&h"
 

@@ -86,10 +86,9 @@ def instant(local: Column, zone: str) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), utc))
 
 
-def _fires(first: Column, days: int, expression: str, zone: str, most: int | None = None, last: bool = False) -> Column:
-    """Times of the schedule from the day of `first` on, for so many days more; of the first (or last) `most` days that fire only."""
+def _day_fires(start: Column, days: int, expression: str, zone: str, most: int | None = None, last: bool = False) -> Column:
+    """Times of the schedule from a date on, for so many days more; of the first (or last) `most` days that fire only."""
     at = fields(expression)
-    start = local_time(first, zone).cast("date")
     dates = F.filter(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda i: F.date_add(start, i)), lambda d: _day(d, at))
     if most:
         dates = F.slice(dates, F.greatest(F.size(dates) - most + 1, F.lit(1)) if last else F.lit(1), F.lit(most))
@@ -97,20 +96,48 @@ def _fires(first: Column, days: int, expression: str, zone: str, most: int | Non
     return F.transform(local, lambda t: instant(t, zone))
 
 
+def _fires(first: Column, days: int, expression: str, zone: str, most: int | None = None, last: bool = False) -> Column:
+    """The same from the day of an instant on."""
+    return _day_fires(local_time(first, zone).cast("date"), days, expression, zone, most, last)
+
+
+def _with_fires(df: DataFrame, name: str, first: Column, days: int, expression: str, zone: str, most: int, last: bool = False) -> DataFrame:
+    """df with _fires() of each row in a column `name`: made once for each date that the rows begin at (a calendar's worth of them), and joined."""
+    rows = df.withColumn("_start", local_time(first, zone).cast("date"))
+    dates = rows.select("_start").distinct().select("_start", _day_fires(F.col("_start"), days, expression, zone, most, last).alias(name))
+    return rows.join(F.broadcast(dates), "_start", "left").drop("_start")
+
+
 def upcoming(at: Column, expression: str, zone: str = "UTC", days: int = 366) -> Column:
     """The first fire after a time; null if there is none within `days`. Of three days that fire one has it."""
-    return F.array_min(F.filter(_fires(at, days, expression, zone, 3), lambda t: t > at))
+    return _first_after(_fires(at, days, expression, zone, 3), at)
 
 
 def previous(at: Column, expression: str, zone: str = "UTC", days: int = 366) -> Column:
     """The last fire at or before a time; null if there is none within `days`."""
-    return F.array_max(F.filter(_fires(at - F.make_dt_interval(F.lit(days)), days, expression, zone, 3, True), lambda t: t <= at))
+    return _last_until(_fires(at - F.make_dt_interval(F.lit(days)), days, expression, zone, 3, True), at)
+
+
+def _first_after(fires: Column, at: Column) -> Column:
+    return F.array_min(F.filter(fires, lambda t: t > at))
+
+
+def _last_until(fires: Column, at: Column) -> Column:
+    return F.array_max(F.filter(fires, lambda t: t <= at))
+
+
+def with_times(df: DataFrame, at: Column, expression: str, zone: str = "UTC", days: int = 366, after: str = "next", before: str = "last") -> DataFrame:
+    """df with upcoming() and previous() of each row, for many rows: what depends on the day alone is made once a day."""
+    rows = _with_fires(df, "_after", at, days, expression, zone, 3)
+    rows = _with_fires(rows, "_before", at - F.make_dt_interval(F.lit(days)), days, expression, zone, 3, True)
+    return rows.withColumns({after: _first_after(F.col("_after"), at), before: _last_until(F.col("_before"), at)}).drop("_after", "_before")
 
 
 def slots(df: DataFrame, start: Column, end: Column, expression: str, zone: str = "UTC", days: int = 62, most: int = SLOTS) -> DataFrame:
     """A row for each fire in (start, end], the first `most` of a row of df; end at most `days` after start."""
-    found = F.filter(_fires(start, days, expression, zone, most // len(_minutes(fields(expression))) + 3), lambda t: (t > start) & (t <= end))
-    return df.select("*", F.explode(F.slice(F.array_sort(found), 1, most)).alias("slot"))
+    rows = _with_fires(df, "_fires", start, days, expression, zone, most // len(_minutes(fields(expression))) + 3)
+    found = F.filter(F.array_sort("_fires"), lambda t: (t > start) & (t <= end))
+    return rows.select(*df.columns, F.explode(F.slice(found, 1, most)).alias("slot"))
 
 
 def firing(schedules: DataFrame, fires: DataFrame, now: Column, expression: str, zone: str = "UTC", grace: int = 10) -> DataFrame:

@@ -239,7 +239,8 @@ def schedule_times(spark, sf_dir):
     from tideline.operators import schedules as C
 
     e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
-    return e.select("event_id", *[f(F.col("at"), "*/15 8-10 * * 1,3", "+03:00", 40).cast("timestamp_ntz").alias(n) for f, n in ((C.upcoming, "next"), (C.previous, "last"))])
+    found = C.with_times(e, F.col("at"), "*/15 8-10 * * 1,3", "+03:00", 40)
+    return found.select("event_id", *[F.col(n).cast("timestamp_ntz").alias(n) for n in ("next", "last")])
 
 
 @query(f"WITH f AS ({_CRON}), n AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM f), e AS (SELECT event_id, ts, n FROM events ASOF JOIN n ON ts < t) SELECT event_id, t AS slot FROM e JOIN n ON n.n >= e.n AND n.n < e.n + 5 WHERE t <= ts + INTERVAL 20 DAYS")
