@@ -38,7 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 or more over 5-word shingles the document with the smallest doc_id.
 
-    Empty and null texts are one group.
+    SimHash links by blocks first, each decided on the whole sets; MinHash bands find
+    the pairs beyond three bits. Empty and null texts are one group.
     """
     return nearcopies.kept(docs)
 

@@ -360,6 +360,22 @@ def test_near_dedup_takes_near_copies(spark, vocabulary, monkeypatch, part):
     assert nearcopies.clustered(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_near_copies_are_linked_by_simhash(spark, vocabulary):
+    """Without any band in common, copies within three bits are linked; a pair of like fingerprints whose sets differ is not."""
+    rng = random.Random(7)
+    base = sentences(rng, 600, vocabulary).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "edited"]), sentences(rng, 600, vocabulary)]
+    rows = {r.doc_id: r for r in nearcopies.described(docs_of(spark, texts)).collect()}
+    assert ((rows[0].fp ^ rows[1].fp) % (1 << 64)).bit_count() <= simhash.DISTANCE < ((rows[0].fp ^ rows[2].fp) % (1 << 64)).bit_count()
+    nodes = spark.createDataFrame([(r.node, r.fp) for r in rows.values()] + [(5, rows[2].fp)], "node long, fp long")
+    sets = spark.createDataFrame([(r.node, r.grams) for r in rows.values()] + [(5, [1, 2, 3])], "node long, grams array<long>")
+    pairs = nearcopies.alike(nodes)
+    assert {frozenset(p) for p in pairs.collect()} == {frozenset((rows[0].node, rows[1].node)), frozenset((rows[2].node, 5))}
+    known = nearcopies.decided(pairs, sets)
+    none = spark.createDataFrame([], "key long, node long, n long")
+    assert {frozenset(p) for p in nearcopies.links(none, sets, known).collect()} == {frozenset((rows[0].node, rows[1].node))}
+
+
 def test_simhash_links_last_buckets(spark, monkeypatch):
     """All fingerprints over three bits: their buckets are over BUCKET in the last round too and must be linked."""
     monkeypatch.setattr(simhash, "BUCKET", 4)

@@ -45,10 +45,9 @@ def hashes(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str) -> int:
-    """The SimHash of 3-word shingles."""
-    hashed = hashes(text, WORDS)
-    if not hashed:
+def majority(hashed: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero of none."""
+    if not len(hashed):
         return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashed), 1 << 16):
@@ -57,6 +56,11 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(hashed), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str) -> int:
+    """The SimHash of 3-word shingles."""
+    return majority(hashes(text, WORDS))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint's 64 bits as a long, for every whole text (null: empty, so zero)."""
 
