@@ -6,6 +6,7 @@ import html
 import json
 import random
 import re
+import tracemalloc
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -199,6 +200,15 @@ def test_shortened():
                 assert got == whole or got.endswith("…") and html.unescape(re.sub(r"<[^>]*>", "", whole)).startswith(seen[:-1])
 
 
+def test_shortening_holds_no_more_than_its_room():
+    text = "word & more " * 200_000
+    tracemalloc.start()
+    assert len(render.shortened(text, 100, True)) <= 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+
+
 def test_posts_keep_their_limits(spark):
     for r in QUERIES["shortened_posts"](spark, SF).collect():
         assert len(r.html) <= render.POST and balanced(r.html.replace("\n\nfoot", "")) and r.html.endswith("foot")

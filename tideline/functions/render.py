@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ def shortened(text: str, room: int, tags: bool) -> str:
     put inside. A cut text ends with an ellipsis.
     """
     pieces: list[tuple[str, str, str]] = []  # opening tag, words, closing tag
+    size = lambda start, words, end: len(html.escape(words)) + len(start) + len(end) if tags else len(words)
+    whole = 0
     for m in _PARTS.finditer(text):
         if m[1]:
             pieces.append((f'<a href="{html.escape(m[2])}">', m[1], "</a>"))
@@ -35,8 +37,10 @@ def shortened(text: str, room: int, tags: bool) -> str:
             pieces.append(("<b>", m[3], "</b>"))
         else:
             pieces.append(("", m[0], ""))
-    size = lambda start, words, end: len(html.escape(words)) + len(start) + len(end) if tags else len(words)
-    if sum(size(*p) for p in pieces) <= room:
+        whole += size(*pieces[-1])
+        if whole > room:  # what follows has no room
+            break
+    if whole <= room:
         return "".join(a + html.escape(w) + b for a, w, b in pieces)
     out, used, room = [], 0, room - 1  # the ellipsis
     for start, words, end in pieces:
@@ -57,9 +61,10 @@ def shortened(text: str, room: int, tags: bool) -> str:
 
 
 def _fit(tags: bool):
-    @F.pandas_udf("string")
-    def fit(texts: pd.Series, rooms: pd.Series) -> pd.Series:
-        return pd.Series([shortened(t or "", int(r), tags) for t, r in zip(texts, rooms, strict=True)], dtype="object")
+    @F.arrow_udf("string")
+    def fit(texts: pa.Array, rooms: pa.Array) -> pa.Array:
+        # one text at a time leaves the batch, and what is made of them is short
+        return pa.array((shortened(t.as_py() or "", r.as_py(), tags) for t, r in zip(texts, rooms, strict=True)), pa.string())
 
     return fit
 
