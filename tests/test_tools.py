@@ -215,6 +215,18 @@ def test_posts_keep_their_limits(spark):
         assert len(html.unescape(re.sub(r"<[^>]*>", "", r.caption))) <= render.PICTURE and balanced(r.caption)
 
 
+def test_pages_are_parsed_once_for_all_lists(spark, capsys):
+    pages = [(1, "http://e.org/a/b?x", '<img src="/x.png"><img src="/y.gif"><video src="/f.mp4" poster="/p.jpg"></video><div data-v="/g.mp4"></div><img src="../z.png"><img src="/x.png">')]
+    found = media.media(media.parsed(spark.createDataFrame(pages, "i int, url string, html string"), "i", "html", "url"), "i")
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    rows = {(r.kind, r.url, r.poster, r.at) for r in found.collect()}
+    assert rows == {
+        ("image", "http://e.org/x.png", None, 0), ("animation", "http://e.org/y.gif", None, 0), ("image", "http://e.org/p.jpg", None, 1), ("image", "http://e.org/z.png", None, 2),
+        ("video", "http://e.org/f.mp4", "http://e.org/p.jpg", 1), ("video", "http://e.org/g.mp4", None, 2),
+    }
+
+
 def test_languages(spark):
     rows = QUERIES["text_languages"](spark, "/root/testdata/sf0.01").collect()
     held = [r for r in rows if r.held_out and r.guess]

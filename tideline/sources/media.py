@@ -31,11 +31,19 @@ ORIGIN_LEAST = 3
 NODE = "place int, tag string, src string, hint string, canonical string, poster string, width string, height string, away string, label string, before string"
 
 
+#: A page's site, and addresses that are joined with it as they stand.
+_SITE, _PLAIN = re.compile(r"https?://[a-z0-9.-]+(?=/|\Z)"), re.compile(r"/[A-Za-z0-9_-][A-Za-z0-9_.,-]*\Z")
+
+
 def nodes(page: str, base: str) -> Iterator[dict]:
     """Pictures, videos, links and cards of a page with what their surroundings say, in document order; addresses are made whole."""
 
+    site = _SITE.match(base)
+
     def whole(address: str | None) -> str | None:
         try:
+            if site and address and _PLAIN.match(address):
+                return site[0] + address
             return urljoin(base, address.strip()) if address and not address.startswith(("data:", "blob:")) else None
         except ValueError:
             return None
@@ -117,12 +125,15 @@ def media(found: DataFrame, key: str) -> DataFrame:
     trimmed = lambda c: F.regexp_replace(F.coalesce(U.path(c), F.lit("")), "/+$", "")
     card = away.rlike(r"\?[^#]*utm_") | (host(away) == host("base")) & ~U.path(away).rlike(FILES) & (trimmed(away) != trimmed("base"))
     good = ~small & ~F.col("hint").rlike(NO_PICTURE) & ~F.col("hint").rlike(BADGE) & ~F.coalesce(card, F.lit(False))
-    pictures = found.where((F.col("tag") == "img") & good & is_picture_url(src)).withColumn("kind", F.when(F.regexp_replace("canonical", "[?#].*", "").rlike(r"(?i)\.gif$"), "animation").otherwise("image"))
-    cards = found.where((F.col("tag") == "card") & is_picture_url(src)).withColumn("kind", F.lit("image"))
-    posters = found.where((F.col("tag") == "video") & is_picture_url(F.col("poster"))).withColumns({"src": F.col("poster"), "kind": F.lit("image"), "poster": F.lit(None).cast("string")})
-    films = found.where(F.col("tag").isin("video", "film") & src.rlike("^(?i)https?://")).withColumn("kind", F.lit("video"))
-    rows = pictures.unionByName(cards).unionByName(posters).unionByName(films).withColumn("list", F.when(F.col("kind") == "image", 0).otherwise(1))
-    once = rows.groupBy(key, "list", F.col("src").alias("url")).agg(F.min(F.struct("place", "kind", "poster")).alias("f"))
+    tag, still = F.col("tag"), F.lit("image")
+    row = lambda url, kind, poster: F.struct(F.when(kind == "image", 0).otherwise(1).alias("list"), kind.alias("kind"), url.alias("url"), poster.alias("poster"))
+    moving = F.when(F.regexp_replace("canonical", "[?#].*", "").rlike(r"(?i)\.gif$"), "animation").otherwise(still)
+    picture = F.when(((tag == "img") & good | (tag == "card")) & is_picture_url(src), row(src, moving, F.col("poster")))
+    poster = F.when((tag == "video") & is_picture_url(F.col("poster")), row(F.col("poster"), still, F.lit(None).cast("string")))
+    film = F.when(tag.isin("video", "film") & src.rlike("^(?i)https?://"), row(src, F.lit("video"), F.col("poster")))
+    # one pass over the nodes: a union of lists would parse the pages once for each
+    rows = found.select(key, "place", F.explode(F.array_compact(F.array(picture, poster, film))).alias("r")).select(key, "place", "r.*")
+    once = rows.groupBy(key, "list", "url").agg(F.min(F.struct("place", "kind", "poster")).alias("f"))
     ranked = once.withColumn("at", F.row_number().over(Window.partitionBy(key, "list").orderBy("f.place", "url")) - 1)
     return ranked.where((F.col("list") == 0) & (F.col("at") <= IMAGES) | (F.col("list") == 1) & (F.col("at") < VIDEOS)).select(key, "f.kind", "url", "f.poster", "at")
 
