@@ -121,3 +121,20 @@ def test_alike_signatures_meet_without_meeting_others(spark):
     one_band = [(i, [7, 7, 7, 7, *rng.randint(0, 1 << 31, 60).tolist()]) for i in range(300)]
     keyed = spark.createDataFrame(one_band, "k long, sig array<long>").select("k", F.explode(dedup.part_keys(F.col("sig"), 11)).alias("key"))
     assert keyed.groupBy("key").count().where("count > 1").count() == 0
+
+
+def test_few_runs_of_captions_leave_their_task(spark):
+    """Only runs that some title looks for are written, three a title at most; holders are those of a plain search."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(30)] + ["", "short"]
+    titles = [t[:60] for t in texts[:10]] + [texts[3][50:61], "no caption holds this title", "tiny"]
+    posts = spark.createDataFrame(list(enumerate(titles)), "post_id long, title string")
+    videos = spark.createDataFrame(list(enumerate(texts)), "video_id long, text string")
+    found = {(r.key, r.text_id) for r in matching.holders(posts, videos).collect()}
+    keys = {" ".join(t.split())[:40] for t in titles}
+    assert found == {(k, i) for k in keys if len(k) >= 10 for i, t in enumerate(texts) if k in t}
+    parts = spark.createDataFrame([(i, int(g)) for i in range(10) for g in matching.runs(titles[i])[:3]], "key_id long, gram long")
+    known = matching._known(videos.selectExpr("video_id AS text_id", "text AS caption"), parts).collect()
+    looked = {g for t in titles[:10] for g in matching.runs(t)[:3].tolist()}
+    assert {(r.text_id, r.gram) for r in known} == {(i, g) for i, t in enumerate(texts) for g in set(matching.runs(t).tolist()) & looked}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -16,6 +17,8 @@ from tideline.tables import written
 
 # fixed values: characters of a title that a caption must hold, the fewest of them, seconds a video may be older than its post
 KEY, LEAST, EARLY = 40, 10, 60
+#: Runs of a title that are looked for, and bits of the table that says which those of all titles are.
+RUNS, BITS = 3, 1 << 27
 
 
 def plain(text: Column) -> Column:
@@ -23,36 +26,81 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
+def runs(text: str | None) -> np.ndarray:
+    """Hashes of the runs of LEAST characters of a text, in order; none of a shorter one."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(points) - LEAST + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    mix = np.zeros(n, np.uint64)
+    for k in range(LEAST):
+        mix = (mix ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(32)
+    return mix.view(np.int64)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def grams(texts: pd.Series) -> pd.Series:
-    """Hashes of the distinct runs of LEAST characters of each text; none of a shorter one."""
+    """The distinct runs() of each text."""
+    return texts.map(lambda text: np.unique(runs(text)))
+
 
-    def one(text: str) -> np.ndarray:
-        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        n = len(points) - LEAST + 1
-        if n < 1:
-            return np.empty(0, np.int64)
-        mix = np.zeros(n, np.uint64)
-        for k in range(LEAST):
-            mix = (mix ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            mix ^= mix >> np.uint64(32)
-        return np.unique(mix.view(np.int64))
+def _bits(parts: DataFrame) -> np.ndarray:
+    """Two bits of a table of BITS for each gram, as longs: no more than 32 MB reach the driver, at any size."""
+    places = parts.select(F.explode(F.array(F.col("gram").bitwiseAND(BITS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(BITS - 1))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    found = places.groupBy(F.shiftright("place", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(BITS >> 6, np.int64)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return table
 
-    return texts.map(one)
+
+def _known(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """text_id, gram of the runs of captions that are a gram of parts.
+
+    A table of bits drops nearly all others where they are made, so that a
+    text's runs are neither held for a batch nor shuffled; a join decides.
+    """
+    table = texts.sparkSession.sparkContext.broadcast(_bits(parts))
+
+    def has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            ids, found, size = [], [], 0
+            for number, caption in zip(batch.column("text_id").to_pylist(), batch.column("caption"), strict=True):
+                own = runs(caption.as_py())
+                own = own[has(bits, own & (BITS - 1))]
+                own = np.unique(own[has(bits, own >> 32 & (BITS - 1))])
+                ids.append(np.full(len(own), number, np.int64))
+                found.append(own)
+                size += len(own)
+                if size > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["text_id", "gram"])
+                    ids, found, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["text_id", "gram"])
+
+    return texts.select(F.col("text_id").cast("long").alias("text_id"), "caption").where("text_id is not null").mapInArrow(each, "text_id long, gram long").join(parts.select("gram").distinct(), "gram", "left_semi")
 
 
 def holders(posts: DataFrame, videos: DataFrame) -> DataFrame:
     """key, key_id, text_id: the distinct titles (their first 40 characters, of ten at least) and the distinct captions that hold them.
 
     posts: post_id, title; videos: video_id, text. key_id and text_id are the least post and
-    video with them. Titles and captions meet by the run of ten characters of a title
-    that the fewest captions have, and are then compared, so no title meets all captions.
+    video with them. Of the runs of ten characters of a title, the RUNS that the fewest titles have are
+    looked for in all captions; titles and captions meet by that of them which the fewest captions
+    have, and are then compared.
     """
     keys = posts.select("post_id", F.substring(plain(F.col("title")), 1, KEY).alias("key")).where(F.length("key") >= LEAST)
     keys = written(keys.groupBy("key").agg(F.min("post_id").alias("key_id")), "keys")
     texts = written(videos.select("video_id", plain(F.col("text")).alias("caption")).groupBy("caption").agg(F.min("video_id").alias("text_id")), "captions")
-    parts = keys.select("key_id", F.explode(grams(F.col("key"))).alias("gram"))
-    known = written(texts.select("text_id", F.explode(grams(F.col("caption"))).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi"), "grams")
+    every = written(keys.select("key_id", F.explode(grams(F.col("key"))).alias("gram")), "runs")
+    seldom = every.join(every.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("key_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram"))), 1, RUNS).alias("own"))
+    parts = written(seldom.select("key_id", F.explode("own.gram").alias("gram")), "parts")
+    known = written(_known(texts, parts), "grams")
     rare = parts.join(known.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     # a title with a run that no caption has is in none
     rare = rare.groupBy("key_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_or(F.col("n").isNull()).alias("none")).where("not none")
