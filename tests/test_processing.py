@@ -111,6 +111,29 @@ def test_step_is_the_plain_loop(spark):
     assert {r.item_id: [r.status, r.cluster_id, r.dup_of] for r in again.collect()} == want
 
 
+def test_step_keeps_all_items_from_before(spark):
+    """More old items than fit one window, before and after the new ones: each of these finds its twin."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(400, 8))
+    at = lambda h: START + timedelta(hours=float(h))
+    items = [(i, 0, "news", i % 5, f"Item {i}", at(3 * i), v.tolist(), "clustered", 7, None, False) for i, v in enumerate(vectors)]
+    items += [(1000 + i, 0, "news", 1, "new", at(3 * i + 1), (vectors[(i + 150 * (i % 3)) % 400] * 2).tolist(), "embedded", None, None, False) for i in range(400)]
+    items += [(2000 + i, 0, "news", 1, "again", at(3 * i + 2), items[400 + i][6], "embedded", None, None, False) for i in range(400)]
+    stories = [(7, 0, "news", "open", None, [1.0] + [0.0] * 7, 400, 1, at(0), at(1197))]
+    want, _ = by_hand(items, stories, 0.7)
+    assert sum(w[0] == "duplicate" for i, w in want.items() if i >= 1000) > 600
+    found, _ = processing.step(spark.createDataFrame(items, ITEM).repartition(4), spark.createDataFrame(stories, STORY), 0.7)
+    assert {r.item_id: [r.status, r.cluster_id, r.dup_of] for r in found.collect()} == want
+
+
+def test_twins_of_many_blocks_are_those_of_one(spark, monkeypatch):
+    items, stories = made(np.random.default_rng(8))
+    monkeypatch.setattr(clustering, "BLOCK", 3)
+    monkeypatch.setattr(clustering, "ROWS", 2)
+    found, _ = processing.step(spark.createDataFrame(items, ITEM), spark.createDataFrame(stories, STORY), 0.7)
+    assert {r.item_id: [r.status, r.cluster_id, r.dup_of] for r in found.collect()} == by_hand(items, stories, 0.7)[0]
+
+
 def test_new_space_and_backfill(spark):
     items, stories = made(np.random.default_rng(5))
     a, b = spark.createDataFrame(items, ITEM), spark.createDataFrame(stories, STORY)

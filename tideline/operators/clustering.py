@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 # fixed values: thresholds of curated items, of search results, and of semantic duplicates
 CURATED, SEARCHED, SAME = 0.88, 0.84, 0.985
+#: Rows of either side that a task of _twins() holds, and items that it compares at once.
+BLOCK, ROWS = 1 << 14, 256
 
 
 def threshold(mode: Column, searched: Column, base: float) -> Column:
@@ -105,13 +107,13 @@ class Accepted:
         self.newest = max(self.newest, t)
 
     def twin(self, t: float, unit, least: float) -> tuple | None:
-        """key and story of the most alike item of the window, of equals the first, if it is alike enough."""
+        """Likeness, key and story of the most alike item of the window, of equals the first, if it is alike enough."""
         self.newest = max(self.newest, t)
         if not self.n:
             return None
         near = np.where(self.times[: self.n] >= t - self.window, self.units[: self.n] @ unit, -2.0)
         best = int(near.argmax())
-        return self.items[best] if near[best] >= least else None
+        return (float(near[best]), *self.items[best]) if near[best] >= least else None
 
 
 def assign(vectors, times, window: float, threshold: float):
@@ -120,6 +122,63 @@ def assign(vectors, times, window: float, threshold: float):
     return [found.add(v, t, threshold) for v, t in zip(vectors, times, strict=True)]
 
 
+def _units(vectors) -> np.ndarray:
+    v = np.stack([np.asarray(x, np.float64) for x in vectors])
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size > 0, size, 1.0)
+
+
+def nearest(times, vectors, known_times, known, window: float, same: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the likeness to the most alike known one that is not a window older, and its place; -2 where none is as alike as `same`.
+
+    Rows of both sides come in order of time; of equally alike ones (to 12 places) the first counts.
+    """
+    u, w = _units(vectors), _units(known)
+    small, since = w.astype(np.float32), np.searchsorted(known_times, np.asarray(times) - window)
+    best, at = np.full(len(u), -2.0), np.zeros(len(u), np.int64)
+    for lo in range(0, len(u), ROWS):
+        base = int(since[lo])
+        if base == len(w):
+            break
+        # single precision leaves out most rows; the others are taken again
+        some = lo + np.flatnonzero((u[lo : lo + ROWS].astype(np.float32) @ small[base:].T).max(axis=1) >= same - 1e-4)
+        if len(some):
+            near = np.round(u[some] @ w[base:].T, 12)
+            near[np.arange(base, len(w)) < since[some, None]] = -2.0
+            k = near.argmax(axis=1)
+            found = near[np.arange(len(some)), k]
+            best[some], at[some] = np.where(found >= same, found, -2.0), k + base
+    return best, at
+
+
+def _twins(rows: DataFrame, known: DataFrame, window: float, same: float) -> DataFrame:
+    """g, k, near, to (key) and story of rows (g, t, k, v) with a twin among known items (and story x), whatever their order.
+
+    Items from before do not depend on the pass, so they are compared in tasks of BLOCK rows
+    of either side, as many as all pairs need; each gives one row an item at most.
+    """
+    sizes = known.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")), "g")
+    place = F.xxhash64("k")
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.select("g", "t", "k", "v").join(F.broadcast(sizes), "g").select("g", "t", "k", "v", F.pmod(place, "cuts").cast("int").alias("cut"), many("parts").alias("part"))
+    y = known.select("g", "t", "k", "v", "x").join(F.broadcast(sizes), "g").select("g", "t", "k", "v", "x", F.pmod(place, "parts").cast("int").alias("part"), many("cuts").alias("cut"))
+    kinds = dict(rows.dtypes)
+
+    def compared(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if len(own) and len(other):
+            own, other = own.sort_values(["t", "k"]), other.sort_values(["t", "k"])
+            near, at = nearest(own["t"].to_numpy(), own["v"], other["t"].to_numpy(), other["v"], window, same)
+            to = other.iloc[at]
+            found = pd.DataFrame({"g": own["g"].to_numpy(), "k": own["k"].to_numpy(), "near": near, "t": to["t"].to_numpy(), "to": to["k"].to_numpy(), "story": to["x"].to_numpy().astype("int64")})
+            return found[near >= same]
+        return pd.DataFrame({"g": own["g"][:0], "k": own["k"][:0], "near": [], "t": [], "to": own["k"][:0], "story": []})
+
+    keys = ["g", "part", "cut"]
+    pairs = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(compared, f"g {kinds['g']}, k {kinds['k']}, near double, t double, to {kinds['k']}, story long")
+    first = F.min_by(F.struct("near", "to", "story"), F.struct(-F.col("near"), "t", "to"))
+    return pairs.groupBy("g", "k").agg(first.alias("twin")).select("g", "k", "twin.*")
+
+
 def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, window: float, threshold: float | str, stored: DataFrame | None = None, same: float | None = None, accepted: DataFrame | None = None) -> DataFrame:
     """group, key, cluster and (with `same`) dup_of of items in order of `at` and key.
 
@@ -129,26 +188,31 @@ def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, wi
     alike; they join its story and take no part in it. accepted: items from before that
     count as such (the columns of items, and cluster).
     A group's rows come sorted and pass through one task in batches (the
-    operator is defined by order); the memory held is that of one window.
+    operator is defined by order); the memory held is that of one window. Accepted
+    items may be later than the items; they are compared before, in tasks of their own.
     """
     rule = F.lit(float(threshold)) if not isinstance(threshold, str) else F.col(threshold)
 
     def rows_of(df: DataFrame, kind: int, own):
         return df.select(F.col(group).alias("g"), F.col(at).cast("double").alias("t"), F.lit(kind).alias("kind"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), own.cast("double").alias("x"))
 
-    rows = rows_of(items, 2, rule)
-    if stored is not None:
-        old = stored.select(F.col(group).alias("g"), F.col("last").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("cluster").cast(dict(rows.dtypes)["k"]).alias("k"), F.col("centroid").cast("array<double>").alias("v"), F.col("n").cast("double").alias("x"))
-        rows = rows.unionByName(old)
-    if accepted is not None:
-        rows = rows.unionByName(rows_of(accepted, 1, F.col("cluster")))
+    rows = rows_of(items, 1, rule)
     kinds = dict(rows.dtypes)
+    none = [F.lit(-2.0).alias("near"), F.col("k").alias("to"), F.lit(0).cast("long").alias("story")]
+    if accepted is not None and same is not None:
+        twins = _twins(rows, rows_of(accepted, 0, F.col("cluster")), window, same)
+        rows = rows.join(twins, ["g", "k"], "left").select("g", "t", "kind", "k", "v", "x", F.coalesce("near", F.lit(-2.0)).alias("near"), F.coalesce("to", "k").alias("to"), F.coalesce("story", F.lit(0)).alias("story"))
+    else:
+        rows = rows.select("*", *none)
+    if stored is not None:
+        old = stored.select(F.col(group).alias("g"), F.col("last").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("cluster").cast(kinds["k"]).alias("k"), F.col("centroid").cast("array<double>").alias("v"), F.col("n").cast("double").alias("x"))
+        rows = rows.unionByName(old.select("*", *none))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, clusters, known = object(), None, None
         for batch in batches:
             out = []
-            for g, t, kind, k, v, x in batch[["g", "t", "kind", "k", "v", "x"]].itertuples(index=False):
+            for g, t, kind, k, v, x, near, to, story in batch[["g", "t", "kind", "k", "v", "x", "near", "to", "story"]].itertuples(index=False):
                 if g != now:
                     now, clusters, known = g, Clusters(window), Accepted(window)
                 if not kind:
@@ -156,14 +220,13 @@ def single_pass(items: DataFrame, group: str, key: str, vector: str, at: str, wi
                     continue
                 u = np.asarray(v, np.float64)
                 u = u / (np.linalg.norm(u) or 1.0)
-                if kind == 1:
-                    known.add(t, k, int(x), u)
-                    continue
                 twin = known.twin(t, u, same) if same is not None else None
-                number = twin[1] if twin else clusters.add(v, t, x)
+                if near > -2 and (twin is None or near >= round(twin[0], 12)):
+                    twin = near, to, int(story)
+                number = twin[2] if twin else clusters.add(v, t, x)
                 if same is not None and not twin:
                     known.add(t, k, number, u)
-                out.append((g, k, number, twin[0] if twin else None))
+                out.append((g, k, number, twin[1] if twin else None))
             if out:
                 yield pd.DataFrame(out, columns=["g", "k", "cluster", "dup_of"])
 

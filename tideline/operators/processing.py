@@ -64,6 +64,7 @@ def step(items: DataFrame, stories: DataFrame, base: float = 0.72, hours: dict[s
     touched stories get a new centroid (of all unit vectors that made it) and are rolled up.
     """
     h = HOURS | (hours or {})
+    stories = written(stories, "stories-before")  # they are read six times
     group = F.concat_ws("|", F.col("project").cast("string"), "mode")
     new = items.where("status = 'embedded' and embedding is not null")
     taken = (stories.agg(F.max("cluster_id")).first()[0] or 0) + 1
