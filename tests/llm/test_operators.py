@@ -451,6 +451,19 @@ def test_line_dedup_frequent_lines_and_words(spark, vocabulary, monkeypatch):
     assert {(r.doc_id, r.line_no) for r in linededup.removed(docs_of(spark, texts)).collect()} == expected
 
 
+def test_long_lines_without_likeness_make_no_pairs(spark):
+    """Bitmaps of 64 bits are full for long lines: those that only share rare words passed them, ever more as lines became more."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    lines = [r.sample(words, 200) for _ in range(120)]
+    lines.append([*lines[7][:190], *lines[8][:10]])
+    docs = docs_of(spark, [" ".join(x) for x in lines])
+    pairs = linededup._pairs(linededup._firsts(linededup._texts(docs)), spark.createDataFrame([], "doc_id long, line_no int"))
+    ids = [row.doc_id for row in docs.orderBy("doc_id").collect()]
+    assert [(row.doc_id, row.y_doc) for row in pairs.collect()] == [(ids[120], ids[7])]
+    assert [(row.doc_id, row.line_no, row.exact) for row in linededup.removed(docs).collect()] == [(ids[120], 0, False)]
+
+
 def test_line_dedup_runs_no_python(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(linededup, "saved", lambda df, name: seen.append(df) or common.saved(df, name))
