@@ -464,6 +464,17 @@ def test_long_lines_without_likeness_make_no_pairs(spark):
     assert [(row.doc_id, row.line_no, row.exact) for row in linededup.removed(docs).collect()] == [(ids[120], 0, False)]
 
 
+def test_line_dedup_does_once_a_line_what_needs_no_word(spark):
+    """Spark takes a column that is named once into the lambda that names it, and interprets what stands there for every word."""
+    docs = docs_of(spark, ["a\tb \x0bc\r\fd e", "e  d c\x0bb\ta", "b a c d f", "a b c d  e\r"])
+    plan = linededup._firsts(linededup._texts(docs))._jdf.queryExecution().executedPlan().toString()
+    lambdas = [line for line in plan.split("\n") if "lambdafunction(" in line]
+    assert lambdas and not any("LOG2" in line or "POWER" in line or "array_distinct" in line.split("sort_array(array_distinct(")[-1] for line in lambdas)
+    assert not any(" AS levels" in line for line in lambdas)
+    ids = [row.doc_id for row in docs.orderBy("doc_id").collect()]
+    assert {(row.doc_id, row.exact) for row in linededup.removed(docs).collect()} == {(ids[1], True), (ids[3], True)}
+
+
 def test_line_dedup_runs_no_python(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(linededup, "saved", lambda df, name: seen.append(df) or common.saved(df, name))
