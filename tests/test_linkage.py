@@ -138,3 +138,42 @@ def test_few_runs_of_captions_leave_their_task(spark):
     known = matching._known(videos.selectExpr("video_id AS text_id", "text AS caption"), parts).collect()
     looked = {g for t in titles[:10] for g in matching.runs(t)[:3].tolist()}
     assert {(r.text_id, r.gram) for r in known} == {(i, g) for i, t in enumerate(texts) for g in set(matching.runs(t).tolist()) & looked}
+
+
+def test_copies_have_the_links_of_their_signature(spark):
+    """Every item by a plain loop; a copy of a duplicate is one too, of the most alike original before it."""
+    by_hand = lambda rows: {later: -best[1] for later, best in _greedy(rows).items() if best}
+    found = lambda rows: {r.later: r.earlier for r in dedup.resolved(dedup.candidate_pairs(spark.createDataFrame(rows, "k long, sig array<long>"), "k")).collect()}
+    a = list(range(1, 65))
+    b, c = [-x if i < 10 else x for i, x in enumerate(a)], [-x if i < 10 or i > 60 else x for i, x in enumerate(a)]
+    assert found([(0, a), (1, b), (2, b)]) == {1: 0, 2: 0}
+    few = [(0, a), (1, b), (2, b), (3, c), (4, b), (5, c), (6, a), (7, [0] * 64), (8, [0] * 64)]
+    assert found(few) == by_hand(few) == {1: 0, 2: 0, 4: 3, 5: 3, 6: 0}
+    rng = np.random.RandomState(5)
+    rows = [rng.randint(1, 1 << 31, 64).tolist()]
+    for _ in range(400):
+        sig = np.array(rows[rng.randint(len(rows))])
+        if rng.rand() < 0.6:
+            sig[rng.choice(64, rng.randint(3, 12), replace=False)] = rng.randint(1, 1 << 31)
+        rows.append(sig.tolist())
+    many = list(enumerate(rows))
+    assert found(many) == by_hand(many)
+
+
+def _greedy(rows):
+    originals, found = [], {}
+    for k, sig in rows:
+        near = [(sum(x == y for x, y in zip(sig, o, strict=True)) / 64, -j) for j, o in originals if any(sig)]
+        found[k] = max((x for x in near if x[0] >= dedup.LIKENESS), default=None)
+        if found[k] is None:
+            originals.append((k, sig))
+    return found
+
+
+def test_pairs_that_share_no_band(spark):
+    """At a lower likeness the places that differ may lie in all bands; such a pair counts like any other."""
+    a = list(range(1, 65))
+    b, c = [-x if i % 4 == 1 else x for i, x in enumerate(a)], [-x if i % 4 == 1 or i == 0 else x for i, x in enumerate(a)]
+    sigs = spark.createDataFrame([(0, a), (1, b), (2, c)], "k long, sig array<long>")
+    found = {(r.later, r.earlier, r.likeness) for r in dedup.candidate_pairs(sigs, "k", 0.75).collect()}
+    assert found == {(1, 0, 48 / 64), (2, 1, 63 / 64)}
